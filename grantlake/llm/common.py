@@ -59,3 +59,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the checkpoint folder for a table that a query writes and reads back."""
     return f"{_checkpoints(spark)}/{uuid.uuid4().hex}"
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, limit: int) -> DataFrame:
+    """(doc_id, text, y) of at most ``limit`` labelled documents to learn from, the same ones each time.
+
+    Of repeated label rows the largest label counts, of repeated documents one. The ids drawn are at
+    most ``limit``, so they may be broadcast.
+    """
+    drawn = labels.filter(F.col(label).isin(0, 1) & learn_from).groupBy("doc_id").agg(F.max(label).alias("y"))
+    drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(
+        F.max("y").alias("y"), F.max("text").alias("text")
+    )
