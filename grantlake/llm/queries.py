@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from grantlake.llm import packing, quality_classifier, quality_rules, token_files, toxicity
+from grantlake.llm import packing, quality_classifier, quality_rules, simhash, token_files, toxicity
 from grantlake.llm.common import held_out, shared_folder, table
 
 
@@ -15,6 +16,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out(5, 0))
 
@@ -33,4 +39,4 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents_of(token_files.read(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op8_toxicity, op4_best_fit_packing, op7_token_files, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_classifier, op8_toxicity, op4_best_fit_packing, op7_token_files, op10_quality_rules)}
