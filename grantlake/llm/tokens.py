@@ -20,7 +20,7 @@ AFTER_SPACE = re.compile(r"\s[ \n]")
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 # Latin letters that every Unicode version knows as letters and that are their own composed form.
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
-CACHED_PIECES = 800_000
+CACHED_PIECES = 500_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -31,15 +31,26 @@ def byte_letters() -> dict[int, str]:
 
 
 class Known(dict):
-    """piece -> its ids as bytes; an unknown piece is encoded and kept."""
+    """piece -> its ids as bytes; an unknown piece is encoded and kept.
+
+    When CACHED_PIECES have come in, they become the older half and a new half begins; what is asked
+    for again moves over from the older half, so frequent pieces stay.
+    """
 
     def __init__(self, encode: Callable[[str], bytes]) -> None:
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
-        found = self[piece] = self.encode(piece)
+        if (found := self.older.get(piece)) is None:
+            found = self.encode(piece)
+        self[piece] = found
         return found
 
+    def turn(self) -> None:
+        if len(self) > CACHED_PIECES:
+            self.older = dict(self)
+            self.clear()
+
 
 class PieceEncoder:
     """encode(text): its ids as little-endian unsigned 32-bit integers."""
@@ -62,9 +73,13 @@ class PieceEncoder:
 
     def _word(self, word: str, blank: bool) -> bytes:
         """A plain word: the pre-tokenizer makes one token's text of it, so the model alone is asked."""
-        word = (" " if blank and self.keeps_blank else "") + (word.lower() if self.lowers else word)
-        letters = word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        if self.lowers:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        if blank and self.keeps_blank:
+            word = self.letters[32] + word
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _whole(self, piece: str) -> bytes:
         return self._word(piece, False) if LATIN.fullmatch(piece) else self._library(piece)
@@ -80,9 +95,8 @@ class PieceEncoder:
         return self._library(piece if piece[:1] == "\n" else " " + piece)
 
     def encode(self, text: str) -> bytes:
-        if len(self.whole) + len(self.after_cut) > CACHED_PIECES:
-            self.whole.clear()
-            self.after_cut.clear()
+        self.whole.turn()
+        self.after_cut.turn()
         if AFTER_SPACE.search(text):
             return b"".join(map(self.whole.__getitem__, CUT.split(text)))
         first, *rest = text.replace("\n", " \n").split(" ")
