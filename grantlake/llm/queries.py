@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlake.llm import packing, quality_classifier, quality_rules, simhash, token_files, toxicity
+from grantlake.llm import packing, quality_classifier, quality_rules, simhash, sketches, token_files, toxicity
 from grantlake.llm.common import held_out, shared_folder, table
 
 
@@ -33,10 +33,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.versions(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
     token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_files.documents_of(token_files.read(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_classifier, op8_toxicity, op4_best_fit_packing, op7_token_files, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_classifier, op4_best_fit_packing, op6_paragraph_sketches, op7_token_files, op8_toxicity, op10_quality_rules)}
