@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlake.llm import packing, quality_classifier, quality_rules, simhash, sketches, token_files, toxicity
+from grantlake.llm import packing, pii, quality_classifier, quality_rules, simhash, sketches, token_files, toxicity
 from grantlake.llm.common import held_out, shared_folder, table
 
 
@@ -33,6 +33,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op6_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.versions(table(spark, sf_dir, "documents"))
 
@@ -43,4 +47,4 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents_of(token_files.read(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_classifier, op4_best_fit_packing, op6_paragraph_sketches, op7_token_files, op8_toxicity, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_classifier, op4_best_fit_packing, op5_pii, op6_paragraph_sketches, op7_token_files, op8_toxicity, op10_quality_rules)}
