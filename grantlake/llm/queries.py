@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlake.llm import packing, pii, quality_classifier, quality_rules, simhash, sketches, token_files, toxicity
+from grantlake.llm import packing, piece_lattice, pii, quality_classifier, quality_rules, simhash, sketches, token_files, toxicity
 from grantlake.llm.common import held_out, shared_folder, table
 
 
+def op9_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words"
@@ -47,4 +51,4 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents_of(token_files.read(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_classifier, op4_best_fit_packing, op5_pii, op6_paragraph_sketches, op7_token_files, op8_toxicity, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_classifier, op4_best_fit_packing, op5_pii, op6_paragraph_sketches, op7_token_files, op8_toxicity, op9_piece_lattice, op10_quality_rules)}
