@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlake.llm import packing, piece_lattice, pii, quality_classifier, quality_rules, simhash, sketches, token_files, toxicity
+from grantlake.llm import context_tree, packing, piece_lattice, pii, quality_classifier, quality_rules, simhash, sketches, token_files, toxicity
 from grantlake.llm.common import held_out, shared_folder, table
 
 
@@ -33,6 +33,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out(4, 2))
 
 
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(table(spark, sf_dir, "documents"), held_out(7, 2))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -51,4 +55,4 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents_of(token_files.read(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_classifier, op4_best_fit_packing, op5_pii, op6_paragraph_sketches, op7_token_files, op8_toxicity, op9_piece_lattice, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_classifier, op3_context_tree, op4_best_fit_packing, op5_pii, op6_paragraph_sketches, op7_token_files, op8_toxicity, op9_piece_lattice, op10_quality_rules)}
