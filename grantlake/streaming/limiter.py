@@ -35,6 +35,7 @@ def limited(requests: DataFrame, seconds: float, limit: int) -> DataFrame:
     longer than the window a new one begins whatever came before. So the fold runs over such bursts, not
     over clients; rows come sorted by burst and are read as a stream, never a whole client at once.
     """
+    requests = requests.select("client", "event_id", F.col("ts").cast("timestamp").alias("ts"))
     gap = F.col("ts").cast("double") - F.lag("ts").over(Window.partitionBy("client").orderBy("ts", "event_id")).cast("double")
     cut = F.coalesce((gap > seconds).cast("int"), F.lit(1))
     bursts = requests.withColumn("_new", cut).withColumn("burst", F.sum("_new").over(Window.partitionBy("client").orderBy("ts", "event_id")))
