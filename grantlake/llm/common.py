@@ -28,6 +28,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Deals a bounded sample to all cores, without planning it first to see how many splits it has."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def held_out(modulus: int, remainder: int) -> Column:
     """True where crc32 of the decimal doc_id leaves ``remainder``; false for a null doc_id."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))

@@ -9,8 +9,9 @@ unit's second-best one, which needs no search (the best path through any edge of
 tells which units can take part in the N best of the whole text: those of the N-1 least losses. Only
 these few are searched.
 
-Ties go to the segmentation whose ids, read from the end of the unit, come first; between units, to
-the earlier one. A character that no piece holds is spelt in byte pieces at a score below all others.
+Ties for the best segmentation go to the one whose ids, read from the end of the unit, come first; ties
+below it to the one that the search, deepest path first, comes to first; between units, to the earlier
+one. A character that no piece holds is spelt in byte pieces at a score below all others.
 
 Defined cases: a null or empty text has one segmentation, without pieces, and score 0. Fewer than N
 segmentations are returned where there are no more. Blank marks in the text itself decode to blanks.
@@ -91,19 +92,32 @@ class Lattice:
         """The n best segmentations, best first: A* from the end with the forward scores as heuristic."""
         ends = self.edges(unit)
         best = self.forward(ends)
-        # An entry: -(best total through it), ids from the end, place, score so far. Ids are linked, newest first.
-        heap: list = [(-best[-1], (), len(unit), 0.0)]
+        # An entry: -(best total through it), -(step that made it), its last ids from the end, place, score so far,
+        # and the entry it goes on from: a longer path shares the memory of its beginning.
+        heap: list = [(-best[-1], 0, (), len(unit), 0.0, None)]
         found: list[Segmentation] = []
+        step = 0
         while heap and len(found) < n:
-            _, ids, place, score = heapq.heappop(heap)
+            entry = heapq.heappop(heap)
+            _, _, _, place, score, _ = entry
+            step += 1
             if not place:
-                found.append((score, tuple(reversed(ids))))
+                found.append((score, self.path(entry)))
                 continue
             for start, piece, own in ends[place - 1]:
                 more = tuple(reversed(piece)) if isinstance(piece, tuple) else (piece,)
-                heapq.heappush(heap, (-(score + own + best[start]), ids + more, start, score + own))
+                heapq.heappush(heap, (-(score + own + best[start]), -step, more, start, score + own, entry))
         return found
 
+    @staticmethod
+    def path(entry: tuple | None) -> tuple[int, ...]:
+        """The ids of an entry and of those it goes on from, in order of the text."""
+        ids: list[int] = []
+        while entry:
+            ids += reversed(entry[2])
+            entry = entry[5]
+        return tuple(ids)
+
     def unit(self, unit: str) -> tuple[float, bytes, float]:
         """(best score, its ids, loss of the second-best segmentation).
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grantlake.llm.common import labelled, spread, words_of
+from grantlake.llm.common import dealt, labelled, spread, words_of
 
 TRAIN_ROWS = 6000
 BITS = 20
@@ -92,7 +92,7 @@ def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def train(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, rows: int = TRAIN_ROWS, epochs: int = 4) -> np.ndarray:
     """Weights of the model, with the bias last. At most ``rows`` sparse vectors come to the driver."""
-    sample = spread(labelled(docs, labels, label, learn_from, rows))
+    sample = dealt(labelled(docs, labels, label, learn_from, rows))
     got = sample.mapInPandas(_vectors, "doc_id long, y int, i array<int>, x array<float>").toPandas()
     if got.y.nunique() < 2:
         return np.zeros((1 << BITS) + 1, np.float32)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grantlake.llm.common import spread
+from grantlake.llm.common import cut_lineage, dealt, spread
 
 POSITIVES = 4000
 UNLABELLED = 12000
@@ -111,7 +111,8 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, label: str = "
     if not prior or not rows:
         return Model({}, -30.0)
     prior = min(prior, 0.9)
-    sample = spread(_sample(docs, labels, label, learn_from)).mapInPandas(expand, "doc_id long, positive int, features array<string>")
+    sample = dealt(_sample(docs, labels, label, learn_from)).mapInPandas(expand, "doc_id long, positive int, features array<string>")
+    sample = cut_lineage(sample)  # read three times below; the texts are read once
     sizes = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
     if not n_p or not n_u:
