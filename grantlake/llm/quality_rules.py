@@ -149,9 +149,9 @@ def clean(docs: DataFrame, host: str = "source") -> DataFrame:
     Rows of one doc_id are kept or rejected together: each stays if any of them is kept.
     """
     found = verdicts(docs, host).filter("kept").groupBy("doc_id").agg(F.flatten(F.collect_list("removed")).alias("removed"))
-    joined = docs.alias("d").join(found.select(F.col("doc_id").alias("_id"), "removed"), F.col("d.doc_id").eqNullSafe(F.col("_id")))
-    text = without_lines(F.col("d.text"), F.col("removed"))
-    out = joined.select(*[F.col(f"d.{c}") for c in docs.columns], text.alias("_text"))
+    joined = docs.alias("d").join(found.select(F.col("doc_id").alias("_id"), "removed").alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f._id")))
+    left = "_" * (1 + max(map(len, docs.columns)))  # no column of docs has a name as long
+    out = joined.select(*[F.col(f"d.{c}") for c in docs.columns], without_lines(F.col("d.text"), F.col("f.removed")).alias(left))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("_text").cast("long"))
-    return out.withColumn("text", F.col("_text")).select(*docs.columns)
+        out = out.withColumn("n_chars", F.length(left).cast("long"))
+    return out.withColumn("text", F.col(left)).select(*docs.columns)
