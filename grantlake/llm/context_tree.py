@@ -24,7 +24,7 @@ every byte one in 256. Extra columns are ignored. An empty table gives an empty
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grantlake.llm.common import shared_folder, spread, words_of
+from grantlake.llm.common import shared_folder, spread
 
 DEPTH = 5
 START, END = b"\xfe" * DEPTH, b"\xff"  # bytes that UTF-8 never uses
@@ -73,7 +73,11 @@ def strings(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def tokens(text: str | None) -> list[bytes]:
     """Lower-case words and the end, an empty word."""
-    return [*(w.lower() for w in words_of(text)), b""]
+    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), b""]
+
+
+def hashed(words: Iterable[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +93,7 @@ def gathered(texts: list[str | None]) -> tuple[tuple[np.ndarray, np.ndarray], tu
     counter: Counter[bytes] = Counter()
     for t in texts:
         counter.update(tokens(t))
-    words = np.array([xxhash.xxh64_intdigest(w) for w in counter], np.uint64)
+    words = hashed(counter)
     found = [np.unique(strings(part)[0], return_counts=True) for part in in_parts(texts)]
     return (
         summed(words, np.fromiter(counter.values(), np.int64, len(counter))),
@@ -344,21 +348,30 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         if not len(group):
             return pd.DataFrame(columns=[c.split()[0] for c in out.split(", ")])
         texts = list(group.text)
-        tables = []
         reply = {(k, s): f for k, s, f in zip(replies.kind, replies.shard, replies.found)}
-        for kind, (keys, _) in enumerate(gathered(texts)):
-            values = np.zeros(len(keys), np.int64 if kind == WORDS else np.float32)
+
+        def answered(kind: int, keys: np.ndarray, dtype: type) -> np.ndarray:
+            values = np.zeros(len(keys), dtype)
             for s, at in by_shard(kind, keys, shards):
-                values[at] = np.frombuffer(reply[kind, s], values.dtype)
-            tables.append((keys, values))
-        (word_keys, word_counts), (string_keys, string_scores) = tables
-        count_of = dict(zip(word_keys.tolist(), word_counts.tolist()))
-        scores, rows = [], []
+                values[at] = np.frombuffer(reply[kind, s], dtype)
+            return values
+
+        # Each different word is hashed once, each different string of a part looked up once.
+        own = [tokens(t) for t in texts]
+        different_words = list(set().union(*own))
+        hashes = hashed(different_words)
+        keys = np.unique(hashes)
+        count_of = dict(zip(different_words, answered(WORDS, keys, np.int64)[np.searchsorted(keys, hashes)].tolist()))
+        parts = []
         for part in in_parts(texts):
-            keys, begin = strings(part)
-            scores.append(np.add.reduceat(string_scores[np.searchsorted(string_keys, keys)].astype(float), begin))
-        for t in texts:
-            c = np.array([count_of[xxhash.xxh64_intdigest(w)] for w in tokens(t)], float)
+            found, begin = strings(part)
+            parts.append((*np.unique(found, return_inverse=True), begin))
+        keys = np.unique(np.concatenate([p[0] for p in parts]))
+        values, scores, rows = answered(STRINGS, keys, np.float32).astype(float), [], []
+        for some, places, begin in parts:
+            scores.append(np.add.reduceat(values[np.searchsorted(keys, some)][places], begin))
+        for t in own:
+            c = np.array([count_of[w] for w in t], float)
             rows.append((len(c), int((c > 0).sum()), float(np.log10((c + 1) / (train_tokens + different + 1)).sum())))
         n_tokens, n_known, base = zip(*rows)
         return pd.DataFrame({
