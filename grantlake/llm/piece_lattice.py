@@ -53,7 +53,7 @@ class Lattice:
         self.pieces, self.bytes_at = pieces, bytes_at
         self.longest = longest or max(map(len, pieces), default=1)
         self.unknown = min((s for _, s in pieces.values()), default=0.0) - 10
-        self.text_of = {i: p for p, (i, _) in pieces.items()}
+        self.bytes_of = {bytes_at + b: bytes([b]) for b in range(256)} | {i: p.encode("utf-8", "surrogatepass") for p, (i, _) in pieces.items()}
         self.pairs = {a + b for p in pieces for a, b in zip(p, p[1:])}
         self.units, self.parts = Known(self.unit), Known(self.part)
         self.searched: dict[str, list[Segmentation]] = {}
@@ -170,29 +170,26 @@ class Lattice:
             self.searched.clear()
         parts = UNIT.findall(BLANK + text.replace(" ", BLANK))
         found = [self.units[p] for p in parts]
-        total = math.fsum([f[0] for f in found])
-        weak = heapq.nsmallest(n - 1, range(len(found)), key=lambda k: (found[k][2], k))
+        scores, first_ids, losses = zip(*found)
+        total = math.fsum(scores)
+        weak = sorted(heapq.nsmallest(n - 1, range(len(found)), key=losses.__getitem__))  # of equal losses the earlier unit
         combined: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
-        for k in sorted(weak):
+        for k in weak:
             if (p := parts[k]) not in self.searched or len(self.searched[p]) < n:
                 self.searched[p] = self.search(p, n)
             best = self.searched[p][0][0]
             combined = sorted((loss + best - s, (*chosen, j)) for loss, chosen in combined for j, (s, _) in enumerate(self.searched[p][:n]))[:n]
         out = []
         for loss, chosen in combined:
-            ids = [f[1] for f in found]
-            for k, j in zip(sorted(weak), chosen):
+            ids = list(first_ids)
+            for k, j in zip(weak, chosen):
                 ids[k] = array("I", self.searched[parts[k]][j][1]).tobytes()
             out.append((total - loss, b"".join(ids)))
         return out
 
     def decode(self, ids: bytes) -> str:
         """The text of pieces: bytes are put together, blank marks become blanks, the first one goes."""
-        out = bytearray()
-        for i in memoryview(ids).cast("I"):
-            text = self.text_of.get(i)
-            out += bytes([i - self.bytes_at]) if text is None else text.encode("utf-8", "surrogatepass")
-        return out.decode("utf-8", "surrogatepass").replace(BLANK, " ")[1:]
+        return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "surrogatepass").replace(BLANK, " ")[1:]
 
 
 @cache
