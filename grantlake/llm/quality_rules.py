@@ -4,9 +4,11 @@ Every normalised line is hashed; per host the distinct documents that carry it a
 above the host's limit is boilerplate and is removed; a document that keeps too little is rejected.
 A few fixed rules on the document alone (``base_failed``) come first.
 
-Distinct documents are told apart by the smallest line hash of the document, not by its id: exact
-copies count once and near copies nearly always once, so that a large group of copies doesn't turn
-its own lines into boilerplate and vanish before de-duplication could keep one of them.
+Distinct documents are told apart by a hash of the whole normalised text, not by the id: copies count
+once, so that a large group of them doesn't turn its own lines into boilerplate and vanish before
+de-duplication could keep one. Texts that differ in any line count each, near copies too: a key that a
+shared line decides would undercount just the lines that are to be found. A host's documents are
+counted by the same key.
 
 Defined cases: a null or empty text has no words, fails the base rules and isn't kept. A null host
 is a host of its own. Repeated rows are rows of their own; columns other than doc_id, text and the
@@ -47,6 +49,11 @@ def line_hash(line: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def text_hash(hashes: list[int]) -> int:
+    """XXH64 of the hashes of a text's lines in their order, moved into the range of a long."""
+    return xxhash.xxh64_intdigest(b"".join(h.to_bytes(8, "little", signed=True) for h in hashes)) - (1 << 63)
+
+
 def repeated_words(words: list[bytes]) -> int:
     """How many words stand in a 3-word window that is found twice or more."""
     windows = list(zip(words, words[1:], words[2:]))
@@ -79,7 +86,7 @@ def profile_text(text: str | None) -> tuple:
         sum(map(text.count, SYMBOLS)),
         repeats,
         repeated_words(words),
-        min((h for h, _ in lines), default=0),
+        text_hash([h for h, _ in lines]),
         [{"h": h, "n": n} for h, n in lines],
     )
 
@@ -101,7 +108,7 @@ def profiles(docs: DataFrame, host: str = "source") -> DataFrame:
 def frequent_lines(profile: DataFrame, min_docs: int = LINE_MIN_DOCS, max_share: float = LINE_MAX_SHARE) -> DataFrame:
     """(host, h) of the lines above their host's limit. Counts are summed before each shuffle."""
     host = F.coalesce("host", F.lit("")).alias("host")
-    docs = profile.groupBy(host).agg(F.count("*").alias("host_docs"))
+    docs = profile.groupBy(host, "content_key").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_docs"))
     carriers = (
         profile.select(host, "content_key", F.explode(F.array_distinct("lines.h")).alias("h"))
         .groupBy("host", "h", "content_key").agg(F.lit(1).alias("one"))

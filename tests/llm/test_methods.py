@@ -311,6 +311,18 @@ def test_lines_above_the_limit_of_their_host_go(spark):
     assert 200 not in kept
 
 
+def test_different_texts_that_share_a_line_of_small_hash_count_each(spark):
+    shared = sorted((f"Shared line {k}" for k in range(40)), key=quality_rules.line_hash)[:3]
+    texts = ["\n".join([*shared, f"own {k}"]) for k in range(14)]
+    rows = [(k, t, "a") for k, t in enumerate(texts)] + [(50 + k, texts[0], "a") for k in range(300)] + [(400 + k, texts[k], "b") for k in range(10)]
+    profile = quality_rules.profiles(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = {(r.host, r.h) for r in quality_rules.frequent_lines(profile).collect()}
+    # 14 of host a's 14 different texts, however many copies there are; the 10 of host b are within the limit.
+    assert got == {("a", quality_rules.line_hash(x)) for x in shared}
+    # A host of many copies of few texts has few documents.
+    assert {r.h for r in quality_rules.frequent_lines(profile, 10, 0.9).collect()} == {h for _, h in got}
+
+
 def accuracy(found, labels, label: str) -> tuple[float, float, float]:
     rows = found.filter("held_out").join(labels, "doc_id").select(F.col(label).alias("y"), "predicted").collect()
     true = sum(r.y == 1 and r.predicted == 1 for r in rows)
