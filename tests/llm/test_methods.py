@@ -209,6 +209,43 @@ def test_trees_tell_a_loose_format_from_a_code(spark):
     assert pii.redacted("a b@c.de f", [("email", 2, 8)]) == "a [EMAIL] f"
 
 
+def test_neighbouring_numbers_are_proposed_each():
+    at = lambda text, own: (text.index(own), text.index(own) + len(own))
+    text = "card 4111 1111 1111 1111 2024, tel 555-123-4567 555-987-6543"
+    found = set(pii.proposals(text))
+    assert {("card", *at(text, "4111 1111 1111 1111")), ("phone", *at(text, "555-123-4567")), ("phone", *at(text, "555-987-6543"))} <= found
+    assert len(pii.proposals("1 " * 5000)) < 40 * 5000
+
+
+def test_planted_loose_spans_are_found(spark):
+    rng = random.Random(5)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card() -> str:
+        body = number(15)
+        return next(body + c for c in "0123456789" if pii.luhn(body + c))
+
+    def plain(k: int) -> str:
+        return [f"call +1 {number(3)} {number(3)} {number(4)} now", f"paid by card {card()} then", f"key={number(16)} done", f"isbn {number(13)} here", f"on 2024-{rng.randint(10, 12)}-{rng.randint(10, 28)} at", f"token {number(10)} ok"][k % 6]
+
+    def loose(k: int) -> tuple[str, str, int, int]:
+        if k % 2:
+            a, b = (f"{number(3)}-{number(3)}-{number(4)}" for _ in range(2))
+            return f"call {a} {b} now", "phone", 5, 5 + len(a)
+        c = card()
+        own = " ".join(c[i : i + 4] for i in range(0, 16, 4))
+        return f"paid by card {own} 2024 then", "card", 13, 13 + len(own)
+
+    planted = [loose(k) for k in range(200)]
+    # The planted spans stand in the text that is learned from, too: they must not teach the trees that they are none.
+    docs = spark.createDataFrame([(k, f"{plain(rng.randrange(6))}. {plain(rng.randrange(6))}. {planted[k % 200][0] if k % 3 == 0 else ''}") for k in range(900)], "doc_id long, text string")
+    model = pii.train(docs)
+    hit = sum((kind, s, e) in model.spans(text)[1] for text, kind, s, e in planted)
+    assert hit >= 180
+    codes = [f"key={number(16)} done" for _ in range(100)] + [f"isbn {number(13)} here" for _ in range(100)]
+    assert sum(len(every) > len(base) for base, every in map(model.spans, codes)) <= 4
+
+
 def test_sketches_recover_the_differing_digests():
     rng = random.Random(4)
     for _ in range(60):
