@@ -13,6 +13,13 @@ fingerprint is bounded (5,489 lookups) and doesn't grow with the group.
 Classes are found by alternating large-star and small-star steps on checkpointed edges; nothing but two
 numbers a step reaches the driver.
 
+``one_of_similar`` serves the pipeline: its classes link texts whose sets of five-word shingles have a
+Jaccard similarity of 0.8 or more. Such texts mostly lie over three bits apart, so beside the pairs
+of the multi-index search those that agree in one of ``BANDS`` bands of min-hashes are candidates (all but
+0.04 % of the pairs at 0.8, fewer above), and each candidate is verified by its exact similarity. A
+band's value that more than ``LARGE_BAND`` different texts share isn't paired up: each of them is
+compared with ``LEADERS`` of them in each such band.
+
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; with fewer words
 than a shingle the whole sequence is one shingle; repeated rows are rows of their own in one class. A
 document with a null doc_id gets its fingerprint's class but names none and links none. Extra columns
@@ -37,6 +44,11 @@ SEED = 42
 HALF_BITS = 32
 LARGE_HALF = 4096
 CHUNK = 1 << 16
+SIMILAR_WORDS = 5
+SIMILARITY = 0.8
+BANDS, BAND_ROWS = 20, 5
+LARGE_BAND = 64
+LEADERS = 4
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
@@ -154,3 +166,81 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = M
     first = classes(docs, shingle, max_bits).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+
+
+def shingle_set(text: str | None, shingle: int = SIMILAR_WORDS) -> np.ndarray:
+    """Sorted different hashes of the word shingles; none for a text without words."""
+    words = [w.lower() for w in words_of(text)]
+    runs = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)] * bool(words)
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in runs], np.uint64))
+
+
+_DRAWN = np.random.default_rng(SEED)
+FACTORS, SHIFTS = (_DRAWN.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64, endpoint=False) for _ in range(2))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One signed long a band; two sets agree in a min-hash with the probability of their Jaccard similarity."""
+    if not len(hashes):
+        return []
+    least = np.min([(hashes[at : at + 4096, None] * (FACTORS | np.uint64(1)) + SHIFTS).min(axis=0) for at in range(0, len(hashes), 4096)], axis=0)
+    bands = least.reshape(BANDS, BAND_ROWS)
+    return [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(bands)]
+
+
+def _similar_profiles(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, node, fp, keys) of every row: ``th`` is a hash of the text, ``node`` one of its set of shingles."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [shingle_set(t) for t in b.text]
+            fp = np.array([fingerprint(t, SIMILAR_WORDS) for t in b.text], np.uint64).view(np.int64)
+            node = [xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in sets]
+            yield pd.DataFrame({"doc_id": b.doc_id, "th": b.th, "node": node, "fp": fp, "keys": [band_keys(x) for x in sets]})
+
+    own = spread(docs.select("doc_id", "text", F.xxhash64("text").alias("th")))
+    return cut_lineage(own.mapInPandas(run, "doc_id long, th long, node long, fp long, keys array<long>"))
+
+
+def band_pairs(nodes: DataFrame, large: int = LARGE_BAND) -> DataFrame:
+    """(a, b) of nodes that share a band's value. ``nodes``: (node, keys), node unique."""
+    held = nodes.select("node", F.explode("keys").alias("key"))
+    sizes = held.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1")
+    few = held.join(sizes.filter(F.col("_n") <= large).select("key"), "key")
+    pairs = few.join(few.select("key", F.col("node").alias("b")), "key").filter("node < b").select(F.col("node").alias("a"), "b")
+    many = held.join(sizes.filter(F.col("_n") > large).select("key"), "key")
+    leaders = many.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("part")).agg(F.min("node").alias("b"))
+    led = many.join(leaders, "key").filter("node <> b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+    return pairs.unionByName(led).distinct()
+
+
+def similar_pairs(docs: DataFrame, profile: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b) of the nodes whose sets of shingles are similar, by their exact Jaccard similarity."""
+    nodes = profile.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min(F.struct("th", "doc_id")).alias("row"))
+    by_print = nodes.groupBy("fp").agg(F.min("node").alias("id"))
+    same = nodes.join(by_print, "fp").filter("node <> id").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    pairs = cut_lineage(band_pairs(nodes).union(links(by_print)).union(same).distinct())
+    wanted = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi").select("node", "row.th")
+    texts = docs.select("text", F.xxhash64("text").alias("th")).join(wanted, "th").groupBy("node").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"node": b.node, "hashes": [shingle_set(t).view(np.int64) for t in b.text]})
+
+    sets = cut_lineage(texts.mapInPandas(run, "node long, hashes array<long>"))
+    of = lambda end, name: sets.select(F.col("node").alias(end), F.col("hashes").alias(name))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").filter(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
+
+
+def one_of_similar(docs: DataFrame) -> DataFrame:
+    """One row of each class of similar texts, the one with the least doc_id; rows without a doc_id come last in a class."""
+    profile = _similar_profiles(docs)
+    linked = components(similar_pairs(docs, profile)).withColumnRenamed("id", "node")
+    rows = profile.select("doc_id", "th", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("r"))
+    left = [c * (1 + max(map(len, docs.columns))) for c in "_~"]  # no column of docs has a name as long
+    first = first.select(F.col("r.doc_id").alias(left[0]), F.col("r.th").alias(left[1]))
+    on = F.col("doc_id").eqNullSafe(F.col(left[0])) & (F.xxhash64("text") == F.col(left[1]))
+    kept = docs.join(first, on, "left_semi").withColumn(left[1], F.xxhash64("text"))
+    return kept.dropDuplicates(["doc_id", left[1]]).select(*docs.columns)

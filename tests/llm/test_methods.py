@@ -49,6 +49,32 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert got == {k: 0 for k in range(1, 41)} | {k: 100 for k in range(101, 120)} | {300: 200, 250: 200}
 
 
+def test_stage_keeps_one_of_similar_texts(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    texts = []
+    for k in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        for swaps in (0, 1, 2, 3, 12):
+            own = list(words)
+            for at in rng.sample(range(150), swaps):
+                own[at] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    texts += [texts[0], "", None, "two words"]
+    texts += [f"{' '.join(f'c{j}' for j in range(120))} last{k}" for k in range(90)]
+    sets = [frozenset(simhash.shingle_set(t).tolist()) for t in texts]
+    like = lambda x, y: x == y or len(x & y) >= 0.8 * len(x | y)
+    least = list(range(len(texts)))
+    for _ in range(6):
+        least = [min(least[j] for j in range(len(texts)) if like(sets[i], sets[j])) for i in range(len(texts))]
+    near = [(i, j) for i in range(60) for j in range(i) if like(sets[i], sets[j])]
+    assert sum((simhash.fingerprint(texts[i], 3) ^ simhash.fingerprint(texts[j], 3)).bit_count() > 3 for i, j in near) > 12
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, texts[5]), (None, "quite another text")], "doc_id long, text string")
+    got = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([*sorted(set(least)), None], key=str)
+
+
 def test_fingerprint_counts_every_shingle(monkeypatch):
     import xxhash
 
