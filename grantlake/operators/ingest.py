@@ -129,6 +129,14 @@ def name_classes(rows: DataFrame, row_id: str, name: Column, org: Column) -> Dat
     return keyed.filter("name <> '' OR org <> ''").groupBy("name", "org").agg(F.min("rep").alias("rep"), F.count("*").alias("copies"))
 
 
+def name_members(rows: DataFrame, row_id: str, name: Column, org: Column) -> DataFrame:
+    """(id, rep) of every row: the class of ``name_classes`` it belongs to. A row with neither a name nor an organization is its own class."""
+    keyed = rows.select(F.col(row_id).alias("id"), normalize_name(name).alias("name"), normalize_name(org).alias("org"))
+    classes = name_classes(rows, row_id, name, org).select(F.col("name").alias("_name"), F.col("org").alias("_org"), "rep")
+    on = F.col("name").eqNullSafe(F.col("_name")) & F.col("org").eqNullSafe(F.col("_org"))
+    return keyed.join(classes, on, "left").select("id", F.coalesce("rep", "id").alias("rep"))
+
+
 def near_duplicates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, score) of different classes whose mean likeness of name and organization reaches the threshold.
 

@@ -159,6 +159,11 @@ def name_classes(spark: SparkSession, d: str) -> DataFrame:
     return ingest.name_classes(_pages(spark, d), "id", F.col("name"), F.col("org")).select("rep", "copies")
 
 
+@query(f"WITH {SQL_PAGES}, {SQL_CLASSES} SELECT id AS page_id, coalesce(rep, id) AS rep FROM n LEFT JOIN c ON n.name IS NOT DISTINCT FROM c.name AND n.org IS NOT DISTINCT FROM c.org")
+def name_members(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.name_members(_pages(spark, d), "id", F.col("name"), F.col("org")).withColumnRenamed("id", "page_id")
+
+
 @query(
     f"WITH {SQL_PAGES}, {SQL_CLASSES}, s AS (SELECT a.rep AS a, b.rep AS b, ({SQL_LIKE.format('a.name', 'b.name')} + {SQL_LIKE.format('a.org', 'b.org')}) / 2 AS score "
     "FROM c a JOIN c b ON a.rep < b.rep) SELECT a, b, round(score, 9) AS score FROM s WHERE score >= 0.85"
@@ -176,6 +181,18 @@ m AS (SELECT r.id AS right_id, l.id AS left_id, {SQL_PAIR} AS score FROM r CROSS
 b AS (SELECT right_id, left_id, score FROM m QUALIFY row_number() OVER (PARTITION BY right_id ORDER BY score DESC, left_id) = 1)"""
 
 
+# Each document against the one with the next number (0 if there is none): the first 60 characters stand for the title, the source for the organization.
+@query(
+    f"WITH d AS (SELECT doc_id, {SQL_NAME.format('text[1:60]')} AS name, {SQL_NAME.format('source')} AS org FROM documents) "
+    f"SELECT l.doc_id, CASE WHEN r.doc_id IS NULL THEN 0.0 ELSE round({SQL_PAIR}, 9) END AS score FROM d l LEFT JOIN d r ON r.doc_id = l.doc_id + 1"
+)
+def pair_similarity(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("name"), F.col("source").alias("org"))
+    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("name").alias("name_b"), F.col("org").alias("org_b"))
+    score = text.pair_similarity(F.col("name"), F.col("org"), F.col("name_b"), F.col("org_b"))
+    return docs.join(other, "doc_id", "left").select("doc_id", rounded(score).alias("score"))
+
+
 def _coverage(spark: SparkSession, d: str) -> DataFrame:
     left = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("org"))
     nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("org"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 
 import pytest
 
@@ -33,3 +34,20 @@ def test_query_equals_its_sql(spark, name):
     plain = lambda v: round(v, 6) if isinstance(v, float) else str(v).replace("+00:00", "")
     got = __spark_entry__.queries()[name](spark, SF).select(*columns).collect()
     assert sorted(tuple(map(plain, r)) for r in got) == sorted(tuple(map(plain, r)) for r in want.fetchall())
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["name_members", "pair_similarity"])
+def test_added_query_equals_its_sql(spark, name):
+    test_query_equals_its_sql(spark, name)
+
+
+@needs_tables
+def test_every_page_names_its_class(spark):
+    known = __spark_entry__.queries()
+    rows = known["name_members"](spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()
+    copies = Counter(r.rep for r in rows)
+    assert all(copies[r.rep] == r.copies for r in known["name_classes"](spark, SF).collect())
+    pairs = known["near_dup_pairs"](spark, SF).collect()
+    assert {x for r in pairs for x in (r.a, r.b)} <= set(copies)
