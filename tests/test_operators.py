@@ -154,18 +154,44 @@ def test_crisis(spark, words, hit):
     assert spark.range(1).select(safety.crisis(F.lit(words).cast("string"))["crisis"].alias("c")).first().c is hit
 
 
+def plain_windows(rows, seconds):
+    """(start, n) of each request by a fold over all of a client's requests."""
+    out, open_ = {}, {}
+    for client, event, ts in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[2], r[1])):
+        start, n = open_.get(client, (None, 0))
+        if start is None or ts > start + timedelta(seconds=seconds):
+            start, n = ts, 0
+        open_[client] = out[event] = (start, n + 1)
+    return out
+
+
+def test_limiter_equals_a_plain_fold(spark):
+    import random
+
+    rng, base = random.Random(2), datetime(2026, 1, 1)
+    rows = [(rng.choice([1, 1, 1, 2, None, (1 << 60) + 1]), k, base + timedelta(seconds=rng.choice([rng.randint(0, 900), 60 * rng.randint(0, 90)]))) for k in range(400)]
+    rows += [(1, 900, None), (7, 901, None)]
+    got = {r.event_id: r for r in limited(spark.createDataFrame(rows, "client long, event_id long, ts timestamp"), 60, 2).collect()}
+    want = plain_windows(rows, 60)
+    assert len(got) == len(rows)
+    assert {k: (got[k].window_start, got[k].n) for k in want} == want
+    assert all(got[e].client == c and got[e].allowed == (e in want and want[e][1] <= 2) for c, e, _ in rows)
+    assert got[900].n is None and got[900].window_start is None
+
+
 def test_limiter_batch_and_stream(spark, tmp_path):
     base = datetime(2026, 1, 1)
-    rows = [(1, k, base + timedelta(seconds=s)) for k, s in enumerate((0, 30, 60, 61, 62, 500))] + [(2, 9, base)]
+    rows = [(1, k, base + timedelta(seconds=s)) for k, s in enumerate((0, 30, 60, 61, 62, 500))] + [(2, 9, base), (2, 10, None)]
     frame = spark.createDataFrame(rows, "client long, event_id long, ts timestamp")
     got = {r.event_id: (r.n, r.allowed) for r in limited(frame, 60, 2).collect()}
-    assert got == {0: (1, True), 1: (2, True), 2: (3, False), 3: (1, True), 4: (2, True), 5: (1, True), 9: (1, True)}
+    assert got == {0: (1, True), 1: (2, True), 2: (3, False), 3: (1, True), 4: (2, True), 5: (1, True), 9: (1, True), 10: (None, False)}
     assert all(r.allowed for r in limited(frame, 60, 0).collect())
-    frame.write.parquet(str(tmp_path / "in"))
-    stream = limited_stream(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")), 60, 2)
-    q = stream.writeStream.format("memory").queryName("limits").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    # Two files, so that the window of the first micro-batch is the state of the second.
+    frame.filter("event_id < 2 OR event_id = 9").coalesce(1).write.parquet(str(tmp_path / "in"))
+    frame.filter("event_id >= 2 AND event_id <> 9").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = limited_stream(source, 60, 2).writeStream.format("memory").queryName("limits").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    assert q.awaitTermination(60)
     assert {r.event_id: (r.n, r.allowed) for r in spark.table("limits").collect()} == got
 
 
