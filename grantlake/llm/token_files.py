@@ -5,11 +5,14 @@ documents behind a short head; the offsets of its documents stand beside it, so
 a block, or any document in it, with a few numpy operations and without reading what comes before.
 Blocks are binary values in a Parquet table: Spark's commit keeps the files whole when executors are
 lost, and any store that Spark reaches can hold them. Rows are written in ascending doc_id order;
-``part`` and ``seq`` number the blocks in that order.
+``part`` and ``seq`` number the blocks in that order, ``before`` is the number of ids in the part's
+earlier blocks: a reader adds the totals of the parts before and never has to move a block.
 
 Defined cases: a null text is an empty one and gives the end id alone; documents with a null doc_id
-come first; rows with the same doc_id stand together, ordered by text. Extra columns are ignored. An
-empty table gives an empty table of blocks.
+come first; rows with the same doc_id stand together, ordered by text, in one task. A very long text is
+encoded whole and never cut: its block grows with it, up to the 2 GB that a binary value may have
+(about a billion ids of 16 bits). Extra columns are ignored. An empty table gives an empty table of
+blocks.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ from grantlake.llm.tokens import encoder
 HEAD = struct.Struct("<4sHHQ")  # mark, version, bits of an id, number of ids
 MARK = b"FWID"
 BLOCK_IDS = 1 << 18
-BLOCKS = "part int, seq int, n_ids long, doc_ids array<long>, ends array<long>, block binary"
+MOST_PARTS = 1_000_000  # of 16 bytes each
+BLOCKS = "part int, seq int, before long, n_ids long, doc_ids array<long>, ends array<long>, block binary"
 
 
 def bits_for(vocabulary: int) -> int:
@@ -71,11 +75,11 @@ def blocks(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = BLOCK_
         part, seq = TaskContext.get().partitionId(), 0
         own = encoder(tokenizer)
         bits = bits_for(max(own.vocabulary, end_id + 1))
-        doc_ids, ends, ids, n = [], [], [], 0
+        doc_ids, ends, ids, n, before = [], [], [], 0, 0
 
         def block() -> pd.DataFrame:
             packed = pack_ids(np.frombuffer(b"".join(ids), "<u4"), bits)
-            return pd.DataFrame({"part": [part], "seq": [seq], "n_ids": [n], "doc_ids": [doc_ids], "ends": [ends], "block": [packed]})
+            return pd.DataFrame({"part": [part], "seq": [seq], "before": [before], "n_ids": [n], "doc_ids": [doc_ids], "ends": [ends], "block": [packed]})
 
         for b in batches:
             for doc_id, text in zip(b.doc_id, b.text):
@@ -85,7 +89,7 @@ def blocks(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = BLOCK_
                 ends.append(n)
                 if n >= block_ids:
                     yield block()
-                    doc_ids, ends, ids, n, seq = [], [], [], 0, seq + 1
+                    doc_ids, ends, ids, n, seq, before = [], [], [], 0, seq + 1, before + n
         if ids:
             yield block()
 
@@ -100,16 +104,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: in
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The blocks with ``first``: the number of ids in all blocks before them.
 
-    Blocks are summed within their part, parts (one row each, as many as write tasks) among themselves.
+    Only the totals of the parts are summed, one row a write task; they are broadcast up to MOST_PARTS of
+    them and joined by Spark's choice beyond, so that blocks stay where they are read.
     """
     found = spark.read.schema(BLOCKS).parquet(path)
-    parts = found.groupBy("part").agg(F.sum("n_ids").alias("_n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = found.select("part", "seq", F.coalesce(F.sum("n_ids").over(own), F.lit(0)).alias("_own")).join(parts, "part")
-    firsts = firsts.select("part", "seq", (F.col("_own") + F.col("_before")).alias("first"))
-    return found.join(firsts, ["part", "seq"])
+    parts = found.groupBy("part").agg(F.max(F.col("before") + F.col("n_ids")).alias("_n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.select("part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    if parts.count() <= MOST_PARTS:
+        totals = F.broadcast(totals)
+    return found.join(totals, "part").withColumn("first", F.col("_before") + F.col("before")).drop("_before")
 
 
 def documents_of(read_blocks: DataFrame) -> DataFrame:
