@@ -8,17 +8,20 @@ training bytes. Block probabilities of the estimator depend on counts alone, so
 strings of length ``DEPTH`` + 1 are all the model needs. At scoring time the mix ends at the deepest
 context that training has seen. A plain unigram word model with add-one smoothing stands beside it.
 
-How it runs: tasks count words and byte strings of what they read; counts meet by shard. A byte
-string's shard depends on the two bytes before, so a shard holds whole subtrees, however much text there
-is no more than the different strings after its pairs; the two top levels are put together from at most
-131,072 sums. To score, documents
-are dealt into blocks of bounded size; each block asks the shards for its different words and strings
-only, and gets an array back. Requests of one shard are salted by block, so that a shard's table is
-copied rather than its requests gathered. All of it grows with the input: nothing is sampled or capped.
-
-Words are told apart by 64-bit hashes; a string's log10 probability travels in single precision. Defined cases: a null or empty text is the end alone. Texts of
-repeated rows count each time. Without training documents every word has probability one in one and
-every byte one in 256. Extra columns are ignored. An empty table gives an empty result.
+How it runs: tasks count words and byte strings of what they read; counts meet by shard, in rounds of
+at most ``FAN_IN`` rows. A byte string's shard depends on the ``CUT`` bytes before, so a shard holds whole
+subtrees; the levels above are put together from sums by context and node (at most 2 * 65,536 * 255 of
+them, in practice what a text's byte pairs are). To score, documents are dealt into blocks of bounded
+size; each block asks the shards for its different words and strings only, and gets an array back. What
+several blocks ask a shard is scored once. A shard that is asked for more than ``ASKED`` strings splits
+its requests and copies its own table as often: the number asked is summed while counting, so copies
+grow with the requests and not with the product of model and input. Nothing is sampled or capped.
+
+Words are told apart by 64-bit hashes; a string's log10 probability travels in single precision. Defined
+cases: a null or empty text is the end alone. Texts of repeated rows count each time; rows with one or
+no doc_id are dealt by their texts. A long text is scored whole, in pieces that overlap by the context.
+Without training documents every word has probability one in one and every byte one in 256. Extra
+columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,46 +32,66 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantlake.llm.common import shared_folder, spread
 
-DEPTH = 5
+DEPTH = 6
+CUT = 3
 START, END = b"\xfe" * DEPTH, b"\xff"  # bytes that UTF-8 never uses
 BLOCK_CHARS = 8_000_000
-PART_CHARS = 2_000_000
-SALT_BLOCKS = 64
+PART_BYTES = 2_000_000
+MOST_PIECES = 256
+MOST_SHARDS = 4096
+FAN_IN = 64
+ASKED = 4_000_000
 WORDS, STRINGS = 0, 1
-COUNTS = "kind int, shard int, salt int, keys binary, counts binary"
+COUNTS = "kind int, shard int, salt int, asked long, keys binary, counts binary"
 REQUESTS = "kind int, shard int, salt int, block int, keys binary"
 REPLIES = "kind int, shard int, block int, found binary"
-LN10 = float(np.log(10))
+OUT = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
 
 def content(text: str | None) -> bytes:
     return START + (text or "").encode("utf-8", "surrogatepass").lower() + END
 
 
-def strings(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all byte strings of the texts in order, and where each text's begin.
+def in_parts(texts: list[str | None], most_bytes: int | None = None) -> Iterator[list[tuple[int, bytes]]]:
+    """(place of the text, piece): parts of bounded size. A long text is cut; each piece begins with the DEPTH bytes before it."""
+    most_bytes = most_bytes or PART_BYTES
+    part, n = [], 0
+    for place, t in enumerate(texts):
+        whole = content(t)
+        for at in range(0, len(whole) - DEPTH, most_bytes):
+            part.append((place, whole[at : at + most_bytes + DEPTH]))
+            n += len(part[-1][1]) - DEPTH
+            if n >= most_bytes or len(part) == MOST_PIECES:
+                yield part
+                part, n = [], 0
+    if part:
+        yield part
+
+
+def strings(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all byte strings of the pieces in order, and how many each piece has.
 
     A key holds the bytes before, latest first, and then the byte itself: contexts are its prefixes.
     """
-    parts = [content(t) for t in texts]
-    sizes = np.array([len(p) - DEPTH for p in parts], np.int64)
-    raw = np.frombuffer(b"".join(parts), np.uint8)
+    sizes = np.array([len(p) - DEPTH for p in pieces], np.int64)
+    raw = np.frombuffer(b"".join(pieces), np.uint8)
     n = len(raw) - DEPTH
     keys = np.zeros(max(n, 0), np.uint64)
     for back in (*range(1, DEPTH + 1), 0):
         keys <<= np.uint64(8)
         keys |= raw[DEPTH - back : DEPTH - back + n]
-    # What begins in one text and ends in the next isn't a string of either.
+    # What begins in one piece and ends in the next isn't a string of either.
     inside = np.ones(n + DEPTH, bool)
     begin = np.concatenate([[0], np.cumsum(sizes + DEPTH)[:-1]]).astype(np.int64)
     for k in range(DEPTH):
         inside[begin + k] = False
-    return keys[inside[DEPTH:]], np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    return keys[inside[DEPTH:]], sizes
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -80,43 +103,54 @@ def hashed(words: Iterable[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
 
 
+def firsts(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each different key begins."""
+    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[firsts(keys)]
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different keys in order with their summed counts."""
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    first = firsts(keys)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def planes(values: np.ndarray, ascending: bool = False) -> bytes:
+    """64-bit values, or the steps between ascending ones, byte by byte of all: mostly zeros, which Spark's shuffle compresses."""
+    values = values.astype(np.uint64)
+    if ascending:
+        values = np.diff(values, prepend=np.uint64(0))
+    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(raw: bytes, ascending: bool = False) -> np.ndarray:
+    values = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(values, dtype=np.uint64) if ascending else values
+
+
 def gathered(texts: list[str | None]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """(keys, counts) of the words and of the byte strings of some texts."""
     counter: Counter[bytes] = Counter()
     for t in texts:
         counter.update(tokens(t))
     words = hashed(counter)
-    found = [np.unique(strings(part)[0], return_counts=True) for part in in_parts(texts)]
+    found = [np.unique(strings([p for _, p in part])[0], return_counts=True) for part in in_parts(texts)]
     return (
         summed(words, np.fromiter(counter.values(), np.int64, len(counter))),
         summed(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])),
     )
 
 
-def in_parts(texts: list[str | None], chars: int = PART_CHARS) -> Iterator[list[str | None]]:
-    part, n = [], 0
-    for t in texts:
-        part.append(t)
-        n += len(t or "")
-        if n >= chars:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
-
-
 def shard_of(kind: int, keys: np.ndarray, shards: int) -> np.ndarray:
-    """Words by their hash, strings by the two bytes before."""
+    """Words by their hash, strings by the CUT bytes before."""
     if kind == STRINGS:
-        keys = (keys >> np.uint64(8 * (DEPTH - 1))) * np.uint64(0x9E3779B97F4A7C15)
+        keys = (keys >> np.uint64(8 * (DEPTH + 1 - CUT))) * np.uint64(0x9E3779B97F4A7C15)
     return ((keys >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
 
 
@@ -124,10 +158,9 @@ def by_shard(kind: int, keys: np.ndarray, shards: int) -> Iterator[tuple[int, np
     """(shard, where its keys are), in order of the keys."""
     of = shard_of(kind, keys, shards)
     order = np.argsort(of, kind="stable")
-    limits = np.searchsorted(of[order], np.arange(shards + 1))
-    for s in range(shards):
-        if limits[s] < limits[s + 1]:
-            yield s, order[limits[s] : limits[s + 1]]
+    begin = firsts(of[order])
+    for lo, hi in zip(begin, [*begin[1:], len(of)]):
+        yield int(of[order[lo]]), order[lo:hi]
 
 
 # ---- the model of one shard -------------------------------------------------------------------------
@@ -148,14 +181,17 @@ def kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 class Level:
     """All binary nodes of the contexts of one depth: key = context, then the node within the byte (1 to 255)."""
 
-    def __init__(self, contexts: np.ndarray, byte: np.ndarray, counts: np.ndarray) -> None:
-        keys, zeros, ones = [], [], []
-        for bit in range(8):
-            key, at = np.unique(node(contexts, byte, bit), return_inverse=True)
-            one = (byte >> np.uint64(7 - bit) & np.uint64(1)).astype(float)
-            keys.append(key)
-            ones.append(np.bincount(at, counts * one, len(key)))
-            zeros.append(np.bincount(at, counts * (1 - one), len(key)))
+    def __init__(self, pairs: np.ndarray, counts: np.ndarray) -> None:
+        """``pairs``: different (context, byte) in order. Their nodes at one bit are in order too, so runs are summed."""
+        contexts, byte = pairs >> np.uint64(8), pairs & np.uint64(255)
+        keys, zeros, ones = [np.zeros(0, np.uint64)], [np.zeros(0)], [np.zeros(0)]
+        for bit in range(8 if len(pairs) else 0):
+            key = node(contexts, byte, bit)
+            first = firsts(key)
+            total, own = np.add.reduceat(counts, first), np.add.reduceat(counts * (byte >> np.uint64(7 - bit) & np.uint64(1)), first)
+            keys.append(key[first])
+            ones.append(own)
+            zeros.append(total - own)
         keys = np.concatenate(keys)
         order = np.argsort(keys)
         self.keys, zeros, ones = keys[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]
@@ -188,26 +224,31 @@ def at_depth(keys: np.ndarray, depth: int) -> np.ndarray:
     return keys >> np.uint64(8 * (DEPTH + 1 - depth))
 
 
-def levels(keys: np.ndarray, counts: np.ndarray, top: int) -> dict[int, Level]:
-    """Weighted levels from the deepest up to ``top``."""
-    byte, out = keys & np.uint64(255), {}
-    for depth in range(DEPTH, top - 1, -1):
-        out[depth] = Level(at_depth(keys, depth), byte, counts)
-        out[depth].weigh(out[depth + 1].parents(out[depth]) if depth < DEPTH else None)
+def shorter(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context, byte) pairs with their counts, the contexts one byte shorter."""
+    return summed((pairs >> np.uint64(16) << np.uint64(8)) | (pairs & np.uint64(255)), counts)
+
+
+def levels(pairs: np.ndarray, counts: np.ndarray, top: int, deepest: int = DEPTH, below: np.ndarray | None = None) -> dict[int, Level]:
+    """Weighted levels from ``deepest`` up to ``top``; ``below`` are the sums beneath the nodes of the deepest one."""
+    out = {}
+    for depth in range(deepest, top - 1, -1):
+        out[depth] = Level(pairs, counts)
+        out[depth].weigh(out[depth + 1].parents(out[depth]) if depth < deepest else below)
+        pairs, counts = shorter(pairs, counts)
     return out
 
 
 def top_levels(rows: pd.DataFrame) -> dict[int, Level]:
-    """Depths 0 and 1 from sums by latest byte and node: counts of bytes (kind 0), log probabilities below (kind 1)."""
-    seen, below = rows[rows.part == 0], rows[rows.part == 1]
-    latest, byte = seen.latest.to_numpy(np.uint64), seen.node.to_numpy(np.uint64)
-    out = {1: Level(latest, byte, seen.value.to_numpy()), 0: Level(latest * np.uint64(0), byte, seen.value.to_numpy())}
-    deeper = np.zeros(len(out[1].keys))
-    at, known = out[1].find(below.latest.to_numpy(np.uint64) << np.uint64(8) | below.node.to_numpy(np.uint64))
-    np.add.at(deeper, at[known], below.value.to_numpy()[known])
-    out[1].weigh(deeper)
-    out[0].weigh(out[1].parents(out[0]))
-    return out
+    """The levels above the cut from sums: counts by context and byte (part 0), log probabilities below by context and node (part 1)."""
+    seen, under = rows[rows.part == 0], rows[rows.part == 1]
+    pairs, order = np.unique(seen["key"].to_numpy(np.uint64), return_index=True)
+    counts = seen.value.to_numpy(float)[order]
+    last = Level(pairs, counts)
+    below = np.zeros(len(last.keys))
+    at, known = last.find(under["key"].to_numpy(np.uint64))
+    np.add.at(below, at[known], under.value.to_numpy(float)[known])
+    return levels(pairs, counts, 0, CUT - 1, below)
 
 
 def log10_probabilities(keys: np.ndarray, tree: dict[int, Level]) -> np.ndarray:
@@ -236,18 +277,18 @@ def log10_probabilities(keys: np.ndarray, tree: dict[int, Level]) -> np.ndarray:
 
 
 def counted(train: DataFrame, shards: int, salts: int) -> DataFrame:
-    """Keys and counts by kind and shard: summed in each task, then by salt, then by shard."""
+    """Keys and counts by kind and shard, and ``asked``: how many keys the blocks had in all. Summed in each task, then in rounds."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts, n, turn = [], 0, 0
+        texts, n, turn = [], 0, TaskContext.get().partitionId()
 
         def rows(salt: int) -> pd.DataFrame:
             out = [
-                (kind, s, salt, keys[at].tobytes(), counts[at].tobytes())
+                (kind, s, salt, len(at), planes(keys[at], True), planes(counts[at]))
                 for kind, (keys, counts) in enumerate(gathered(texts))
                 for s, at in by_shard(kind, keys, shards)
             ]
-            return pd.DataFrame(out, columns=["kind", "shard", "salt", "keys", "counts"])
+            return pd.DataFrame(out, columns=["kind", "shard", "salt", "asked", "keys", "counts"])
 
         for b in batches:
             for t in b.text:
@@ -255,19 +296,23 @@ def counted(train: DataFrame, shards: int, salts: int) -> DataFrame:
                 n += len(t or "")
                 if n >= BLOCK_CHARS:
                     yield rows(turn % salts)
-                    texts, n, turn = [], 0, turn + 1
+                    texts, n, turn = [], 0, turn + 7919
         if texts:
             yield rows(turn % salts)
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(k, np.uint64) for k in group["keys"]])
-        keys, counts = summed(keys, np.concatenate([np.frombuffer(c, np.int64) for c in group.counts]))
-        return pd.DataFrame({"kind": group.kind[:1], "shard": group.shard[:1], "salt": [0], "keys": [keys.tobytes()], "counts": [counts.tobytes()]})
+        keys = np.concatenate([from_planes(k, True) for k in group["keys"]])
+        keys, counts = summed(keys, np.concatenate([from_planes(c) for c in group.counts]))
+        own = group[["kind", "shard", "salt"]].iloc[:1]
+        return own.assign(asked=int(group.asked.sum()), keys=[planes(keys, True)], counts=[planes(counts)])
 
     found = spread(train.select("text")).mapInPandas(count, COUNTS)
-    if salts > 1:
+    while True:
         found = found.groupBy("kind", "shard", "salt").applyInPandas(merge, COUNTS)
-    return found.groupBy("kind", "shard").applyInPandas(merge, COUNTS)
+        if salts == 1:
+            return found
+        salts = -(-salts // FAN_IN)
+        found = found.withColumn("salt", F.col("salt") % salts)
 
 
 def word_totals(model: DataFrame) -> tuple[int, int]:
@@ -275,7 +320,7 @@ def word_totals(model: DataFrame) -> tuple[int, int]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [np.frombuffer(c, np.int64) for c in b.counts]
+            found = [from_planes(c) for c in b.counts]
             yield pd.DataFrame({"n": [int(c.sum()) for c in found], "v": [len(c) for c in found]})
 
     got = model.filter(F.col("kind") == WORDS).select("counts").mapInPandas(run, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
@@ -283,44 +328,45 @@ def word_totals(model: DataFrame) -> tuple[int, int]:
 
 
 def top_of(model: DataFrame) -> dict[int, Level]:
-    """The two top levels; at most two rows for each pair of a byte and a node reach the driver."""
+    """The levels above the cut; a row for each context of that length and byte or node reaches the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for raw_keys, raw_counts in zip(b["keys"], b.counts):
-                keys, counts = np.frombuffer(raw_keys, np.uint64), np.frombuffer(raw_counts, np.int64).astype(float)
-                second = levels(keys, counts, 2)[2]
-                pairs = at_depth(keys, 1) << np.uint64(8) | keys & np.uint64(255)
-                nodes = (second.keys >> np.uint64(16) << np.uint64(8)) | (second.keys & np.uint64(255))
-                for part, of, value in ((0, pairs, counts), (1, nodes, second.log_w)):
-                    key, at = np.unique(of, return_inverse=True)
-                    yield pd.DataFrame({
-                        "part": part, "latest": (key >> np.uint64(8)).astype(np.int64), "node": (key & np.uint64(255)).astype(np.int64),
-                        "value": np.bincount(at, value, len(key)),
-                    })
+                pairs, counts = from_planes(raw_keys, True), from_planes(raw_counts).astype(float)
+                at_cut = levels(pairs, counts, CUT)[CUT]
+                for _ in range(DEPTH + 1 - CUT):
+                    pairs, counts = shorter(pairs, counts)
+                nodes = summed((at_cut.keys >> np.uint64(16) << np.uint64(8)) | (at_cut.keys & np.uint64(255)), at_cut.log_w)
+                for part, (key, value) in enumerate(((pairs, counts), nodes)):
+                    yield pd.DataFrame({"part": part, "key": key.astype(np.int64), "value": value})
 
     own = model.filter(F.col("kind") == STRINGS).select("keys", "counts")
-    rows = own.mapInPandas(run, "part int, latest long, node long, value double")
-    return top_levels(rows.groupBy("part", "latest", "node").agg(F.sum("value").alias("value")).orderBy("part", "latest", "node").toPandas())
+    rows = own.mapInPandas(run, "part int, key long, value double")
+    return top_levels(rows.groupBy("part", "key").agg(F.sum("value").alias("value")).orderBy("part", "key").toPandas())
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
-    """Per row: held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities)."""
+    """Per row: held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities), bits_per_byte (code length)."""
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(int(chars) // BLOCK_CHARS + 1, 4 * spark.sparkContext.defaultParallelism)
-    shards, salts = max(8, min(blocks, 4096)), blocks // SALT_BLOCKS + 1
+    shards = max(8, min(blocks, MOST_SHARDS))
     path = shared_folder(spark)
-    counted(docs.filter(~held_out), shards, salts).drop("salt").write.parquet(path)
-    model = spark.read.schema("kind int, shard int, keys binary, counts binary").parquet(path)
+    counted(docs.filter(~held_out), shards, -(-blocks // FAN_IN)).drop("salt").write.parquet(path)
+    model = spark.read.schema("kind int, shard int, asked long, keys binary, counts binary").parquet(path)
     train_tokens, different = word_totals(model)
-    top = top_of(model)
+    top = spark.sparkContext.broadcast(top_of(model))
+    # One number for each of at most 2 * MOST_SHARDS shards.
+    salts = {(r.kind, r.shard): r.asked // ASKED + 1 for r in model.select("kind", "shard", "asked").collect()}
 
     def ask(group: pd.DataFrame) -> pd.DataFrame:
-        block = int(group.block.iloc[0])
+        block, texts = int(group.block.iloc[0]), list(group.text)
+        words = distinct(hashed(set().union(*map(tokens, texts))))
+        own = distinct(np.concatenate([distinct(strings([p for _, p in part])[0]) for part in in_parts(texts)]))
         rows = [
-            (kind, s, block % salts, block, keys[at].tobytes())
-            for kind, (keys, _) in enumerate(gathered(list(group.text)))
+            (kind, s, block % salts.get((kind, s), 1), block, planes(keys[at], True))
+            for kind, keys in enumerate((words, own))
             for s, at in by_shard(kind, keys, shards)
         ]
         return pd.DataFrame(rows, columns=["kind", "shard", "salt", "block", "keys"])
@@ -329,24 +375,24 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         if not len(asked):
             return pd.DataFrame(columns=["kind", "shard", "block", "found"])
         kind = int(asked.kind.iloc[0])
-        keys = np.frombuffer(known["keys"].iloc[0], np.uint64) if len(known) else np.zeros(0, np.uint64)
-        counts = np.frombuffer(known.counts.iloc[0], np.int64) if len(known) else np.zeros(0, np.int64)
-        tree = top | levels(keys, counts.astype(float), 2) if kind == STRINGS else None
-        found = []
-        for raw in asked["keys"]:
-            wanted = np.frombuffer(raw, np.uint64)
-            if tree is not None:
-                found.append(log10_probabilities(wanted, tree).astype(np.float32).tobytes())
-            elif not len(keys):
-                found.append(np.zeros(len(wanted), np.int64).tobytes())
-            else:
-                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                found.append(np.where(keys[at] == wanted, counts[at], 0).tobytes())
+        keys = from_planes(known["keys"].iloc[0], True) if len(known) else np.zeros(0, np.uint64)
+        counts = from_planes(known.counts.iloc[0]) if len(known) else np.zeros(0, np.uint64)
+        wanted = [from_planes(raw, True) for raw in asked["keys"]]
+        every = distinct(np.concatenate(wanted))
+        if kind == STRINGS:
+            tree = top.value | levels(keys, counts.astype(float), CUT)
+            values = log10_probabilities(every, tree).astype(np.float32)
+        else:
+            at, values = np.searchsorted(keys, every), np.zeros(len(every), np.int64)
+            hit = np.flatnonzero(at < len(keys))
+            hit = hit[keys[at[hit]] == every[hit]]
+            values[hit] = counts[at[hit]]
+        found = [values[np.searchsorted(every, w)].tobytes() for w in wanted]
         return pd.DataFrame({"kind": asked.kind, "shard": asked.shard, "block": asked.block, "found": found})
 
     def finish(group: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(group):
-            return pd.DataFrame(columns=[c.split()[0] for c in out.split(", ")])
+            return pd.DataFrame(columns=[c.split()[0] for c in OUT.split(", ")])
         texts = list(group.text)
         reply = {(k, s): f for k, s, f in zip(replies.kind, replies.shard, replies.found)}
 
@@ -356,35 +402,43 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
                 values[at] = np.frombuffer(reply[kind, s], dtype)
             return values
 
-        # Each different word is hashed once, each different string of a part looked up once.
-        own = [tokens(t) for t in texts]
-        different_words = list(set().union(*own))
-        hashes = hashed(different_words)
-        keys = np.unique(hashes)
-        count_of = dict(zip(different_words, answered(WORDS, keys, np.int64)[np.searchsorted(keys, hashes)].tolist()))
+        # Each different word is hashed once.
+        own = list(map(tokens, texts))
+        n_tokens = np.array(list(map(len, own)), np.int64)
+        begin = np.cumsum(n_tokens) - n_tokens
+        place = {w: k for k, w in enumerate(set().union(*own))}
+        hashes = hashed(place)
+        keys = distinct(hashes)
+        counts = answered(WORDS, keys, np.int64)[np.searchsorted(keys, hashes)]
+        of = np.fromiter((place[w] for t in own for w in t), np.int64, int(n_tokens.sum()))
+        base = np.add.reduceat(np.log10((counts + 1) / (train_tokens + different + 1))[of], begin)
+        n_known = np.add.reduceat((counts > 0).astype(np.int64)[of], begin)
+        # Strings are sorted together with their piece: each different one of a piece is looked up once.
         parts = []
         for part in in_parts(texts):
-            found, begin = strings(part)
-            parts.append((*np.unique(found, return_inverse=True), begin))
-        keys = np.unique(np.concatenate([p[0] for p in parts]))
-        values, scores, rows = answered(STRINGS, keys, np.float32).astype(float), [], []
-        for some, places, begin in parts:
-            scores.append(np.add.reduceat(values[np.searchsorted(keys, some)][places], begin))
-        for t in own:
-            c = np.array([count_of[w] for w in t], float)
-            rows.append((len(c), int((c > 0).sum()), float(np.log10((c + 1) / (train_tokens + different + 1)).sum())))
-        n_tokens, n_known, base = zip(*rows)
+            found, sizes = strings([p for _, p in part])
+            found = np.sort(found << np.uint64(8) | np.repeat(np.arange(len(part), dtype=np.uint64), sizes))
+            first = firsts(found)
+            often = np.diff(np.append(first, len(found)))
+            parts.append(([place_ for place_, _ in part], sizes, found[first], often))
+        keys = distinct(np.concatenate([distinct(f >> np.uint64(8)) for _, _, f, _ in parts]))
+        values, scores, n_bytes = answered(STRINGS, keys, np.float32).astype(float), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for places, sizes, found, often in parts:
+            each = values[np.searchsorted(keys, found >> np.uint64(8))] * often
+            np.add.at(scores, places, np.bincount((found & np.uint64(255)).astype(np.int64), each, len(places)))
+            np.add.at(n_bytes, places, sizes)
         return pd.DataFrame({
             "doc_id": group.doc_id.astype("Int64"), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": train_tokens,
-            "base_score": base, "score": np.concatenate(scores),
+            "base_score": base, "score": scores, "n_bytes": n_bytes,
         })
 
-    out = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     dealt = docs.select("doc_id", "text", block.alias("block")).repartition(blocks, "block")
     asked = dealt.groupBy("block").applyInPandas(ask, REQUESTS)
-    salted = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = F.sequence(F.lit(0), F.floor(F.col("asked") / ASKED).cast("int"))
+    salted = model.select("kind", "shard", "keys", "counts", F.explode(copies).alias("salt"))
     key = ["kind", "shard", "salt"]
     replies = asked.groupBy(*key).cogroup(salted.groupBy(*key)).applyInPandas(answer, REPLIES)
-    scored = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(finish, out)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scored = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(finish, OUT)
+    bits = -F.col("score") / float(np.log10(2)) / F.col("n_bytes")
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", bits.alias("bits_per_byte"))
