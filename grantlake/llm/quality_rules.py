@@ -11,7 +11,8 @@ shared line decides would undercount just the lines that are to be found. A host
 counted by the same key.
 
 Defined cases: a null or empty text has no words, fails the base rules and isn't kept. A null host
-is a host of its own. Repeated rows are rows of their own; columns other than doc_id, text and the
+is the host with the empty name. A very long text is read whole; its lines travel as 12 bytes each.
+Repeated rows are rows of their own and get one verdict; a count equal to a limit is within it. Columns other than doc_id, text and the
 host column are ignored, whatever their names. An empty table gives an empty result.
 """
 
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,11 +35,13 @@ LINE_MIN_DOCS = 10
 LINE_MAX_SHARE = 0.02
 # A document is depleted when fewer of its words than this share are left.
 MIN_SHARE_LEFT = 0.3
+# So many (host, line) rows, of 24 bytes and a host's name, are broadcast.
+MOST_BROADCAST = 100_000
 # The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 
 PROFILE = (
-    "row_id long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    "row_id long, doc_id long, host string, row_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, content_key long, lines array<struct<h: long, n: int>>"
 )
 
@@ -95,12 +98,12 @@ def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content_key", "lines"]
     for b in batches:
         out = pd.DataFrame([profile_text(t) for t in b.text], columns=names)
-        yield pd.concat([b[["row_id", "doc_id", "host"]].reset_index(drop=True), out], axis=1)
+        yield pd.concat([b[["row_id", "doc_id", "host", "row_key"]].reset_index(drop=True), out], axis=1)
 
 
 def profiles(docs: DataFrame, host: str = "source") -> DataFrame:
     """Base figures of each document and its hashed lines; one pass over the texts, then kept."""
-    own = spread(docs.select("doc_id", "text", F.col(host).alias("host")))
+    own = spread(docs.select("doc_id", "text", F.col(host).alias("host"), row_key(F.col("text"), F.col(host)).alias("row_key")))
     own = own.withColumn("row_id", F.monotonically_increasing_id())
     return cut_lineage(own.mapInPandas(_profiles, PROFILE))
 
@@ -118,16 +121,17 @@ def frequent_lines(profile: DataFrame, min_docs: int = LINE_MIN_DOCS, max_share:
     return carriers.join(docs, "host").filter(F.col("n_docs") > F.col("host_docs") * max_share).select("host", "h")
 
 
-def verdicts(docs: DataFrame, host: str = "source", min_share_left: float = MIN_SHARE_LEFT) -> DataFrame:
-    """One row per document: base figures, ``removed`` (hashes of the lines to drop) and ``kept``."""
+def verdicts(docs: DataFrame, host: str = "source", min_share_left: float = MIN_SHARE_LEFT, min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per document: base figures, ``removed`` (hashes of the lines to drop), ``kept`` and ``row_key``."""
     profile = profiles(docs, host)
     lines = profile.select("row_id", F.coalesce("host", F.lit("")).alias("host"), F.explode("lines").alias("line"))
     lines = lines.select("row_id", "host", F.col("line.h").alias("h"), F.col("line.n").alias("n"))
-    lost = (
-        lines.join(frequent_lines(profile), ["host", "h"], "left_semi")
-        .groupBy("row_id").agg(F.sum("n").alias("lost_words"), F.collect_set("h").alias("removed"))
-    )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
+    frequent = cut_lineage(frequent_lines(profile))
+    # The lines of all documents stay where they are as long as the frequent ones are few.
+    if frequent.count() <= MOST_BROADCAST:
+        frequent = F.broadcast(frequent)
+    lost = lines.join(frequent, ["host", "h"], "left_semi").groupBy("row_id").agg(F.sum("n").alias("lost_words"), F.collect_set("h").alias("removed"))
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     lost_words = F.coalesce("lost_words", F.lit(0))
     return (
         profile.drop("lines", "content_key").join(lost, "row_id", "left")
@@ -150,13 +154,20 @@ def without_lines(text: pd.Series, removed: pd.Series) -> pd.Series:
     return pd.Series([strip(t, d) for t, d in zip(text, removed)], dtype=object)
 
 
-def clean(docs: DataFrame, host: str = "source") -> DataFrame:
+def row_key(text: Column, host: Column) -> Column:
+    """What a verdict depends on besides the counts; with the doc_id it tells rows apart."""
+    return F.xxhash64(text, host)
+
+
+def clean(docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS) -> DataFrame:
     """Rejected documents go, boilerplate lines go from the rest; columns stay those of ``docs``.
 
-    Rows of one doc_id are kept or rejected together: each stays if any of them is kept.
+    A verdict is a row's own, by its doc_id, text and host: rows with one or no doc_id are judged each.
     """
-    found = verdicts(docs, host).filter("kept").groupBy("doc_id").agg(F.flatten(F.collect_list("removed")).alias("removed"))
-    joined = docs.alias("d").join(found.select(F.col("doc_id").alias("_id"), "removed").alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f._id")))
+    found = verdicts(docs, host, min_words=min_words).filter("kept")
+    found = found.groupBy(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).agg(F.first("removed").alias("removed"))
+    own = F.col("d.doc_id").eqNullSafe(F.col("f._id")) & (row_key(F.col("d.text"), F.col(f"d.{host}")) == F.col("f._key"))
+    joined = docs.alias("d").join(found.alias("f"), own)
     left = "_" * (1 + max(map(len, docs.columns)))  # no column of docs has a name as long
     out = joined.select(*[F.col(f"d.{c}") for c in docs.columns], without_lines(F.col("d.text"), F.col("f.removed")).alias(left))
     if "n_chars" in docs.columns:
