@@ -7,13 +7,15 @@ subtract cell by cell: what both texts have cancels, and peeling cells that hold
 which digests differ and on which side. If peeling gets stuck, both sketches are made again at twice
 the size. Likeness is the share of paragraphs in common among all paragraphs of both.
 
-A document's next one in doc_id order comes by ranges of doc_id: the first document of each range is
-also dealt to the range before it, so no task needs more than its own range.
+A document's next one in doc_id order is the next row of a sorted range of doc_id. The last document of
+each range waits beside the results, as does the first: these two texts a range are joined afterwards.
+So texts are shuffled once, no task needs more than its range, and that only as a stream.
 
 Defined cases: a null text is an empty one; an empty text has an empty sketch, and two empty texts have
 likeness 1. The document with the largest doc_id is followed by that with the smallest; a single
 document is followed by itself. Rows with one doc_id follow each other in order of their texts; those
-with a null doc_id come first. Extra columns are ignored. An empty table gives an empty result.
+with a null doc_id come first. A very long text is sketched whole, in one task. Extra columns are
+ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,13 +28,16 @@ from operator import sub, xor
 
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from grantlake.llm.common import cut_lineage
+
 MAX_WORDS = 12
 BASE_CELLS = 24
 RANGE_ROWS = 4096
-MAX_RANGES = 4096
+MAX_RANGES = 100_000
 PARAGRAPH_END = re.compile(r"\n|(?<=[.!?])\s+")
 OUT = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
@@ -140,49 +145,60 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def in_ranges(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """(part, tail, doc_id, text): documents in ranges of doc_id, each followed by the first of the next range.
+FOUND = f"{OUT}, part int, edge string, text string"
+NAMES = [c.split()[0] for c in OUT.split(", ")]
 
-    The limits of the ranges are quantiles of doc_id, ``MAX_RANGES`` at most: more rows make longer
-    ranges, which are sorted on disk and read as a stream. Tail rows are one document a range.
-    """
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = min(MAX_RANGES, own.count() // range_rows + 1)
-    limits = own.filter(F.col("doc_id").isNotNull()).approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []
-    limits = F.array(*[F.lit(x) for x in sorted(set(map(int, limits)))]).cast("array<long>")
-    number = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(limits, lambda x: x <= F.col("doc_id"))))
-    dealt = own.withColumn("part", number)
-    firsts = dealt.groupBy("part").agg(F.when(~F.bool_or(F.col("doc_id").isNull()), F.min("doc_id")).alias("first"))
-    last = F.max("part").over(Window.partitionBy())
-    firsts = firsts.select("first", F.coalesce(F.lag("part").over(Window.orderBy("part")), last).alias("part"))
-    tails = own.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("first"))).select("part", F.lit(1).alias("tail"), "doc_id", "text")
-    return dealt.select("part", F.lit(0).alias("tail"), "doc_id", "text").union(tails)
+
+def compared(doc_id: int | None, text: str, own: Sketches, following: str, its: Sketches) -> tuple:
+    """A result row: a text against its edited text and against the following one."""
+    changed = edited(text, following)
+    other = Sketches(changed)
+    return (
+        doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(),
+        own.fingerprint(), other.fingerprint(), own.likeness(other), own.likeness(its),
+    )
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of part, tail, doc_id: each document meets the one after it."""
-    part = before = None
+    """Sorted rows of a range: each document meets the one after it; the first and the last are passed on."""
+    part, before = TaskContext.get().partitionId(), None
+
+    def edge(kind: str, row: tuple) -> tuple:
+        return (row[0], *[None] * 6, part, kind, row[1])
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*NAMES, "part", "edge", "text"]).astype({"doc_id": "Int64", "n_chars": "Int64", "part": "Int32"})
+
     for b in batches:
         rows = []
-        for now, tail, doc_id, text in zip(b["part"], b["tail"], b["doc_id"], b["text"]):
-            if now != part:
-                part, before = now, None
-            if before is None and tail:
-                continue
+        for doc_id, text in zip(b["doc_id"], b["text"]):
             here = (doc_id, text, Sketches(text))
-            if before is not None:
-                changed = edited(before[1], text)
-                other = Sketches(changed)
-                rows.append(
-                    (before[0], len(before[1]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest())
-                    + (before[2].fingerprint(), other.fingerprint(), before[2].likeness(other), before[2].likeness(here[2]))
-                )
-            before = None if tail else here
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
-        yield out.astype({"doc_id": "Int64"})
-
-
-def versions(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text and of its edited text, and how alike sketches find them. One text shuffle."""
-    dealt = in_ranges(docs).repartition("part").sortWithinPartitions("part", "tail", "doc_id", "text")
-    return dealt.mapInPandas(_compare, OUT)
+            rows.append(edge("first", here) if before is None else (*compared(*before, text, here[2]), None, None, None))
+            before = here
+        yield frame(rows)
+    if before is not None:
+        yield frame([edge("last", before)])
+
+
+def _compare_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [compared(d, t, Sketches(t), f, Sketches(f)) for d, t, f in zip(b["doc_id"], b["text"], b["following"])]
+        yield pd.DataFrame(rows, columns=NAMES).astype({"doc_id": "Int64"})
+
+
+def versions(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Fingerprints of each text and of its edited text, and how alike sketches find them. One text shuffle.
+
+    Rows without a doc_id are spread over ranges by how their texts begin, which agrees with their order.
+    """
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ranges = min(MAX_RANGES, max(own.count() // range_rows + 1, docs.sparkSession.sparkContext.defaultParallelism))
+    dealt = own.repartitionByRange(ranges, "doc_id", F.when(F.col("doc_id").isNull(), F.substring("text", 1, 32)))
+    # Kept, as the limits of the ranges are drawn anew whenever they are dealt.
+    found = cut_lineage(dealt.sortWithinPartitions("doc_id", "text").mapInPandas(_compare, FOUND))
+    last = found.filter("edge = 'last'").select("part", "doc_id", "text")
+    numbers, every = last.select("part"), Window.partitionBy()
+    after = numbers.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(every)).alias("next"))
+    first = found.filter("edge = 'first'").select(F.col("part").alias("next"), F.col("text").alias("following"))
+    edges = last.join(after, "part").join(first, "next").select("doc_id", "text", "following")
+    return found.filter("edge IS NULL").select(*NAMES).unionByName(edges.mapInPandas(_compare_edges, OUT))
