@@ -6,9 +6,11 @@ repeats the one before it is marked. A feature's value is its damped count, each
 length one, so that long and short texts weigh alike. The follow-the-regularised-leader update keeps
 per-coordinate step sizes and sets weak weights to exactly zero; scoring is a sparse dot product.
 
-The fit reads at most ``TRAIN_ROWS`` labelled rows (a documented bound); every document is scored over
-its whole text. Defined cases: a null or empty text scores by the bias alone; with no labelled rows of
-either kind every score is 0.5. Repeated rows are scored each; extra columns are ignored.
+The fit reads at most ``TRAIN_ROWS`` labelled rows of at most ``TRAIN_FEATURES`` n-grams each (documented
+bounds: 0.4 GB on the driver; longer texts are no examples); every document is scored over its whole
+text, however long. Defined cases: a null or empty text scores by the bias alone; with no labelled rows
+of either kind every score is 0.5. Of repeated label rows the largest label counts; repeated rows are
+scored each, extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 from grantlake.llm.common import dealt, labelled, spread, words_of
 
 TRAIN_ROWS = 6000
+TRAIN_FEATURES = 8192
 BITS = 20
-KINDS = ((re.compile(rb"[A-Z\xc3][A-Z\x80-\xbf\xc3]+"), b"A"), (re.compile(rb"[A-Za-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"0"))
+# Capitals (two or more, Latin-1 ones as UTF-8 writes them), other letters, digits.
+KINDS = ((re.compile(rb"(?:[A-Z]|\xc3[\x80-\x96\x98-\x9e]){2,}"), b"A"), (re.compile(rb"[A-Za-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"0"))
 KNOWN_FORMS = 300_000
 _forms: dict[bytes, bytes] = {}
 
@@ -87,7 +91,10 @@ class Ftrl:
 def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = [features(t) for t in b.text]
-        yield pd.DataFrame({"doc_id": b.doc_id, "y": b.y, "i": [r[0] for r in rows], "x": [r[1] for r in rows]})
+        short = np.array([len(r[0]) <= TRAIN_FEATURES for r in rows], bool)
+        b, rows = b.loc[short], [r for r, s in zip(rows, short) if s]
+        if rows:
+            yield pd.DataFrame({"doc_id": b.doc_id.to_numpy(), "y": b.y.to_numpy(), "i": [r[0] for r in rows], "x": [r[1] for r in rows]})
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, rows: int = TRAIN_ROWS, epochs: int = 4) -> np.ndarray:
