@@ -46,7 +46,8 @@ PART_BYTES = 2_000_000
 MOST_PIECES = 256
 MOST_SHARDS = 4096
 FAN_IN = 64
-ASKED = 4_000_000
+ASKED = 2_000_000
+LOOKED_UP = 200_000
 WORDS, STRINGS = 0, 1
 COUNTS = "kind int, shard int, salt int, asked long, keys binary, counts binary"
 REQUESTS = "kind int, shard int, salt int, block int, keys binary"
@@ -252,7 +253,11 @@ def top_levels(rows: pd.DataFrame) -> dict[int, Level]:
 
 
 def log10_probabilities(keys: np.ndarray, tree: dict[int, Level]) -> np.ndarray:
-    """log10 of the probability of each string's last byte after the bytes before it."""
+    """log10 of the probability of each string's last byte after the bytes before it, some strings at a time."""
+    return np.concatenate([_looked_up(keys[at : at + LOOKED_UP], tree) for at in range(0, max(len(keys), 1), LOOKED_UP)])
+
+
+def _looked_up(keys: np.ndarray, tree: dict[int, Level]) -> np.ndarray:
     byte, total = keys & np.uint64(255), np.zeros(len(keys))
     for bit in range(8):
         got, left = np.zeros(len(keys)), np.ones(len(keys))
@@ -362,7 +367,10 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
 
     def ask(group: pd.DataFrame) -> pd.DataFrame:
         block, texts = int(group.block.iloc[0]), list(group.text)
-        words = distinct(hashed(set().union(*map(tokens, texts))))
+        different_words: set[bytes] = set()
+        for t in texts:
+            different_words.update(tokens(t))
+        words = distinct(hashed(different_words))
         own = distinct(np.concatenate([distinct(strings([p for _, p in part])[0]) for part in in_parts(texts)]))
         rows = [
             (kind, s, block % salts.get((kind, s), 1), block, planes(keys[at], True))
@@ -402,24 +410,24 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
                 values[at] = np.frombuffer(reply[kind, s], dtype)
             return values
 
-        # Each different word is hashed once.
-        own = list(map(tokens, texts))
-        n_tokens = np.array(list(map(len, own)), np.int64)
-        begin = np.cumsum(n_tokens) - n_tokens
-        place = {w: k for k, w in enumerate(set().union(*own))}
-        hashes = hashed(place)
-        keys = distinct(hashes)
-        counts = answered(WORDS, keys, np.int64)[np.searchsorted(keys, hashes)]
-        of = np.fromiter((place[w] for t in own for w in t), np.int64, int(n_tokens.sum()))
-        base = np.add.reduceat(np.log10((counts + 1) / (train_tokens + different + 1))[of], begin)
-        n_known = np.add.reduceat((counts > 0).astype(np.int64)[of], begin)
+        def of_words() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Tokens, known ones and base score of each text; each different word is hashed once."""
+            place: dict[bytes, int] = {}
+            of = [np.array([place.setdefault(w, len(place)) for w in tokens(t)], np.int32) for t in texts]
+            n_tokens, hashes = np.array(list(map(len, of)), np.int64), hashed(place)
+            keys = distinct(hashes)
+            counts = answered(WORDS, keys, np.int64)[np.searchsorted(keys, hashes)]
+            logs, known = np.log10((counts + 1) / (train_tokens + different + 1)), (counts > 0).astype(np.int64)
+            return n_tokens, np.array([known[o].sum() for o in of]), np.array([logs[o].sum() for o in of])
+
+        n_tokens, n_known, base = of_words()
         # Strings are sorted together with their piece: each different one of a piece is looked up once.
         parts = []
         for part in in_parts(texts):
             found, sizes = strings([p for _, p in part])
             found = np.sort(found << np.uint64(8) | np.repeat(np.arange(len(part), dtype=np.uint64), sizes))
             first = firsts(found)
-            often = np.diff(np.append(first, len(found)))
+            often = np.diff(np.append(first, len(found))).astype(np.int32)
             parts.append(([place_ for place_, _ in part], sizes, found[first], often))
         keys = distinct(np.concatenate([distinct(f >> np.uint64(8)) for _, _, f, _ in parts]))
         values, scores, n_bytes = answered(STRINGS, keys, np.float32).astype(float), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
