@@ -14,7 +14,11 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table. Arrow batches are kept small, since texts may be long."""
+    """One input table.
+
+    Arrow batches are kept small, since texts may be long. That is a setting of the session, and Spark has
+    none for a single query: who calls an operator on other tables should set it too.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,11 +51,14 @@ def words_of(text: str | None) -> list[bytes]:
 def _checkpoints(spark: SparkSession) -> str:
     """The checkpoint folder: the one the cluster names in spark.checkpoint.dir, which all machines share.
 
-    Only a session without that setting (tests) gets a folder of its own.
+    Only a local session without that setting (tests) gets a folder of its own.
     """
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/grantlake")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(named or "/tmp/checkpoints/grantlake")
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -62,10 +69,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the checkpoint folder for a table that a query writes and reads back."""
+    """A new folder under the checkpoint folder for a table that a query writes and reads back.
+
+    Where the reader comes after the function has returned, the folder stays, as checkpoints do, until
+    the cluster clears its checkpoint folder.
+    """
     return f"{_checkpoints(spark)}/{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder of ``shared_folder`` that nothing reads any more."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    of.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(of, True)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, limit: int) -> DataFrame:
     """(doc_id, text, y) of at most ``limit`` labelled documents to learn from, the same ones each time.
 

@@ -8,7 +8,8 @@ ranks of a length go to which sequences, and every piece finds its own place by
 
 Defined cases: a null text is an empty one; an empty text is one token, the end id. A document longer
 than the capacity is cut into full pieces behind a first, shorter one. Repeated rows are packed each.
-Extra columns are ignored. An empty table gives an empty result.
+A very long text is encoded whole before it is cut. Pieces of one length that tie go by doc_id, place
+and checksum. Extra columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

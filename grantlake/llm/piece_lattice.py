@@ -15,7 +15,8 @@ one. A character that no piece holds is spelt in byte pieces at a score below al
 
 Defined cases: a null or empty text has one segmentation, without pieces, and score 0. Fewer than N
 segmentations are returned where there are no more. Blank marks in the text itself decode to blanks.
-Repeated rows are encoded each; extra columns are ignored.
+A very long text is encoded whole, unit by unit. Repeated rows are encoded each; extra columns are
+ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

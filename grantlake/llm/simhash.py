@@ -21,9 +21,13 @@ band's value that more than ``LARGE_BAND`` different texts share isn't paired up
 compared with ``LEADERS`` of them in each such band.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; with fewer words
-than a shingle the whole sequence is one shingle; repeated rows are rows of their own in one class. A
-document with a null doc_id gets its fingerprint's class but names none and links none. Extra columns
-are ignored. An empty table gives an empty result.
+than a shingle the whole sequence is one shingle; a very long text is read whole, in chunks. Repeated
+rows are rows of their own in one class. Rows of one doc_id with different texts are one document: what
+its texts reach is one class. A row with a null doc_id gets its fingerprint's class but names none and
+links none. Extra columns are ignored. An empty table gives an empty result.
+
+Hot keys: a fingerprint that a third of all documents share, or a star's hub, is one narrow row on one
+side of its joins; the long side is split by AQE's skew join.
 """
 
 from __future__ import annotations
@@ -161,13 +165,6 @@ def classes(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_B
     return found.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """One document of each class, the one with the least doc_id; rows without a doc_id stay."""
-    first = classes(docs, shingle, max_bits).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
-
-
 def shingle_set(text: str | None, shingle: int = SIMILAR_WORDS) -> np.ndarray:
     """Sorted different hashes of the word shingles; none for a text without words."""
     words = [w.lower() for w in words_of(text)]

@@ -9,9 +9,10 @@ some of its words share (a toxic stem shows in words that no training text has);
 frequencies, summed by Spark.
 
 Bounds: at most ``POSITIVES`` and ``UNLABELLED`` documents are read for the fit, and the class prior is
-the toxic share of the labelled rows to learn from. Every document is scored over its whole text.
-Defined cases: a null or empty text scores by the bias alone; without a positive every score is 0.
-Repeated rows are scored each; extra columns are ignored.
+the toxic share of the labelled rows to learn from. Every document is scored over its whole text, however
+long. Defined cases: a null or empty text scores by the bias alone; without a positive every score is 0
+(to thirteen digits). Repeated rows are scored each; extra columns are ignored. Features that tie for the
+last place go by their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

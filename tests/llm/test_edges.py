@@ -100,9 +100,22 @@ def test_stages_return_the_columns_of_documents(spark, request, stage, folder):
 def test_pipeline_gives_every_kept_document_a_place(spark, edges, nothing):
     rows = corpus_pipeline.run(spark, edges).collect()
     assert {r.doc_id for r in rows} >= {7}
-    assert {3, 4, 5, 10}.isdisjoint(r.doc_id for r in rows)
+    assert {3, 4, 5}.isdisjoint(r.doc_id for r in rows)
     assert corpus_pipeline.run(spark, nothing).collect() == []
 
 
+def test_the_last_stage_ignores_clashing_columns(spark, edges, nothing):
+    docs = spark.read.parquet(f"{edges}/documents.parquet")
+    out = corpus_pipeline.pack_sequences(spark, docs, edges)
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert sum(r.piece == 0 for r in out.collect()) == len(ROWS)
+    assert corpus_pipeline.pack_sequences(spark, spark.read.parquet(f"{nothing}/documents.parquet"), nothing).collect() == []
+
+
+def test_rows_without_an_id_are_judged_each(spark, edges):
+    docs = spark.createDataFrame([(None, PLAIN, "en", "s", 1), (None, "a b c " * 40, "en", "s", 1), (1, PLAIN, "en", "s", 1), (1, "a b c " * 40, "en", "s", 1)], DOCS)
+    assert sorted(map(str, (r.doc_id for r in corpus_pipeline.drop_low_quality(spark, docs, edges).collect()))) == ["1", "None"]
+
+
 def test_names_of_the_tokenizers():
     assert os.path.isfile(public_tokenizers.path("byte_bpe_50k.json"))

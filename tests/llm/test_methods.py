@@ -130,7 +130,12 @@ def naive_tree(texts: list[str]):
     return probability
 
 
-def test_context_tree_equals_a_plain_one(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_context_tree_equals_a_plain_one(spark, monkeypatch, small):
+    """Also where every bound is so small that texts are cut, counts meet in rounds and requests are split."""
+    if small:
+        for name, value in (("BLOCK_CHARS", 4), ("PART_BYTES", 3), ("FAN_IN", 4), ("ASKED", 3), ("LOOKED_UP", 2)):
+            monkeypatch.setattr(context_tree, name, value)
     texts = ["abra cadabra", "Abracadabra abra", "bar é", None, "cab"]
     train, test = [(k, t) for k, t in enumerate(texts)], [(10, "abra bar"), (11, "zebra"), (12, "")]
     docs = spark.createDataFrame(train + test, "doc_id long, text string")
@@ -143,9 +148,10 @@ def test_context_tree_equals_a_plain_one(spark):
         want = sum(probability(raw[at - context_tree.DEPTH : at], raw[at]) for at in range(context_tree.DEPTH, len(raw)))
         own = [*(text or "").lower().split(), ""]
         assert got[k].score == pytest.approx(want, abs=1e-4)
+        assert got[k].bits_per_byte == pytest.approx(-want * math.log2(10) / (len(raw) - context_tree.DEPTH), abs=1e-4)
         assert got[k].base_score == pytest.approx(sum(math.log10((tokens[w] + 1) / (n + 1 * (v + 1))) for w in own))
         assert (got[k].n_tokens, got[k].n_known, got[k].train_tokens, got[k].held_out) == (len(own), sum(w in tokens for w in own), n, k >= 10)
-    assert sum(10 ** probability(b"cabra", byte) for byte in range(256)) == pytest.approx(1)
+    assert sum(10 ** probability(b"acabra", byte) for byte in range(256)) == pytest.approx(1)
 
 
 def test_packing_plan_places_every_rank_once():
@@ -230,8 +236,8 @@ def test_trees_tell_a_loose_format_from_a_code(spark):
     model = pii.train(docs)
     base, every = model.spans("write to jane [at] example [dot] org or a1@ex2.org, id=123456789")
     assert base == [("email", 40, 50)]
-    assert set(base) <= set(every)
-    assert all(kind == "email" for kind, _, _ in every)
+    # The spelt-out address is added, the code isn't.
+    assert every == [("email", 9, 36), ("email", 40, 50)]
     assert pii.redacted("a b@c.de f", [("email", 2, 8)]) == "a [EMAIL] f"
 
 
@@ -252,9 +258,17 @@ def test_planted_loose_spans_are_found(spark):
         return next(body + c for c in "0123456789" if pii.luhn(body + c))
 
     def plain(k: int) -> str:
-        return [f"call +1 {number(3)} {number(3)} {number(4)} now", f"paid by card {card()} then", f"key={number(16)} done", f"isbn {number(13)} here", f"on 2024-{rng.randint(10, 12)}-{rng.randint(10, 28)} at", f"token {number(10)} ok"][k % 6]
+        return [f"call +1 {number(3)} {number(3)} {number(4)} now" if k % 12 else f"mail {word()}.{word()}@{word()}.org or +1 ({number(3)}) {number(3)}-{number(4)}", f"paid by card {card()} then", f"key={number(16)} done", f"isbn {number(13)} here", f"on 2024-{rng.randint(10, 12)}-{rng.randint(10, 28)} at", f"token {number(10)} ok"][k % 6]
+
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
 
     def loose(k: int) -> tuple[str, str, int, int]:
+        if k % 4 == 0:
+            own = rng.choice([f"{word()} (at) {word()}.com", f"{word()} dot {word()} [at] {word()} [dot] org", f"{word()}[at]{word()}.org"])
+            return f"write to {own}, please", "email", 9, 9 + len(own)
+        if k % 4 == 3:
+            own = rng.choice([f"({number(3)}) {number(3)}-{number(4)}", f"{number(3)} {number(3)} {number(4)}", f"{number(3)}.{number(3)}.{number(4)}"])
+            return f"call {own} now", "phone", 5, 5 + len(own)
         if k % 2:
             a, b = (f"{number(3)}-{number(3)}-{number(4)}" for _ in range(2))
             return f"call {a} {b} now", "phone", 5, 5 + len(a)
@@ -266,8 +280,9 @@ def test_planted_loose_spans_are_found(spark):
     # The planted spans stand in the text that is learned from, too: they must not teach the trees that they are none.
     docs = spark.createDataFrame([(k, f"{plain(rng.randrange(6))}. {plain(rng.randrange(6))}. {planted[k % 200][0] if k % 3 == 0 else ''}") for k in range(900)], "doc_id long, text string")
     model = pii.train(docs)
-    hit = sum((kind, s, e) in model.spans(text)[1] for text, kind, s, e in planted)
-    assert hit >= 180
+    hit = Counter(kind for text, kind, s, e in planted if (kind, s, e) in model.spans(text)[1])
+    of = Counter(kind for _, kind, _, _ in planted)
+    assert all(hit[kind] >= 0.9 * of[kind] for kind in of), (hit, of)
     codes = [f"key={number(16)} done" for _ in range(100)] + [f"isbn {number(13)} here" for _ in range(100)]
     assert sum(len(every) > len(base) for base, every in map(model.spans, codes)) <= 4
 
@@ -289,8 +304,7 @@ def test_versions_follow_doc_id_order(spark):
     texts = [" ".join(rng.choice(["alpha", "beta", "gamma.", "δ"]) for _ in range(rng.randint(0, 40))) for _ in range(25)]
     rows = [(k * 7, t) for k, t in enumerate(texts)]
     rng.shuffle(rows)
-    dealt = sketches.in_ranges(spark.createDataFrame(rows, "doc_id long, text string"), range_rows=4)
-    got = {r.doc_id: r for r in dealt.repartition("part").sortWithinPartitions("part", "tail", "doc_id", "text").mapInPandas(sketches._compare, sketches.OUT).collect()}
+    got = {r.doc_id: r for r in sketches.versions(spark.createDataFrame(rows, "doc_id long, text string"), range_rows=4).collect()}
     assert len(got) == 25
     for k, text in enumerate(texts):
         half, after = len(text) // 2, texts[(k + 1) % 25]
@@ -386,6 +400,34 @@ def test_different_texts_that_share_a_line_of_small_hash_count_each(spark):
     assert {r.h for r in quality_rules.frequent_lines(profile, 10, 0.9).collect()} == {h for _, h in got}
 
 
+def test_frequent_lines_and_verdicts_equal_brute_force(spark):
+    rng = random.Random(12)
+    pool = [f"line{k} pool{k} end{k}" for k in range(30)]
+    rows = []
+    for k in range(400):
+        lines = rng.sample(pool, rng.randint(0, 6)) + [" ".join(f"o{k}x{j}" for j in range(rng.choice([3, 20, 60])))]
+        rng.shuffle(lines)
+        rows.append((k, "\n".join(lines), rng.choice(["a", "b", "c", None])))
+    rows += [(1000 + k, rows[k % 7][1], "a") for k in range(200)] + [(None, rows[3][1], "b"), (None, pool[0], "b"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plain = lambda line: " ".join(line.lower().split())
+    texts, carriers = defaultdict(set), defaultdict(set)
+    for _, text, host in rows:
+        own = tuple(plain(x) for x in (text or "").split("\n") if x.strip())
+        texts[host or ""].add(own)
+        for line in own:
+            carriers[host or "", line].add(own)
+    often = {(h, line) for (h, line), c in carriers.items() if len(c) > 10 and len(c) > 0.02 * len(texts[h])}
+    assert len(often) > 20
+    got = {(r.host, r.h) for r in quality_rules.frequent_lines(quality_rules.profiles(docs)).collect()}
+    assert got == {(h, quality_rules.line_hash(line)) for h, line in often}
+    lost = lambda text, host: sum(len(x.split()) for x in text.split("\n") if (host or "", plain(x)) in often)
+    kept = [(d, "\n".join(x for x in t.split("\n") if (h or "", plain(x)) not in often)) for d, t, h in rows if t and t.split() and 2 * quality_rules.profile_text(t)[4] <= len(t.split()) and len(t.split()) - lost(t, h) >= 0.3 * len(t.split())]
+    assert 100 < len(kept) < len(rows)
+    found = [(r.doc_id, r.text) for r in quality_rules.clean(docs, min_words=1).collect()]
+    assert sorted(found, key=str) == sorted(kept, key=str)
+
+
 def accuracy(found, labels, label: str) -> tuple[float, float, float]:
     rows = found.filter("held_out").join(labels, "doc_id").select(F.col(label).alias("y"), "predicted").collect()
     true = sum(r.y == 1 and r.predicted == 1 for r in rows)
@@ -422,3 +464,74 @@ def test_nonnegative_risk_finds_the_toxic_feature():
     clean = np.stack([np.zeros(900), rng.integers(0, 2, 900)], 1).astype(np.float32)
     w = toxicity.nnpu(toxic(200), np.vstack([clean, toxic(100)]), 0.1)
     assert w[0] > 1.5 and abs(w[1]) < w[0] / 4 and w[2] < -1
+
+
+def test_ftrl_equals_a_dense_one(monkeypatch):
+    """Against the published per-coordinate update, on dense vectors."""
+    monkeypatch.setattr(quality_classifier, "BITS", 4)
+    rng, model, size = np.random.default_rng(3), quality_classifier.Ftrl(), 17
+    z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)
+    for _ in range(300):
+        x = rng.random(size) * (rng.random(size) < 0.4)
+        x[-1] = 1.0
+        y = int(rng.random() < 1 / (1 + math.exp(-3 * x[0] + 2 * x[1])))
+        for k in range(size):
+            w[k] = 0.0 if abs(z[k]) <= model.l1 else -(z[k] - math.copysign(model.l1, z[k])) / ((model.beta + math.sqrt(n[k])) / model.alpha + model.l2)
+        p = 1 / (1 + math.exp(-float(w @ x)))
+        for k in range(size):
+            g = (p - y) * x[k]
+            sigma = (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / model.alpha
+            z[k] += g - sigma * w[k]
+            n[k] += g * g
+        own = np.flatnonzero(x[:-1])
+        model.learn(own, x[own], y)
+    assert model.z == pytest.approx(z) and model.n == pytest.approx(n)
+
+
+def test_capitals_are_only_capitals():
+    assert [quality_classifier.form(w.encode()) for w in ("é", "été", "ÉTÉ", "The", "USA1")] == [b"a", b"a", b"A", b"a", b"A0"]
+
+
+@pytest.mark.parametrize("toxic_unlabelled", [0, 60])
+def test_steps_follow_the_gradient_of_the_risk(toxic_unlabelled):
+    """One step of size r moves each weight by r against the sign of the numeric gradient of the risk that the step is to lower."""
+    rng = np.random.default_rng(5)
+    p = (rng.random((40, 3)) < [0.9, 0.5, 0.2]).astype(np.float32)
+    u = np.vstack([(rng.random((80, 3)) < [0.05, 0.5, 0.4]).astype(np.float32), p[:1].repeat(toxic_unlabelled, 0)])
+    prior = 0.3
+    ones = lambda a: np.hstack([a, np.ones((len(a), 1))])
+
+    def parts(w):
+        loss = lambda z: np.logaddexp(0, z).mean()
+        return prior * loss(-(ones(p) @ w)), loss(ones(u) @ w) - prior * loss(ones(p) @ w)
+
+    start = np.array([0, 0, 0, math.log(prior / (1 - prior))])
+    positive, negative = parts(start)
+    risk = (lambda w: sum(parts(w))) if negative >= 0 else (lambda w: -parts(w)[1])
+    eye = np.eye(4) * 1e-5
+    gradient = np.array([(risk(start + e) - risk(start - e)) / 2e-5 for e in eye])
+    moved = toxicity.nnpu(p, u, prior, steps=1, rate=0.01, l2=0.0) - start
+    steep = np.abs(gradient) > 1e-4
+    assert steep.sum() >= 3
+    assert moved[steep] == pytest.approx(-0.01 * np.sign(gradient[steep]), abs=1e-4)
+
+
+def test_long_texts_are_cut_with_the_bytes_before():
+    texts = ["Some text of a few dozen bytes, é included", None, "x"]
+    whole = np.concatenate([context_tree.strings([context_tree.content(t)])[0] for t in texts])
+    for most in (1, 7, 1000):
+        parts = list(context_tree.in_parts(texts, most))
+        assert np.concatenate([context_tree.strings([p for _, p in part])[0] for part in parts]).tolist() == whole.tolist()
+        assert sorted({k for part in parts for k, _ in part}) == [0, 1, 2]
+    values = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 50).astype(np.uint64))
+    assert context_tree.from_planes(context_tree.planes(values, True), True).tolist() == values.tolist()
+
+
+def test_added_spans_keep_off_base_spans_and_words(spark):
+    """An address isn't a card as well, and digits inside a token are no number."""
+    model = pii.Model(pii.Trees(rounds=0, start=5.0), dict.fromkeys(pii.KINDS, 0.5))
+    for text in ("from 176.198.137.143 on", 'token = "ae93e105146691ae697923a219"', "x4111-1111-1111-1111"):
+        base, every = model.spans(text)
+        assert base == every, text
+    base, every = model.spans("call 555-123-4567 or mail a@b.co")
+    assert base == [("email", 26, 32)] and ("phone", 5, 17) in every
