@@ -11,12 +11,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from grantlake.llm import packing, pii, quality_rules, simhash, toxicity
-from grantlake.llm.common import held_out, shared_folder, table
+from grantlake.llm.common import discard, held_out, shared_folder, table
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; boilerplate lines go from the others."""
-    return quality_rules.clean(docs)
+    """Documents that the quality rules reject go; boilerplate lines go from the others.
+
+    A short text isn't a bad one: of the fixed rules only the one on repeated words holds here, and a
+    text must have a word. The limit of fifty words belongs to the contract of the query.
+    """
+    return quality_rules.clean(docs, min_words=1)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         path = shared_folder(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs
