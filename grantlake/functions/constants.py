@@ -26,10 +26,10 @@ PROVINCES = [
 NATIONWIDE = "전국(?=\\z|[\\s,./]|청년|민|단위|거주|대상|일원)"
 
 # The districts of the capital.
-DISTRICTS = (
-    "종로구 중구 용산구 성동구 광진구 동대문구 중랑구 성북구 강북구 도봉구 노원구 은평구 서대문구 "
-    "마포구 양천구 강서구 구로구 금천구 영등포구 동작구 관악구 서초구 강남구 송파구 강동구"
-).split()
+DISTRICTS = [
+    "종로구", "중구", "용산구", "성동구", "광진구", "동대문구", "중랑구", "성북구", "강북구", "도봉구", "노원구", "은평구", "서대문구",
+    "마포구", "양천구", "강서구", "구로구", "금천구", "영등포구", "동작구", "관악구", "서초구", "강남구", "송파구", "강동구",
+]
 
 # Titles about mental health.
 MENTAL_STRONG = "마음\\s*건강|정신\\s*건강|심리\\s*(상담|지원|치료|검사|정서)|자살\\s*예방|은둔\\s*형?\\s*청년|고립\\s*청년"
@@ -143,3 +143,27 @@ CATEGORY_TAGS = [
     ("교육|학자금|장학|자격", "education"),
     ("금융|생활|복지|문화", "living"),
 ]
+
+# Documents that applications ask for: id, name, issuer, fee, minutes.
+DOCUMENTS = [
+    ("resident_copy", "주민등록등본", "정부24", 0, 5),
+    ("resident_abstract", "주민등록초본", "정부24", 0, 5),
+    ("income_cert", "소득금액증명", "홈택스(국세청)", 0, 10),
+    ("family_relation", "가족관계증명서", "전자가족관계등록시스템(대법원)", 0, 5),
+    ("health_insurance_status", "건강보험자격득실확인서", "국민건강보험공단", 0, 5),
+    ("health_insurance_fee", "건강보험료 납부확인서", "국민건강보험공단", 0, 5),
+    ("basic_cert", "기본증명서", "전자가족관계등록시스템(대법원)", 0, 5),
+    ("employment_cert", "재직증명서", "재직 회사", None, None),
+    ("enrollment_cert", "재학증명서", "재학 학교", None, None),
+    ("local_tax_payment", "지방세 납세증명서", "정부24", 0, 5),
+]
+ORIGINS = {"ontong": "온통청년", "seoul-youth": "청년몽땅"}
+
+# Texts shown where no grounded explanation is at hand.
+FALLBACK_TITLED = " 정책과 관련이 있어 보여요. 자세한 자격 조건은 원문에서 확인해 주세요. (추정)"
+FALLBACK_PLAIN = "입력하신 상황과 관련된 정책으로 추정돼요. 원문에서 자격 조건을 확인해 주세요."
+
+# Enumerations of the structured output.
+HOUSEHOLD_STATES = ["required", "not_required"]
+DUPLICATE_STATES = ["allowed", "disallowed"]
+INCOME_KINDS = ["none", "medianRatio", "amountMax"]

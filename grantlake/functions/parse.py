@@ -14,7 +14,7 @@ from grantlake.functions.constants import (
     NO_DOCUMENTS,
     PROVINCES,
 )
-from grantlake.functions.text import js_trim, non_empty
+from grantlake.functions.text import js_trim, let, non_empty
 
 FULL_DATE = "(\\d{4})\\s*[.\\-/]\\s*(\\d{1,2})\\s*[.\\-/]\\s*(\\d{1,2})"
 TILDE = "[~～∼〜]"
@@ -58,28 +58,39 @@ def parse_region(text: Column) -> Column:
 def to_date(text: Column) -> Column:
     """A calendar date written Y-M-D with points, slashes or dashes; null if there is no such day."""
     norm = F.regexp_replace(js_trim(text), "[./]", "-")
-    return F.when(norm.rlike("^\\d{4}-\\d{1,2}-\\d{1,2}\\z"), F.try_to_date(norm, "yyyy-M-d"))
+    return let(norm, lambda n: F.when(n.rlike("^\\d{4}-\\d{1,2}-\\d{1,2}\\z"), F.try_to_date(n, "yyyy-M-d")))
 
 
 def recruit_window(start: Column, end: Column) -> Column:
     """struct(kind, start, end) of two given texts: dated, or unknown if one is broken, both are missing or they are reversed."""
-    first, last = to_date(start), to_date(end)
-    broken = (start.isNotNull() & first.isNull()) | (end.isNotNull() & last.isNull())
-    bad = broken | (first.isNull() & last.isNull()) | F.coalesce(last < first, F.lit(False))
-    return F.struct(
-        F.when(bad, "unknown").otherwise("dated").alias("kind"), F.when(~bad, first).alias("start"), F.when(~bad, last).alias("end")
-    )
+
+    def window(x: Column) -> Column:
+        first, last = x["first"], x["last"]
+        bad = x["broken"] | (first.isNull() & last.isNull()) | F.coalesce(last < first, F.lit(False))
+        return F.struct(F.when(bad, "unknown").otherwise("dated").alias("kind"), F.when(~bad, first).alias("start"), F.when(~bad, last).alias("end"))
+
+    def dated(x: Column) -> Column:
+        broken = (x["start"].isNotNull() & x["first"].isNull()) | (x["end"].isNotNull() & x["last"].isNull())
+        return let(F.struct(x["first"].alias("first"), x["last"].alias("last"), broken.alias("broken")), window)
+
+    def given(x: Column) -> Column:
+        return let(F.struct(x["start"].alias("start"), x["end"].alias("end"), to_date(x["start"]).alias("first"), to_date(x["end"]).alias("last")), dated)
+
+    return let(F.struct(start.alias("start"), end.alias("end")), given)
 
 
 def parse_recruit(start: Column, end: Column, text: Column) -> Column:
     """Explicit texts win; then 'always'; then the first two dates in the text."""
-    start, end, text = map(non_empty, (start, end, text))
-    given = start.isNotNull() | end.isNotNull()
-    always = ~given & F.coalesce(text.rlike("상시|연중|수시"), F.lit(False))
-    dates = F.regexp_extract_all(text, F.lit("(\\d{4}[.\\-/]\\d{1,2}[.\\-/]\\d{1,2})"), 1)
-    window = recruit_window(F.when(given, start).otherwise(F.get(dates, 0)), F.when(given, end).otherwise(F.get(dates, 1)))
     none = F.lit(None).cast("date")
-    return F.when(always, F.struct(F.lit("always").alias("kind"), none.alias("start"), none.alias("end"))).otherwise(window)
+    always = F.struct(F.lit("always").alias("kind"), none.alias("start"), none.alias("end"))
+
+    def read(x: Column) -> Column:
+        given = x["start"].isNotNull() | x["end"].isNotNull()
+        dates = F.regexp_extract_all(x["text"], F.lit("(\\d{4}[.\\-/]\\d{1,2}[.\\-/]\\d{1,2})"), 1)
+        found = let(dates, lambda d: recruit_window(F.get(d, F.lit(0)), F.get(d, F.lit(1))))
+        return F.when(given, recruit_window(x["start"], x["end"])).when(F.coalesce(x["text"].rlike("상시|연중|수시"), F.lit(False)), always).otherwise(found)
+
+    return let(F.struct(non_empty(start).alias("start"), non_empty(end).alias("end"), non_empty(text).alias("text")), read)
 
 
 def clean_documents(text: Column) -> Column:
@@ -144,7 +155,8 @@ def loose_date(text: Column, k: int) -> Column:
 
 
 def _month_end(year: Column, month: Column) -> Column:
-    return F.day(F.last_day(F.try_to_date(F.concat_ws("-", year, month), "yyyy-M")))
+    """The last day of a month; months beyond 12 run on into the next year."""
+    return F.day(F.last_day(F.add_months(F.make_date(year.cast("int"), F.lit(1), F.lit(1)), month.cast("int") - 1)))
 
 
 def _ymd(year: Column, month: Column, day: Column) -> Column:

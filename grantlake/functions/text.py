@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 from grantlake.functions.constants import BLANK_CLASS
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def js_trim(c: Column) -> Column:
     """Without Unicode white space and byte-order marks at both ends."""
     return F.regexp_replace(c, f"^{BLANK_CLASS}+|{BLANK_CLASS}+\\z", "")
@@ -101,20 +107,21 @@ def without_years(c: Column) -> Column:
     return normalize_name(F.regexp_replace(c, "(19|20)\\d{2}년?", " "))
 
 
-def keyword_score(query: Column, text: Column, keywords: Column) -> Column:
-    """Over all pairs of a query word and a target (keywords and the text): 1 if one holds the other, else their likeness; the best."""
-    targets = F.filter(F.concat(F.coalesce(keywords, F.array().cast("array<string>")), F.array(text)), lambda t: F.coalesce(t, F.lit("")) != "")
+def keyword_score(query: Column, text: Column, keywords: Column, least: float = 0.0) -> Column:
+    """Over all pairs of a query word and a target (keywords and the text): 1 if one holds the other, else their likeness; the best.
 
-    def best(word: Column) -> Column:
-        def against(t: Column) -> Column:
-            bare = F.length(F.regexp_replace(t, f"{BLANK_CLASS}+", ""))
-            close = F.least(F.length(word), bare) >= 0.6 * F.greatest(F.length(word), bare)
-            # Only texts of like length can be alike enough to count; longer ones match by holding the word.
-            return F.when(t.contains(word) | word.contains(t), 1.0).when(close, similarity(word, t)).otherwise(0.0)
+    Where only scores from ``least`` on matter, targets whose length rules that out aren't compared and count as 0.
+    """
+    targets = F.filter(F.concat(F.coalesce(keywords, F.array().cast("array<string>")), F.array(text)), lambda t: F.coalesce(t, F.lit("")) != "")
+    sized = F.transform(targets, lambda t: F.struct(t.alias("text"), F.length(F.regexp_replace(t, f"{BLANK_CLASS}+", "")).alias("size")))
 
-        return F.coalesce(F.array_max(F.transform(targets, against)), F.lit(0.0))
+    def against(word: Column, target: Column) -> Column:
+        t, n, m = target["text"], target["size"], F.length(word)
+        close = F.least(m, n) >= least * F.greatest(m, n)
+        return F.when(t.contains(word) | word.contains(t), 1.0).when(close, similarity(word, t)).otherwise(0.0)
 
-    return F.coalesce(F.array_max(F.transform(words(query), best)), F.lit(0.0))
+    best = lambda all_: F.array_max(F.transform(words(query), lambda w: F.array_max(F.transform(all_, lambda t: against(w, t)))))
+    return F.coalesce(let(sized, best), F.lit(0.0))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -5,23 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantlake.functions.text import pair_similarity
-from grantlake.operators.ingest import THRESHOLD
+from grantlake.operators.ingest import THRESHOLD, name_classes, name_members, similar_classes
 
 
-def best_matches(left: DataFrame, right: DataFrame) -> DataFrame:
+def best_matches(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(right_id, left_id, score): for each right row (id, name, org) the left row most like it, the first of equals.
 
-    Every right row is a query against all left rows. Names are compared in blocks of the right side
-    that each task keeps; the best of each task is taken before the shuffle. Left rows of one name and
-    organization are one, with their least id.
+    Only a likeness from the threshold on is a match; other rows get no left_id and score 0. Rows of one
+    name and organization are one class, named by its least id, so copies are compared once. A row with
+    neither a name nor an organization matches nothing.
     """
-    own = left.groupBy("name", "org").agg(F.min("id").alias("left_id")).withColumnsRenamed({"name": "left_name", "org": "left_org"})
-    queries = right.select(F.col("id").alias("right_id"), F.col("name").alias("right_name"), F.col("org").alias("right_org"))
-    score = pair_similarity(F.col("left_name"), F.col("left_org"), F.col("right_name"), F.col("right_org"))
-    met = own.repartition("left_id").join(queries, F.lit(True)).select("right_id", "left_id", score.alias("score"))
-    best = met.groupBy("right_id").agg(F.max_by(F.struct("left_id", "score"), F.struct("score", -F.col("left_id"))).alias("_b"))
-    return queries.select("right_id").join(best, "right_id", "left").select("right_id", "_b.left_id", F.coalesce("_b.score", F.lit(0.0)).alias("score"))
+    name, org = F.col("name"), F.col("org")
+    found = similar_classes(name_classes(left, "id", name, org), name_classes(right, "id", name, org), threshold)
+    best = found.groupBy("b").agg(F.max_by(F.struct("a", "score"), F.struct("score", -F.col("a"))).alias("_m"))
+    members = name_members(right, "id", name, org).withColumnsRenamed({"id": "right_id", "rep": "b"})
+    return members.join(best, "b", "left").select("right_id", F.col("_m.a").alias("left_id"), F.coalesce("_m.score", F.lit(0.0)).alias("score"))
 
 
 def report(matches: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -30,4 +28,5 @@ def report(matches: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.count("*").alias("total"), F.count_if(F.col("score") >= 1).alias("matched"),
         F.count_if((F.col("score") >= threshold) & (F.col("score") < 1)).alias("manual_review"),
         F.count_if(F.col("score") < threshold).alias("only_right"),
-    ).withColumn("gap_rate", F.coalesce(F.try_divide("only_right", "total"), F.lit(0.0)))
+        F.coalesce(F.try_divide(F.count_if(F.col("score") < threshold), F.count("*")), F.lit(0.0)).alias("gap_rate"),
+    )

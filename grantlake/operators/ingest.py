@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from grantlake.functions import parse
 from grantlake.functions.constants import DISTRICTS, PROVINCES
-from grantlake.functions.text import fnv1a, levenshtein_likeness, non_empty, normalize_name, one_blank
+from grantlake.functions.text import fnv1a, let, non_empty, normalize_name, one_blank
 
 RAW_FIELDS = (
     "id", "title", "summary", "ageText", "incomeText", "regionText", "recruitStartText", "recruitEndText", "recruitText",
@@ -115,12 +115,25 @@ def region_verdict(codes: Column, nationwide: Column, text: Column, city: str =
     return F.when(passes, "pass").when(non_empty(text).isNotNull(), "non-seoul").otherwise("unknown-region")
 
 
+def suppression(rows: DataFrame, title: Column, source: Column, secondary: str, canonical: Column) -> DataFrame:
+    """Adds ``suppressed``: true for rows of the secondary source whose normalized title another source's canonical row has.
+
+    Titles meet by two 64-bit hashes (together 128 bits, taken as equality), since a title may be a long text.
+    """
+    name = normalize_name(title)
+    named = rows.withColumns({
+        "_second": F.coalesce(source == secondary, F.lit(False)), "_canon": F.coalesce(canonical, F.lit(False)) & (name != ""),
+        "_h1": F.xxhash64(name), "_h2": F.xxhash64(F.lit("b"), name),
+    })
+    titles = named.filter("_canon AND NOT _second").select("_h1", "_h2").distinct().withColumn("_found", F.lit(True))
+    found = named.filter("_second").join(titles, ["_h1", "_h2"], "left").withColumn("suppressed", F.coalesce("_found", F.lit(False)))
+    kept = [*rows.columns, "suppressed"]
+    return named.filter("NOT _second").withColumn("suppressed", F.lit(False)).select(*kept).unionByName(found.select(*kept))
+
+
 def suppressed(rows: DataFrame, title: Column, source: Column, secondary: str, canonical: Column) -> DataFrame:
-    """Without the rows of the secondary source whose normalized title another source's canonical row has."""
-    named = rows.withColumn("_name", normalize_name(title)).withColumn("_second", F.coalesce(source == secondary, F.lit(False)))
-    titles = named.filter(~F.col("_second") & canonical & (F.col("_name") != "")).select("_name").distinct()
-    kept = named.filter("_second").join(titles, "_name", "left_anti")
-    return named.filter("NOT _second").unionByName(kept).drop("_name", "_second")
+    """Without the rows that ``suppression`` marks."""
+    return suppression(rows, title, source, secondary, canonical).filter("NOT suppressed").drop("suppressed")
 
 
 def name_classes(rows: DataFrame, row_id: str, name: Column, org: Column) -> DataFrame:
@@ -137,30 +150,75 @@ def name_members(rows: DataFrame, row_id: str, name: Column, org: Column) -> Dat
     return keyed.join(classes, on, "left").select("id", F.coalesce("rep", "id").alias("rep"))
 
 
-def near_duplicates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, score) of different classes whose mean likeness of name and organization reaches the threshold.
+def _grams(c: Column) -> Column:
+    """Hashes of the bigrams of a text, the repeats of one numbered; a text of one character or none is a gram itself."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda k: F.substring(c, k, F.lit(2)))
+    numbered = lambda own: F.transform(own, lambda g, k: F.hash(g, F.size(F.filter(F.slice(own, F.lit(1), k), lambda x: x == g))))
+    return F.when(F.length(c) > 1, let(pairs, numbered)).otherwise(F.array(F.hash(c)))
 
-    The mean of two values of at most 1 reaches the threshold only if each reaches 2 * threshold - 1, and
-    a name only if it reaches 2 * threshold less the likeness of the two organizations. So organizations
-    are compared once per different pair of like lengths; names meet within such pairs by length, and
-    edit distances stop at the limit that is left. Classes of one hot organization spread by name length.
+
+def gram_prefixes(texts: DataFrame, least: float) -> DataFrame:
+    """(text, size, prefix) of different texts: as many of a text's rarest grams as any text of likeness ``least`` must share one of.
+
+    Two texts whose longer one has L characters and that are at most k edits apart share at least
+    L - 1 - 2 k bigrams; so they meet in what is left of each when all but one of these, the most
+    frequent ones, are cut off. For two texts to be as alike as 0.7 that leaves a gram at any length.
     """
-    low = 2 * threshold - 1
-    step = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1))) / F.log(F.lit(1 / low)))
-    near = lambda c: F.sequence(c - 1, c + 1)
-    orgs = classes.select("org").distinct().withColumn("band", step(F.col("org")))
-    left = orgs.select(F.col("org").alias("org_a"), F.explode(near(F.col("band"))).alias("band"))
-    org_likeness = levenshtein_likeness(F.col("org_a"), F.col("org_b"))
-    pairs = left.join(orgs.withColumnRenamed("org", "org_b"), "band").withColumn("org_score", org_likeness).filter(F.col("org_score") >= low - 1e-9)
-    banded = classes.withColumn("band", step(F.col("name"))).withColumn("size", F.length("name"))
-    a = banded.select(F.col("org").alias("org_a"), F.col("name").alias("name_a"), F.col("rep").alias("a"), F.col("size").alias("size_a"), F.explode(near(F.col("band"))).alias("band"))
-    b = banded.select(F.col("org").alias("org_b"), F.col("name").alias("name_b"), F.col("rep").alias("b"), F.col("size").alias("size_b"), "band")
+    grams = texts.select("text", F.explode(F.array_distinct(_grams(F.col("text")))).alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    rare = grams.join(often, "gram").groupBy("text").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("grams"))
+    size = F.length("text")
+    shared = F.transform(F.sequence(size, F.greatest(size, F.floor(size / least + 1e-9).cast("int"))), lambda x: x - 1 - 2 * F.floor((1 - least) * x + 1e-9).cast("int"))
+    # Two grams of one text may have one hash; then one gram less is left to share.
+    kept = F.greatest(F.greatest(size - 1, F.lit(1)) - F.greatest(F.array_min(shared), F.lit(1)) + 1, F.lit(1))
+    return rare.select("text", size.alias("size"), F.slice(F.transform("grams", lambda g: g["gram"]), F.lit(1), kept).alias("prefix"))
+
+
+def alike_texts(texts: DataFrame, least: float) -> DataFrame:
+    """(a, b, likeness) of different texts at least as alike, both ways round, and each with itself.
+
+    Texts meet in a rare gram (AQE splits what is hot), each pair counts in the first gram that both
+    have, and edit distances stop at the limit.
+    """
+    own = gram_prefixes(texts, least)
+    side = lambda end: own.select(F.explode("prefix").alias("gram"), *[F.col(c).alias(f"{c}_{end}") for c in own.columns])
     longer = F.greatest("size_a", "size_b")
-    limit = F.floor((1 - (2 * threshold - F.col("org_score"))) * longer + 1e-9).cast("int")
-    met = a.join(pairs.drop("band"), "org_a").join(b, ["org_b", "band"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("size_a") - F.col("size_b")) <= limit))
-    apart = F.expr("levenshtein(name_a, name_b)")
-    score = (F.when(longer == 0, 1.0).otherwise(1 - apart / longer) + F.col("org_score")) / 2
-    return met.withColumn("score", score).filter(F.col("score") >= threshold).select("a", "b", "score").distinct()
+    limit = F.floor((1 - least) * longer + 1e-9).cast("int")
+    near = F.abs(F.col("size_a") - F.col("size_b")) <= limit
+    # The work is in the pairs, not in the bytes: AQE must not gather few texts into one task.
+    dealt = side("a").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "text_a", "gram")
+    met = dealt.join(side("b"), "gram").filter((F.col("text_a") < F.col("text_b")) & near)
+    met = met.filter(F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1) == F.col("gram")).withColumn("_k", limit)
+    met = met.withColumn("_d", F.expr("levenshtein(text_a, text_b, _k)")).filter("_d >= 0")
+    both = F.array(F.struct(F.col("text_a").alias("a"), F.col("text_b").alias("b")), F.struct(F.col("text_b").alias("a"), F.col("text_a").alias("b")))
+    pairs = met.select((1 - F.try_divide("_d", longer)).alias("likeness"), F.inline(both)).select("a", "b", "likeness")
+    return pairs.union(texts.select("text", "text", F.lit(1.0)))
+
+
+def similar_classes(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, score) of the classes (rep, name, org) of two tables whose mean likeness of name and organization reaches the threshold.
+
+    The mean of two values of at most 1 reaches it only if each reaches ``2 * threshold - 1``. Different names
+    and different organizations are compared once each; then a left row looks up each alike name under
+    each alike organization. So neither a name that all organizations have nor an organization with very
+    many names is paired up; only different names that are truly alike meet, wherever they stand.
+    """
+    low = 2 * threshold - 1
+    if low <= 2 / 3:
+        raise ValueError("texts of likeness 2/3 or less need not share a gram: the threshold must be above 5/6")
+    left, right = left.select("rep", "name", "org"), right.select("rep", "name", "org")
+    like = lambda c: alike_texts(left.select(F.col(c).alias("text")).union(right.select(c)).distinct(), low)
+    names = like("name").withColumnsRenamed({"a": "name", "b": "name_b", "likeness": "name_score"})
+    orgs = like("org").withColumnsRenamed({"a": "org", "b": "org_b", "likeness": "org_score"})
+    score = (F.col("name_score") + F.col("org_score")) / 2
+    wanted = left.join(names, "name").join(orgs, "org").withColumn("score", score).filter(F.col("score") >= threshold)
+    other = right.select(F.col("rep").alias("b"), F.col("name").alias("name_b"), F.col("org").alias("org_b"))
+    return wanted.select(F.col("rep").alias("a"), "name_b", "org_b", "score").join(other, ["name_b", "org_b"]).select("a", "b", "score")
+
+
+def near_duplicates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, score) of different classes of one table that are similar."""
+    return similar_classes(classes, classes, threshold).filter("a < b")
 
 
 def content_signature(c: dict[str, Column], raw: dict[str, Column]) -> Column:
@@ -190,16 +248,23 @@ def with_hash(rows: DataFrame) -> DataFrame:
     return rows.withColumn("content_hash", content_hash(F.col("id"), F.col("raw.lastModified"), content_signature(c, raw)))
 
 
-def changed(current: DataFrame, previous: DataFrame, key: str = "id", hash_column: str = "content_hash") -> DataFrame:
-    """Current rows with ``reparse``: true where no previous row has the key or its hash differs."""
-    before = previous.select(F.col(key).alias("_k"), F.col(hash_column).alias("_h")).dropDuplicates(["_k"])
+def last_of(previous: DataFrame, key: str, columns: list[str], order: str | None) -> DataFrame:
+    """(key, columns) once per key: of several rows the last in ``order``, else the one whose columns are largest."""
+    kept = F.struct(*columns)
+    best = F.max_by(kept, F.struct(order, F.to_json(kept)) if order else F.to_json(kept))
+    return previous.groupBy(key).agg(best.alias("_r")).select(key, "_r.*")
+
+
+def changed(current: DataFrame, previous: DataFrame, key: str = "id", hash_column: str = "content_hash", order: str | None = None) -> DataFrame:
+    """Current rows with ``reparse``: true where no previous row has the key or its hash differs. Of repeated previous rows the last in ``order`` counts."""
+    before = last_of(previous, key, [hash_column], order).select(F.col(key).alias("_k"), F.col(hash_column).alias("_h"))
     joined = current.join(before, F.col(key) == F.col("_k"), "left")
     return joined.withColumn("reparse", F.col("_k").isNull() | ~F.col(hash_column).eqNullSafe(F.col("_h"))).drop("_k", "_h")
 
 
-def enrich_changed(marked: DataFrame, previous: DataFrame, enrich: Callable[[DataFrame], DataFrame], carried: list[str], key: str = "id") -> DataFrame:
+def enrich_changed(marked: DataFrame, previous: DataFrame, enrich: Callable[[DataFrame], DataFrame], carried: list[str], key: str = "id", order: str | None = None) -> DataFrame:
     """Runs ``enrich`` on changed rows only; the others keep the ``carried`` columns of their previous row."""
-    before = previous.select(key, *carried).dropDuplicates([key])
+    before = last_of(previous, key, carried, order)
     return enrich(marked.filter("reparse")).unionByName(marked.filter("NOT reparse").join(before, key, "left"), allowMissingColumns=True)
 
 

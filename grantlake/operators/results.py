@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grantlake.functions.constants import CATEGORY_TAGS, PROVINCES, REVIEW_LABELS, REVIEW_TEXTS
@@ -45,6 +45,17 @@ def in_display_order(rows: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     return shown.orderBy(F.desc(bucket_rank(F.col("bucket"))), "open_points", ordinal)
 
 
+def with_positions(shown: DataFrame, within: list[str], ordinal: str = "ordinal") -> DataFrame:
+    """Adds ``position``, from 1, in the display order of each list (``within`` names what tells lists apart)."""
+    order = Window.partitionBy(*within).orderBy(F.desc(bucket_rank(F.col("bucket"))), "open_points", ordinal)
+    return shown.withColumn("position", F.row_number().over(order))
+
+
+def headline_count(rows: DataFrame) -> DataFrame:
+    """(n): showable rows after the year variants are merged."""
+    return latest_variants(rows.filter(F.col("bucket").isin(*BUCKET_RANK))).agg(F.count("*").alias("n"))
+
+
 def status_label(bucket: Column, labels: Column) -> Column:
     almost = (bucket == "review") & (F.size(labels) == 1)
     return F.when(almost, "almost").otherwise(bucket)

@@ -71,7 +71,7 @@ def vector_arm(index: DataFrame, vector: list[float], pool: int) -> DataFrame:
 def keyword_arm(index: DataFrame, query: str, pool: int, keywords: str | None = None) -> DataFrame:
     """(id, score) of the ``pool`` best rows by words that hold or resemble each other."""
     words = F.col(keywords) if keywords else F.array().cast("array<string>")
-    scored = index.select("id", keyword_score(F.lit(query), F.col("text"), words).alias("score"))
+    scored = index.select("id", keyword_score(F.lit(query), F.col("text"), words, KEYWORD_LEAST).alias("score"))
     return scored.filter(F.col("score") >= KEYWORD_LEAST).orderBy(F.desc("score"), "id").limit(pool)
 
 

@@ -28,10 +28,19 @@ def crisis(text: Column, vector: Column | None = None, anchors: list[list[float]
     return F.struct((layer != "none").alias("crisis"), layer.alias("layer"), matched.alias("matched"))
 
 
+MOST_ANCHORS = 64
+
+
 def near_anchors(rows: DataFrame, anchors: DataFrame, threshold: float = CRISIS_THRESHOLD) -> DataFrame:
-    """Rows (id, vector) with ``hit`` and the largest cosine to any anchor. The anchors are a few fixed phrases."""
-    literal = [r["vector"] for r in anchors.select("vector").collect()]
-    best = F.greatest(*[cosine(F.col("vector"), F.array(*[F.lit(float(x)) for x in a])) for a in literal], F.lit(-1.0))
+    """Rows (id, vector) with ``hit`` and the largest cosine to any anchor. The anchors are a few fixed phrases, MOST_ANCHORS at most.
+
+    Anchors with a missing, empty or non-finite vector don't count; without any, nothing is a hit.
+    """
+    usable = F.col("vector").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    literal = [r["vector"] for r in anchors.filter(usable).select("vector").limit(MOST_ANCHORS + 1).collect()]
+    if len(literal) > MOST_ANCHORS:
+        raise ValueError(f"more than {MOST_ANCHORS} anchors")
+    best = F.greatest(*[cosine(F.col("vector"), F.array(*[F.lit(float(x)) for x in a])) for a in literal], F.lit(-1.0), F.lit(-1.0))
     return rows.select("id", best.alias("score")).withColumn("hit", F.col("score") >= threshold)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantlake.functions import parse, text
+from grantlake.functions.constants import CRISIS_PATTERNS, DISTRICTS, PROVINCES
 from grantlake.operators import coverage, eligibility, ingest, results, retrieval, safety
 from grantlake.streaming.limiter import limited
 
@@ -46,46 +47,61 @@ def rounded(c: Column, digits: int = 9) -> Column:
 
 SQL_VECTOR = "[" + ", ".join(f"{x}::DOUBLE" for x in VECTOR) + "]"
 SQL_COSINE = f"(list_dot_product(embedding::DOUBLE[], {SQL_VECTOR}) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product({SQL_VECTOR}, {SQL_VECTOR}))))"
-QUERY_WORDS = retrieval.query_tokens(QUERY_TEXT)
-SQL_WORDS = " OR ".join(f"contains(lower(text), '{w}')" for w in QUERY_WORDS)
-SQL_COUNT = " + ".join(f"contains(lower(text), '{w}')::INT" for w in QUERY_WORDS)
+QUERY_WORDS = QUERY_TEXT.split()
 
 
 def _embeddings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
-def _word_arm(docs: DataFrame, pool: int) -> DataFrame:
-    hits = sum((F.lower("text").contains(w).cast("int") for w in QUERY_WORDS), F.lit(0))
-    return docs.select(F.col("doc_id").alias("id"), hits.cast("double").alias("score")).filter("score > 0").orderBy(F.desc("score"), "id").limit(pool)
+# The index of documents: the first 40 characters stand for the title, the source for the category; ASCII alone, as DuckDB counts edits in bytes.
+SQL_ASCII = "regexp_replace({0}, '[^\\x09-\\x7E]', '', 'g')"
+SQL_KEYWORDS = f"list_distinct(list_concat(list_filter(regexp_split_to_array({SQL_ASCII.format('text[1:40]')}, '\\s+'), lambda w: length(w) >= 2), [source]))"
 
 
+def _indexed(spark: SparkSession, d: str) -> DataFrame:
+    plain = lambda c: F.regexp_replace(c, "[^\\x09-\\x7E]", "")
+    keywords = retrieval.index_keywords(plain(F.substring("text", 1, 40)), F.col("source"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), plain(F.col("text")).alias("text"), keywords.alias("keywords"))
+
+
+SQL_BARE = "regexp_replace(t, '\\s+', '', 'g')"
+SQL_AGAINST = f"CASE WHEN contains(t, w) OR contains(w, t) THEN 1.0 ELSE 1 - levenshtein(w, {SQL_BARE}) / greatest(length(w), length({SQL_BARE}))::DOUBLE END"
+SQL_SCORED = f"""i AS (SELECT doc_id AS id, {SQL_ASCII.format('text')} AS text, {SQL_KEYWORDS} AS keywords FROM documents),
+k AS (SELECT id, list_max(list_transform({QUERY_WORDS}, lambda w: list_max(list_transform(list_filter(list_append(keywords, text), lambda t: t <> ''), lambda t: {SQL_AGAINST})))) AS s FROM i)"""
 SQL_ARMS = f"""
 v AS (SELECT vec_id AS id, {SQL_COSINE} AS s FROM embeddings), va AS (
   SELECT id, row_number() OVER (ORDER BY s DESC, id) - 1 AS r FROM v WHERE s > 0 QUALIFY r < 120),
-k AS (SELECT doc_id AS id, {SQL_COUNT} AS s FROM documents), ka AS (
-  SELECT id, row_number() OVER (ORDER BY s DESC, id) - 1 AS r FROM k WHERE s > 0 QUALIFY r < 120),
+{SQL_SCORED}, ka AS (
+  SELECT id, row_number() OVER (ORDER BY s DESC, id) - 1 AS r FROM k WHERE s >= 0.6 QUALIFY r < 120),
 f AS (SELECT coalesce(va.id, ka.id) AS id, va.r AS rank_0, ka.r AS rank_1,
   coalesce(1.0 / (60 + va.r), 0.0) + coalesce(1.0 / (60 + ka.r), 0.0) AS score FROM va FULL JOIN ka ON va.id = ka.id)"""
 
 
+@query(f"WITH {SQL_SCORED} SELECT id, round(s, 9) AS score FROM k WHERE s >= 0.6 ORDER BY s DESC, id LIMIT 500")
+def keyword_arm(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.keyword_arm(_indexed(spark, d), QUERY_TEXT, 500, "keywords").select("id", rounded(F.col("score")).alias("score"))
+
+
 @query(f"WITH {SQL_ARMS} SELECT id, rank_0, rank_1, round(score, 9) AS score FROM f ORDER BY f.score DESC, id LIMIT 10")
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    arms = [retrieval.vector_arm(_embeddings(spark, d), VECTOR, 120), _word_arm(table(spark, d, "documents"), 120)]
+    arms = [retrieval.vector_arm(_embeddings(spark, d), VECTOR, 120), retrieval.keyword_arm(_indexed(spark, d), QUERY_TEXT, 120, "keywords")]
     top = retrieval.top_k(retrieval.fused(arms, 120), 10)
     return top.select("id", "rank_0", "rank_1", rounded(F.col("score")).alias("score"))
 
 
+# Only ids with both a document and a vector can be in the result: the two tables share a range of ids.
 @query(
-    f"WITH {SQL_ARMS.replace('FROM embeddings)', 'FROM embeddings WHERE label IS NULL OR label IN (1, 2, 3))')}, b AS (SELECT f.id, f.score + CASE WHEN e.label = 2 THEN 0.5 ELSE 0 END AS score "
-    "FROM f JOIN embeddings e ON e.vec_id = f.id) SELECT id, round(score, 9) AS score FROM b ORDER BY b.score DESC, id LIMIT 10"
+    f"WITH {SQL_ARMS.replace('FROM embeddings)', 'FROM embeddings WHERE label IS NULL OR label IN (1, 2, 3))')}, b AS (SELECT f.id, f.score + CASE WHEN e.label = 2 THEN 0.5 ELSE 0 END "
+    "+ CASE WHEN list_contains(i.keywords, 'src1') OR list_contains(i.keywords, 'station') THEN 0.5 ELSE 0 END AS score "
+    "FROM f JOIN embeddings e ON e.vec_id = f.id JOIN i ON i.id = f.id) SELECT id, round(score, 9) AS score FROM b ORDER BY b.score DESC, id LIMIT 10"
 )
 def hybrid_rrf_boosted(spark: SparkSession, d: str) -> DataFrame:
-    index = _embeddings(spark, d).withColumn("category", F.col("label").cast("string"))
+    index, docs = _embeddings(spark, d).withColumn("category", F.col("label").cast("string")), _indexed(spark, d)
     near = index.filter(retrieval.in_categories(F.col("category"), ["1", "2", "3"]))
-    found = retrieval.fused([retrieval.vector_arm(near, VECTOR, 120), _word_arm(table(spark, d, "documents"), 120)], 120)
-    bonus = retrieval.boost(F.col("category"), F.array().cast("array<string>"), ["2"], [])
-    scored = found.join(index.select("id", "category"), "id").select("id", (F.col("score") + bonus).alias("score"))
+    found = retrieval.fused([retrieval.vector_arm(near, VECTOR, 120), retrieval.keyword_arm(docs, QUERY_TEXT, 120, "keywords")], 120)
+    bonus = retrieval.boost(F.col("category"), F.col("keywords"), ["2"], ["src1", "station"])
+    scored = found.join(index.select("id", "category"), "id").join(docs.select("id", "keywords"), "id").select("id", (F.col("score") + bonus).alias("score"))
     return retrieval.top_k(scored, 10).select("id", rounded(F.col("score")).alias("score"))
 
 
@@ -102,6 +118,7 @@ def sql_trigram_similarity(a: str, b: str) -> str:
 RERANK_QUERY = "small red widget"
 
 
+# Only parts with a vector of their number can be in the result.
 @query(f"""
 WITH o AS (SELECT vec_id AS id, {SQL_COSINE} AS near, p_name AS title FROM embeddings JOIN part ON p_partkey = vec_id),
 p AS (SELECT id, near, {sql_trigram_similarity('title', f"'{RERANK_QUERY}'")} AS trgm, len(list_intersect(string_split(title, ' '), ['small', 'red', 'widget'])) > 0 AS o FROM o),
@@ -125,9 +142,9 @@ def cosine_scan(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", rounded(text.cosine(F.col("embedding"), literal)).alias("score"))
 
 
-@query("""SELECT doc_id, len(list_distinct(list_concat(list_filter(string_split_regex(text, '\\s+'), lambda w: length(w) >= 2), [lang]))) AS n_keywords FROM documents""")
+@query("""SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: length(w) >= 2), [lang]))), '|') AS keywords FROM documents""")
 def tokens_keywords(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.size(retrieval.index_keywords(F.col("text"), F.col("lang"))).cast("long").alias("n_keywords"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(retrieval.index_keywords(F.col("text"), F.col("lang"))), "|").alias("keywords"))
 
 
 # ---- names and pairs --------------------------------------------------------------------------------
@@ -175,10 +192,15 @@ def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 SQL_PAIR = f"""CASE WHEN (l.name = '' AND l.org = '') OR (r.name = '' AND r.org = '') THEN 0.0 WHEN l.name = r.name AND l.org = r.org THEN 1.0
  ELSE ({SQL_LIKE.format('l.name', 'r.name')} + {SQL_LIKE.format('l.org', 'r.org')}) / 2 END"""
-SQL_COVER = f"""l AS (SELECT min(p_partkey) AS id, {SQL_NAME.format('p_name')} AS name, {SQL_NAME.format('p_brand')} AS org FROM part GROUP BY ALL),
-r AS (SELECT s_suppkey AS id, {SQL_NAME.format('s_name')} AS name, n_name AS o2, {SQL_NAME.format('n_name')} AS org FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+# Two catalogues out of the pages: all of them on the left; on the right every second page under a changed title or host, and the suppliers.
+SQL_COVER = f"""n0 AS (SELECT page_id AS id, {SQL_TITLE} AS name, {SQL_HOST} AS org FROM pages),
+l AS (SELECT min(id) AS id, {SQL_NAME.format('name')} AS name, {SQL_NAME.format('org')} AS org FROM n0 GROUP BY ALL),
+r0 AS (SELECT id, CASE id % 4 WHEN 0 THEN name || ' 2' ELSE name END AS name, CASE id % 6 WHEN 0 THEN 'www.' || org ELSE org END AS org FROM n0 WHERE id % 2 = 0
+ UNION ALL SELECT s_suppkey + 1000000000, s_name, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+r AS (SELECT id, {SQL_NAME.format('name')} AS name, {SQL_NAME.format('org')} AS org FROM r0),
 m AS (SELECT r.id AS right_id, l.id AS left_id, {SQL_PAIR} AS score FROM r CROSS JOIN l),
-b AS (SELECT right_id, left_id, score FROM m QUALIFY row_number() OVER (PARTITION BY right_id ORDER BY score DESC, left_id) = 1)"""
+m1 AS (SELECT right_id, left_id, score FROM m WHERE score >= 0.85 QUALIFY row_number() OVER (PARTITION BY right_id ORDER BY score DESC, left_id) = 1),
+b AS (SELECT r.id AS right_id, left_id, coalesce(score, 0.0) AS score FROM r LEFT JOIN m1 ON right_id = r.id)"""
 
 
 # Each document against the one with the next number (0 if there is none): the first 60 characters stand for the title, the source for the organization.
@@ -194,10 +216,13 @@ def pair_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _coverage(spark: SparkSession, d: str) -> DataFrame:
-    left = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("org"))
+    left, key = _pages(spark, d), F.col("id")
+    changed = left.filter(key % 2 == 0).select(
+        "id", F.when(key % 4 == 0, F.concat("name", F.lit(" 2"))).otherwise(F.col("name")).alias("name"), F.when(key % 6 == 0, F.concat(F.lit("www."), "org")).otherwise(F.col("org")).alias("org")
+    )
     nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("org"))
-    right = table(spark, d, "supplier").join(nations, "s_nationkey").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), "org")
-    return coverage.best_matches(left, right)
+    others = table(spark, d, "supplier").join(nations, "s_nationkey").select((F.col("s_suppkey") + 1000000000).alias("id"), F.col("s_name").alias("name"), "org")
+    return coverage.best_matches(left, changed.unionByName(others))
 
 
 @query(f"WITH {SQL_COVER} SELECT right_id, left_id, round(score, 9) AS score FROM b")
@@ -206,11 +231,11 @@ def coverage_best_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {SQL_COVER} SELECT count(*) AS total, count(*) FILTER (score >= 1) AS matched, count(*) FILTER (score >= 0.25 AND score < 1) AS manual_review, "
-    "count(*) FILTER (score < 0.25) AS only_right, round(count(*) FILTER (score < 0.25) / count(*)::DOUBLE, 9) AS gap_rate FROM b"
+    f"WITH {SQL_COVER} SELECT count(*) AS total, count(*) FILTER (score >= 1) AS matched, count(*) FILTER (score >= 0.85 AND score < 1) AS manual_review, "
+    "count(*) FILTER (score < 0.85) AS only_right, round(count(*) FILTER (score < 0.85) / count(*)::DOUBLE, 9) AS gap_rate FROM b"
 )
 def coverage_report(spark: SparkSession, d: str) -> DataFrame:
-    return coverage.report(_coverage(spark, d), 0.25).withColumn("gap_rate", rounded(F.col("gap_rate")))
+    return coverage.report(_coverage(spark, d)).withColumn("gap_rate", rounded(F.col("gap_rate")))
 
 
 # ---- ingest -----------------------------------------------------------------------------------------
@@ -237,13 +262,19 @@ def cross_source_suppress(spark: SparkSession, d: str) -> DataFrame:
     return ingest.suppressed(docs, F.col("text"), F.col("source"), "src1", F.col("lang") == "en").select("doc_id", "source")
 
 
-@query("""SELECT c_custkey, CASE WHEN r_name = 'ASIA' OR c_mktsegment = 'BUILDING' THEN 'pass' WHEN n_name <> '' THEN 'non-seoul' ELSE 'unknown-region' END AS verdict
-FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+PLACES = ["강남구", "경기도 광주 중구", "부산 중구", "노원구 거주 청년", " ", "서초구, 서울"]
+SQL_OTHERS = "|".join(p for code, _, p in PROVINCES if code != "11")
+
+
+@query(f"""WITH t AS (SELECT c_custkey, r_name = 'ASIA' AS coded, c_mktsegment = 'BUILDING' AS nationwide, CASE WHEN c_custkey % 7 = 6 THEN n_name ELSE {PLACES}[c_custkey % 7 + 1] END AS place
+ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT c_custkey, CASE WHEN coded OR nationwide OR (regexp_matches(place, '{"|".join(DISTRICTS)}') AND NOT regexp_matches(place, '{SQL_OTHERS}')) THEN 'pass' WHEN trim(place) <> '' THEN 'non-seoul' ELSE 'unknown-region' END AS verdict FROM t""")
 def region_verdict(spark: SparkSession, d: str) -> DataFrame:
     nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = table(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     codes = F.when(F.col("r_name") == "ASIA", F.array(F.lit("11"))).otherwise(F.array().cast("array<string>"))
-    return rows.select("c_custkey", ingest.region_verdict(codes, F.col("c_mktsegment") == "BUILDING", F.col("n_name")).alias("verdict"))
+    place = F.coalesce(F.get(F.array(*map(F.lit, PLACES)), (F.col("c_custkey") % 7).cast("int")), F.col("n_name"))
+    return rows.select("c_custkey", ingest.region_verdict(codes, F.col("c_mktsegment") == "BUILDING", place).alias("verdict"))
 
 
 SQL_FNV = "printf('%08x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({0}, ''), lambda x: unicode(x)::BIGINT)), lambda h, x: (xor(h, x) * 16777619) & 4294967295))"
@@ -293,19 +324,20 @@ def recruit_status(spark: SparkSession, d: str) -> DataFrame:
 
 # Each part is a record with one profile: the customer with its number (numbers wrap round the customers there are).
 SQL_EVAL = f"""p AS (SELECT p_partkey, CASE WHEN p_size % 7 > 0 THEN p_size END AS lo, CASE WHEN p_size % 5 > 0 THEN p_size + 20 END AS hi,
- p_type = 'PROMO' AS nationwide, p_size % 3 AS ik, p_retailprice AS lim, p_partkey % 25 AS code, p_partkey % 6 = 0 AS nocode,
+ p_type = 'PROMO' AS nationwide, p_size % 4 AS ik, CASE WHEN p_size % 4 = 3 THEN p_size * 4.0 ELSE p_retailprice END AS lim, p_partkey % 17 = 0 AS broken, p_partkey % 25 AS code, p_partkey % 6 = 0 AS nocode,
  DATE '{TODAY}' + (p_partkey % 60)::INT - 30 AS e, p_partkey % 13 = 0 AS noe FROM part),
-c AS (SELECT c_custkey, c_custkey % 60 AS age, c_acctbal AS bal, c_nationkey AS nat FROM customer),
-j AS (SELECT * FROM p JOIN c ON c_custkey = p_partkey),
-r AS (SELECT p_partkey,
+c AS (SELECT c_custkey, c_custkey % 60 AS age, c_acctbal AS bal, CASE WHEN c_custkey % 9 > 0 THEN c_custkey % 230 END AS ratio, c_nationkey AS nat FROM customer),
+j AS (SELECT * FROM p JOIN c ON c_custkey = p_partkey % (SELECT max(c_custkey) + 1 FROM customer)),
+r AS (SELECT p_partkey, broken,
  CASE WHEN lo IS NULL AND hi IS NULL THEN CASE WHEN nationwide THEN NULL ELSE 'AGE_UNKNOWN' END WHEN age < lo THEN 'AGE_BELOW_MIN' WHEN age > hi THEN 'AGE_ABOVE_MAX' END AS a,
- CASE ik WHEN 0 THEN NULL WHEN 1 THEN 'INCOME_UNKNOWN' ELSE CASE WHEN bal > lim THEN 'INCOME_OVER_LIMIT' END END AS i,
+ CASE ik WHEN 0 THEN NULL WHEN 1 THEN 'INCOME_UNKNOWN' WHEN 2 THEN CASE WHEN bal > lim THEN 'INCOME_OVER_LIMIT' END
+  ELSE CASE WHEN ratio IS NULL THEN 'INCOME_PROFILE_MISSING' WHEN ratio > lim THEN 'INCOME_OVER_LIMIT' END END AS i,
  CASE WHEN nationwide THEN NULL WHEN nocode THEN 'REGION_UNKNOWN' WHEN code <> nat THEN 'REGION_MISMATCH' END AS g,
  CASE WHEN noe THEN 'unknown' WHEN e < DATE '{TODAY}' THEN 'closed' WHEN e - DATE '{TODAY}' <= 7 THEN 'soon' ELSE 'now' END AS st FROM j),
 x AS (SELECT *, CASE st WHEN 'closed' THEN 'RECRUIT_CLOSED' WHEN 'unknown' THEN 'RECRUIT_UNKNOWN' END AS t FROM r),
-y AS (SELECT *, list_filter([a, i, g, t], lambda z: z IS NOT NULL) AS every,
+y AS (SELECT *, CASE WHEN broken THEN ['RECRUIT_UNKNOWN'] ELSE list_filter([a, i, g, t], lambda z: z IS NOT NULL) END AS every,
  ['AGE_BELOW_MIN', 'AGE_ABOVE_MAX', 'INCOME_OVER_LIMIT', 'REGION_MISMATCH', 'RECRUIT_CLOSED'] AS hard FROM x),
-z AS (SELECT p_partkey, a, i, g, t, st, list_concat(list_filter(every, lambda q: list_contains(hard, q)), list_filter(every, lambda q: NOT list_contains(hard, q))) AS reasons,
+z AS (SELECT p_partkey, broken, a, i, g, t, st, list_concat(list_filter(every, lambda q: list_contains(hard, q)), list_filter(every, lambda q: NOT list_contains(hard, q))) AS reasons,
  CASE WHEN len(list_intersect(every, hard)) > 0 THEN 'blocked' WHEN len(every) > 0 THEN 'review' WHEN st = 'soon' THEN 'soon' ELSE 'now' END AS bucket FROM y)"""
 
 
@@ -314,10 +346,10 @@ def _evaluated(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part").select(
         key.alias("id"), F.when(size % 7 > 0, size).cast("double").alias("age_min"), F.when(size % 5 > 0, size + 20).cast("double").alias("age_max"),
         (F.col("p_type") == "PROMO").alias("is_nationwide"),
-        F.struct(
-            F.element_at(F.array(F.lit("none"), F.lit("unknown"), F.lit("amountMax")), size % 3 + 1).alias("kind"),
-            F.lit(None).cast("double").alias("max_ratio"), F.col("p_retailprice").alias("max_amount"), F.lit(None).cast("string").alias("raw"),
-        ).alias("income"),
+        F.when(key % 17 != 0, F.struct(
+            F.element_at(F.array(*map(F.lit, ("none", "unknown", "amountMax", "medianRatio"))), size % 4 + 1).alias("kind"),
+            (size * 4.0).alias("max_ratio"), F.col("p_retailprice").alias("max_amount"), F.lit(None).cast("string").alias("raw"),
+        )).alias("income"),
         F.when(key % 6 == 0, F.array().cast("array<string>")).otherwise(F.array((key % 25).cast("string"))).alias("region_codes"),
         F.struct(
             F.lit("dated").alias("kind"), F.lit(None).cast("date").alias("start"),
@@ -326,11 +358,13 @@ def _evaluated(spark: SparkSession, d: str) -> DataFrame:
         F.lit(None).cast("string").alias("program_key"),
     )
     empty = F.array().cast("array<string>")
-    who = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.struct(
-        (F.col("c_custkey") % 60).cast("double").alias("age"), F.col("c_nationkey").cast("string").alias("region_code"),
-        F.lit(None).cast("double").alias("median_ratio"), F.col("c_acctbal").alias("amount"), empty.alias("active_programs"), empty.alias("completed_programs"),
+    customers, whose = table(spark, d, "customer"), F.col("c_custkey")
+    around = customers.agg(F.max("c_custkey") + 1).first()[0]
+    who = customers.select(whose.alias("customer"), F.struct(
+        (whose % 60).cast("double").alias("age"), F.col("c_nationkey").cast("string").alias("region_code"),
+        F.when(whose % 9 > 0, whose % 230).cast("double").alias("median_ratio"), F.col("c_acctbal").alias("amount"), empty.alias("active_programs"), empty.alias("completed_programs"),
     ).alias("profile"))
-    return eligibility.evaluate(parts.join(who, "id"), TODAY)
+    return eligibility.evaluate(parts.withColumn("customer", F.col("id") % around).join(who, "customer"), TODAY)
 
 
 @query(f"WITH {SQL_EVAL} SELECT bucket, count(*) AS n FROM z GROUP BY bucket")
@@ -346,12 +380,12 @@ def reasons_array(spark: SparkSession, d: str) -> DataFrame:
 def _axis(name: str, letter: str) -> None:
     def axis(spark: SparkSession, d: str) -> DataFrame:
         at = eligibility.AXES.index(name)
-        return _evaluated(spark, d).select("id", F.col("axes")[at]["verdict"].alias("verdict"), F.col("axes")[at]["reason"].alias("reason"))
+        return _evaluated(spark, d).select("id", F.col("axes")[at]["verdict"].alias("verdict"), F.col("axes")[at]["reason"].alias("reason")).filter("verdict IS NOT NULL")
 
     axis.__name__ = f"axis_{name}"
     query(
         f"WITH {SQL_EVAL} SELECT p_partkey AS id, CASE WHEN {letter} IS NULL THEN 'pass' WHEN {letter} IN ('AGE_BELOW_MIN', 'AGE_ABOVE_MAX', 'INCOME_OVER_LIMIT', "
-        f"'REGION_MISMATCH', 'RECRUIT_CLOSED') THEN 'blocked' ELSE 'review' END AS verdict, {letter} AS reason FROM z"
+        f"'REGION_MISMATCH', 'RECRUIT_CLOSED') THEN 'blocked' ELSE 'review' END AS verdict, {letter} AS reason FROM z WHERE NOT broken"
     )(axis)
 
 
@@ -374,7 +408,7 @@ def program_rules(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- results ----------------------------------------------------------------------------------------
 
-SQL_TITLED = "t AS (SELECT p_partkey AS id, p_name || ' ' || (1990 + p_partkey % 40) || '년 ' || p_brand AS title, ['now', 'soon', 'review'][p_size % 3 + 1] AS bucket, TIMESTAMP '2024-01-01' + INTERVAL (p_size) DAY AS updated_at, p_size AS points FROM part)"
+SQL_TITLED = "t AS (SELECT p_partkey AS id, p_name || ' ' || (1990 + p_partkey % 40) || '년 ' || p_brand AS title, ['now', 'soon', 'review'][p_size % 3 + 1] AS bucket, TIMESTAMP '2024-01-01' + INTERVAL (p_size) DAY AS updated_at, p_size AS points, p_brand AS brand FROM part)"
 
 
 def _titled(spark: SparkSession, d: str) -> DataFrame:
@@ -382,7 +416,7 @@ def _titled(spark: SparkSession, d: str) -> DataFrame:
     title = F.concat("p_name", F.lit(" "), (key % 40 + 1990).cast("string"), F.lit("년 "), "p_brand")
     bucket = F.element_at(F.array(F.lit("now"), F.lit("soon"), F.lit("review")), size % 3 + 1)
     updated = F.expr("TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, p_size)")
-    return table(spark, d, "part").select(key.alias("id"), title.alias("title"), bucket.alias("bucket"), updated.alias("updated_at"), size.alias("points"))
+    return table(spark, d, "part").select(key.alias("id"), title.alias("title"), bucket.alias("bucket"), updated.alias("updated_at"), size.alias("points"), F.col("p_brand").alias("brand"))
 
 
 SQL_RANK = "CASE bucket WHEN 'now' THEN 3 WHEN 'soon' THEN 2 ELSE 1 END"
@@ -395,13 +429,18 @@ def year_variant_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return results.latest_variants(_titled(spark, d)).select("id", "bucket")
 
 
-@query(f"""WITH {SQL_TITLED}, o AS (SELECT id, bucket, CASE WHEN bucket = 'review' THEN points % 3 ELSE 0 END AS n FROM t)
-SELECT bucket, n AS open_points, count(*) AS rows_shown, min(id) AS first_id FROM o GROUP BY ALL""")
+@query(f"""WITH {SQL_TITLED}, o AS (SELECT id, brand, bucket, CASE WHEN bucket = 'review' THEN points % 3 ELSE 0 END AS n FROM t)
+SELECT id, n AS open_points, row_number() OVER (PARTITION BY brand ORDER BY {SQL_RANK} DESC, n, id) AS position FROM o""")
 def result_order(spark: SparkSession, d: str) -> DataFrame:
     codes = F.array(F.lit("AGE_UNKNOWN"), F.lit("INCOME_UNKNOWN"))
     rows = _titled(spark, d).withColumn("reasons", F.slice(codes, 1, F.col("points") % 3)).withColumnRenamed("id", "ordinal")
-    shown = results.in_display_order(rows)
-    return shown.groupBy("bucket", F.col("open_points").alias("open_points")).agg(F.count("*").alias("rows_shown"), F.min("ordinal").alias("first_id"))
+    shown = results.with_positions(results.in_display_order(rows), ["brand"])
+    return shown.select(F.col("ordinal").alias("id"), F.col("open_points").cast("long").alias("open_points"), F.col("position").cast("long").alias("position"))
+
+
+@query(f"""WITH {SQL_TITLED} SELECT count(DISTINCT {SQL_NAME.format("regexp_replace(title, '(19|20)[0-9][0-9]년?', ' ', 'g')")}) AS n FROM t""")
+def headline_count(spark: SparkSession, d: str) -> DataFrame:
+    return results.headline_count(_titled(spark, d))
 
 
 # ---- crawled pages, texts ---------------------------------------------------------------------------
@@ -413,11 +452,14 @@ def html_strip_tags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", parse.strip_tags(F.col("html")).alias("body"))
 
 
-@query("""SELECT page_id, UNNEST(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 1)) AS href, UNNEST(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 2)) AS label FROM pages""")
+# The links of a page written as the crawled list writes them; SQL reads the page as it is.
+@query("""WITH p AS (SELECT page_id, UNNEST(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)<', 1)) AS key, UNNEST(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)<', 2)) AS title FROM pages)
+SELECT page_id, key, replace(replace(replace(replace(replace(replace(trim(title), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' ') AS title,
+ NOT regexp_matches(key, '^[0-9]+$') AS native FROM p WHERE trim(key) <> '' AND trim(title) <> ''""")
 def html_list_items(spark: SparkSession, d: str) -> DataFrame:
-    link = F.lit('<li><a href="([^"]*)">([^<]*)</a>')
-    pairs = F.arrays_zip(F.regexp_extract_all("html", link, 1).alias("href"), F.regexp_extract_all("html", link, 2).alias("label"))
-    return table(spark, d, "pages").select("page_id", F.inline(pairs))
+    crawled = F.regexp_replace("html", '<a href="([^"]*)">', "<a href=\"#\" onclick=\"goView('$1');\">")
+    rows = table(spark, d, "pages").select("page_id", F.inline(parse.list_items(crawled)))
+    return rows.withColumn("native", parse.is_native_key(F.col("key")))
 
 
 WORD_PATTERNS = {"first": ["th(at|is)", "was"], "second": ["que", "des?\\b"]}
@@ -436,9 +478,15 @@ def crisis_layer1(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", found["matched"].alias("matched"), found["crisis"].alias("crisis"))
 
 
-@query("""SELECT conv_id, turn, NULL::VARCHAR AS matched FROM conversations""")
+# What people write, with and without a sign of crisis, after each text; SQL applies the same patterns with another engine.
+SAID = ["죽고 싶어요", "배고파 죽겠다", "더는 못 버티겠어", "여행을 떠나고 싶다", "사는 게 의미 없다", "다 끝내 버리고 싶다", "자살 예방", "수면제 다 먹었어", "살기 싫어", "약속을 지켰어", "눈을 안 떴으면", "버틸 힘이 없어"]
+SQL_SAID = f"text || ' ' || {SAID}[(conv_id * 5 + turn) % {len(SAID)} + 1]"
+
+
+@query(f"""SELECT conv_id, turn, coalesce({", ".join(f"nullif(regexp_extract({SQL_SAID}, '{p}'), '')" for p in CRISIS_PATTERNS)}) AS matched FROM conversations""")
 def crisis_screen(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", safety.crisis(F.col("text"))["matched"].alias("matched"))
+    said = F.get(F.array(*map(F.lit, SAID)), ((F.col("conv_id") * 5 + F.col("turn")) % len(SAID)).cast("int"))
+    return table(spark, d, "conversations").select("conv_id", "turn", safety.crisis(F.concat("text", F.lit(" "), said))["matched"].alias("matched"))
 
 
 SQL_COS2 = "list_dot_product(e.embedding::DOUBLE[], a.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])))"
@@ -460,67 +508,106 @@ def rate_limiter(spark: SparkSession, d: str) -> DataFrame:
     return limited(requests, 86400, 3)
 
 
-# ---- parsers over fixed rows ------------------------------------------------------------------------
+# ---- parsers over texts built from table columns ----------------------------------------------------
+
+
+def _case(key: Column, *values: Column) -> Column:
+    """The value whose place is the key modulo their number."""
+    return F.get(F.array(*values), F.pmod(key, F.lit(len(values))).cast("int"))
 
 
-def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+def _text(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-@query("""SELECT * FROM (VALUES (0, 19.0, 34.0), (1, 19.0, 34.0), (2, NULL, 34.0), (3, 19.0, NULL), (4, NULL, NULL), (5, NULL, 34.0), (6, NULL, NULL), (7, NULL, NULL)) t(id, age_min, age_max)""")
+def _none(kind: str = "string") -> Column:
+    return F.lit(None).cast(kind)
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 8 IN (0, 1, 3) THEN p_size::DOUBLE END AS age_min,
+ CASE WHEN p_partkey % 8 IN (0, 1, 2, 5) THEN (p_size + 15)::DOUBLE END AS age_max FROM part""")
 def parse_age(spark: SparkSession, d: str) -> DataFrame:
-    texts = ["19~34", "만 19세~만 34세", "34세 이하", "19세 이상", "제한없음", "19세 이상 34세 이하", "34~19", None]
-    rows = _rows(spark, list(enumerate(texts)), "id int, t string")
-    none = F.lit(None).cast("double")
-    return rows.select("id", parse.parse_age(none, none, F.col("t")).alias("a")).select("id", "a.*")
+    lo, hi = F.col("p_size"), F.col("p_size") + 15
+    t = _case(
+        F.col("p_partkey"), _text(lo, "~", hi), _text("만 ", lo, "세~만 ", hi, "세"), _text(hi, "세 이하"), _text("만 ", lo, "세 이상"), _text(lo, "~", hi, " 제한 없음"),
+        _text(lo, "세 이상 ", hi, "세 이하"), _text(hi, "~", lo), _none(),
+    )
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), parse.parse_age(_none("double"), _none("double"), t).alias("a")).select("id", "a.*")
 
 
-@query("""SELECT * FROM (VALUES (0, 'medianRatio', 150.0), (1, 'none', NULL), (2, 'unknown', NULL), (3, 'medianRatio', 120.0), (4, 'unknown', NULL), (5, 'unknown', NULL)) t(id, kind, max_ratio)""")
+@query("""SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'medianRatio' WHEN 1 THEN 'none' WHEN 3 THEN 'medianRatio' ELSE 'unknown' END AS kind,
+ CASE WHEN p_partkey % 6 IN (0, 3) THEN (p_size * 3)::DOUBLE END AS max_ratio FROM part""")
 def parse_income(spark: SparkSession, d: str) -> DataFrame:
-    texts = ["중위소득 150% 이하", "소득 무관", "별도 심사 후 결정", "중위소득 120% 또는 소득 무관", "소득과 무관하게 지원", None]
-    rows = _rows(spark, list(enumerate(texts)), "id int, t string")
-    return rows.select("id", parse.parse_income(F.col("t")).alias("i")).select("id", "i.kind", "i.max_ratio")
+    ratio = F.col("p_size") * 3
+    t = _case(F.col("p_partkey"), _text("중위소득 ", ratio, "% 이하"), _text("소득 무관"), _text("별도 심사 후 결정 ", ratio), _text("중위소득", ratio, " % 또는 소득 무관"), _text("소득과 무관하게 지원"), _none())
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), parse.parse_income(t).alias("i")).select("id", "i.kind", "i.max_ratio")
 
 
-@query("""SELECT * FROM (VALUES (0, '11', false), (1, '11,26', false), (2, '', true), (3, '', false), (4, '11', false), (5, '', false)) t(id, codes, nationwide)""")
+SQL_CODES, SQL_NAMES = ([p[k] for p in PROVINCES] for k in (0, 1))
+
+
+@query(f"""WITH t AS (SELECT c_custkey AS id, c_nationkey % 17 AS a, c_custkey % 17 AS b, c_custkey % 5 AS k FROM customer)
+SELECT id, array_to_string(CASE k WHEN 0 THEN [{SQL_CODES}[a + 1]] WHEN 1 THEN list_sort(list_distinct([{SQL_CODES}[a + 1], {SQL_CODES}[b + 1]])) WHEN 3 THEN [{SQL_CODES}[b + 1]] ELSE [] END, ',') AS codes, k = 2 AS nationwide FROM t""")
 def parse_region(spark: SparkSession, d: str) -> DataFrame:
-    texts = ["서울특별시", "서울특별시 부산광역시", "전국 거주 청년", "강남구", "서울 거주, 전국체전 입상자", None]
-    rows = _rows(spark, list(enumerate(texts)), "id int, t string")
-    r = parse.parse_region(F.col("t"))
-    return rows.select("id", F.array_join(r["codes"], ",").alias("codes"), r["nationwide"].alias("nationwide"))
+    names = F.array(*map(F.lit, SQL_NAMES))
+    a, b = F.get(names, (F.col("c_nationkey") % 17).cast("int")), F.get(names, (F.col("c_custkey") % 17).cast("int"))
+    t = _case(F.col("c_custkey"), a, _text(a, " ", b), F.lit("전국 거주 청년"), _text(b, " 거주, 전국체전 입상자"), _none())
+    r = parse.parse_region(t)
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array_join(r["codes"], ",").alias("codes"), r["nationwide"].alias("nationwide"))
 
 
-@query("""SELECT * FROM (VALUES (0, 'dated', DATE '2026-06-01', DATE '2026-08-31'), (1, 'always', NULL, NULL), (2, 'unknown', NULL, NULL), (3, 'unknown', NULL, NULL), (4, 'dated', DATE '2026-06-01', NULL), (5, 'unknown', NULL, NULL)) t(id, kind, start, "end")""")
+@query("""WITH t AS (SELECT o_orderkey AS id, o_orderdate::DATE AS a, o_orderdate::DATE + 40 AS b, o_orderkey % 7 AS k FROM orders)
+SELECT id, CASE WHEN k IN (0, 4, 6) THEN 'dated' WHEN k = 1 THEN 'always' ELSE 'unknown' END AS kind, CASE WHEN k IN (0, 4, 6) THEN a END AS start, CASE WHEN k IN (0, 6) THEN b END AS "end" FROM t""")
 def parse_recruit(spark: SparkSession, d: str) -> DataFrame:
-    given = [(None, None, "2026.06.01~2026.08.31"), (None, None, "상시모집"), ("2026-02-30", None, None), ("2026-09-01", "2026-08-01", None), ("2026-6-1", None, "상시"), (None, None, None)]
-    rows = _rows(spark, [(k, *g) for k, g in enumerate(given)], "id int, s string, e string, t string")
+    key, a = F.col("o_orderkey"), F.to_date("o_orderdate")
+    b, day = F.date_add(a, 40), lambda c, p: F.date_format(c, p)
+    start = _case(key, _none(), _none(), F.lit("2026-02-30"), day(b, "yyyy-MM-dd"), day(a, "yyyy/M/d"), _none(), day(a, "yyyy.MM.dd"))
+    end = _case(key, _none(), _none(), _none(), day(a, "yyyy-MM-dd"), _none(), _none(), day(b, "yyyy-M-d"))
+    t = _case(key, _text("접수 ", day(a, "yyyy.M.d"), "~", day(b, "yyyy.MM.dd")), F.lit("연중 상시모집"), _none(), _none(), F.lit("상시"), F.lit("추후 공지"), F.lit("상시"))
+    rows = table(spark, d, "orders").select(key.alias("id"), start.alias("s"), end.alias("e"), t.alias("t"))
     return rows.select("id", parse.parse_recruit(F.col("s"), F.col("e"), F.col("t")).alias("r")).select("id", "r.*")
 
 
-@query("""SELECT * FROM (VALUES (0, '2026-12-31'), (1, '2026-02-28'), (2, '2026-06-30'), (3, '2026-11-30'), (4, '2027-02-28'), (5, '2026-10-15'), (6, NULL), (7, '2026-12-31'), (8, NULL)) t(id, end_text)""")
+@query("""WITH t AS (SELECT o_orderkey AS id, year(o_orderdate) + 25 AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, o_orderkey % 12 + 1 AS m2, o_orderkey % 8 AS k FROM orders)
+SELECT id, CASE k WHEN 0 THEN y || '-12-31' WHEN 1 THEN strftime(last_day(make_date(y::INT, m2::INT, 1)), '%Y-%m-%d') WHEN 2 THEN y || '-06-30'
+ WHEN 3 THEN strftime(last_day(make_date((y + CASE WHEN m2 < m THEN 1 ELSE 0 END)::INT, m2::INT, 1)), '%Y-%m-%d')
+ WHEN 4 THEN strftime(make_date((y + CASE WHEN m2 < m THEN 1 ELSE 0 END)::INT, m2::INT, 15), '%Y-%m-%d') WHEN 6 THEN printf('%d-%02d-%02d', y, m, d) END AS end_text FROM t""")
 def parse_coarse_end(spark: SparkSession, d: str) -> DataFrame:
-    texts = ["2026.01 ~ 2026년", "2025.03 ~ 2026.02", "2026년 상반기", "2026.3 ~ 11월", "2026.11 ~ 2월", "2026.3.2 ~ 10.15", "2026.03 ~", "2026", None]
-    return _rows(spark, list(enumerate(texts)), "id int, t string").select("id", parse.coarse_end(F.col("t")).alias("end_text"))
+    day, key = F.col("o_orderdate"), F.col("o_orderkey")
+    y, m, m2 = F.year(day) + 25, F.month(day), key % 12 + 1
+    t = _case(
+        key, _text(y - 1, ".01 ~ ", y, "년"), _text(y - 1, ".03 ~ ", y, ".", F.lpad(m2.cast("string"), 2, "0")), _text(y, "년 상반기"), _text(y, ".", m, " ~ ", m2, "월"),
+        _text(y, ".", m, ".2 ～ ", m2, ".15"), _text(y, ".", m, " ~"), _text("문의 1577-", y, "9, ", y - 1, ".1.1~", y, "-", m, "-", F.day(day)), _none(),
+    )
+    return table(spark, d, "orders").select(key.alias("id"), t.alias("t")).select("id", parse.coarse_end(F.col("t")).alias("end_text"))
 
 
-@query("""SELECT * FROM (VALUES (0, '연령', '만 19세 ~ 39세'), (0, '주관기관', '서울시 & 구'), (1, '소득', '무관')) t(id, label, value)""")
+@query("""SELECT p_partkey AS id, '연령' AS label, '만 ' || p_size || '세 ~ 39세' AS value FROM part UNION ALL SELECT p_partkey, '주관기관', p_brand || ' & ' || p_type FROM part
+UNION ALL SELECT p_partkey, '소득', p_name FROM part WHERE p_partkey % 3 = 0""")
 def html_label_values(spark: SparkSession, d: str) -> DataFrame:
-    html = [
-        "<dl><dt> 연 령 </dt> <dd>만 19세 ~ <b>39세</b></dd><dt>주관기관</dt><dd>서울시 &amp; 구</dd><dt>연령</dt><dd>둘째</dd></dl><script><dt>x</dt><dd>y</dd></script>",
-        "<table><tr><th scope='row'>소득</th><td> 무관 </td></tr></table>",
-    ]
-    rows = _rows(spark, list(enumerate(html)), "id int, html string")
-    return rows.select("id", F.explode(parse.label_values(F.col("html"))).alias("label", "value"))
+    key = F.col("p_partkey")
+    table_row = F.when(key % 3 == 0, _text("<table><tr><th scope='row'>소득</th> <td> ", F.col("p_name"), " </td></tr></table>")).otherwise("")
+    html = _text(
+        "<dl><dt> 연 령 </dt> <dd>만 ", F.col("p_size"), "세 ~ <b>39세</b></dd><dt>주관기관</dt><dd>", F.col("p_brand"), " &amp; ", F.col("p_type"),
+        "</dd><dt>연령</dt><dd>둘째</dd></dl><script><dt>x</dt><dd>y</dd></script><style><dt>z</dt><dd>y</dd></style>", table_row,
+    )
+    return table(spark, d, "part").select(key.alias("id"), F.explode(parse.label_values(html)).alias("label", "value"))
 
 
-@query("""SELECT * FROM (VALUES (0, 0, 'header', '[필수서류]'), (0, 1, 'item', '1. 신청서'), (0, 2, 'item', '2. 등본'), (0, 3, 'note', '※ 해당자만'), (1, 0, 'text', '주민등록 등본')) t(id, pos, type, text)""")
+@query("""SELECT p_partkey AS id, 0 AS pos, 'header' AS type, '[필수서류]' AS text FROM part UNION ALL SELECT p_partkey, 1, 'item', '1. ' || p_name FROM part
+UNION ALL SELECT p_partkey, 2, 'item', '2. ' || p_type FROM part UNION ALL SELECT p_partkey, 3, 'note', '※ ' || p_size || '세만' FROM part""")
 def document_segments(spark: SparkSession, d: str) -> DataFrame:
-    rows = _rows(spark, [(0, "▶ [필수서류] 1. 신청서 2. 등본\n※ 해당자만"), (1, "○ 주민등록 등본"), (2, None)], "id int, t string")
-    return rows.select("id", F.posexplode(parse.document_segments(F.col("t"))).alias("pos", "s")).select("id", "pos", "s.*")
+    t = _text("▶ [필수서류] 1. ", F.col("p_name"), " 2. ", F.col("p_type"), "\n※ ", F.col("p_size"), "세만\n ○ ")
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.posexplode(parse.document_segments(t)).alias("pos", "s"))
+    return rows.select("id", "pos", "s.*")
 
 
-@query("""SELECT * FROM (VALUES (0, true), (1, false), (2, false), (3, true), (4, false), (5, false)) t(id, grounded)""")
+@query("""SELECT p_partkey AS id, p_partkey % 7 IN (0, 3, 4) AS grounded FROM part""")
 def grounding_check(spark: SparkSession, d: str) -> DataFrame:
-    corpus = "서울특별시 청년 월세 지원 19세 34세 https://example.org/a 20만원"
-    texts = ["서울 청년의 월세를 돕는 사업이에요. 19세부터 볼 수 있어요.", "당신은 선정됩니다", "수원시 청년을 위한 사업이에요.", "https://example.org/a 에서 20만원 내용을 살펴보세요.", "12세부터 볼 수 있어요.", ""]
-    return _rows(spark, list(enumerate(texts)), "id int, t string").select("id", safety.grounded(F.col("t"), F.lit(corpus)).alias("grounded"))
+    size = F.col("p_size")
+    corpus = _text("서울특별시 청년 월세 지원 ", size, "세 ", size * 100, "만원 https://example.org/", F.col("p_partkey"))
+    t = _case(
+        F.col("p_partkey"), _text("서울 청년의 월세를 돕는 사업이에요. ", size, "세부터 볼 수 있어요."), F.lit("당신은 선정됩니다"), F.lit("수원시 청년을 위한 사업이에요."),
+        _text("https://example.org/", F.col("p_partkey"), " 에서 ", size * 100, "만원 내용을 살펴보세요."), _text("월세 지원 사업이에요. ", F.format_number(size * 100, 0), "만원이에요."), _text(size * 100 + 7, "세부터 볼 수 있어요."), F.lit(""),
+    )
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), safety.grounded(t, corpus).alias("grounded"))

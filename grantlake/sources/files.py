@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,15 +55,29 @@ def point_lookup(rows: DataFrame, column: str, value: str) -> DataFrame:
 
 
 def union_isolated(primary: DataFrame, secondary) -> tuple[DataFrame, str | None]:
-    """The primary source and, if it can be read, the secondary one; else a warning. ``secondary`` is a function."""
+    """The primary source and, if all of it can be read, the secondary one; else a warning. ``secondary`` is a function.
+
+    The secondary source is read once, into storage that keeps what doesn't fit in memory on disk: a page
+    that fails late fails here.
+    """
     try:
-        other = secondary()
-        other.limit(1).collect()
+        other = secondary().persist(StorageLevel.MEMORY_AND_DISK)
+        other.count()
     except Exception as failed:  # a source that is down must not stop the others
         return primary, str(failed)
     return primary.unionByName(other, allowMissingColumns=True), None
 
 
+def overwrite_snapshot(rows: DataFrame, path: str) -> None:
+    """The stored catalogue replaced as a whole; a reader sees the old one or the new one once Spark's commit is done."""
+    rows.write.mode("overwrite").parquet(path)
+
+
+def json_report(rows: DataFrame, most: int = 3) -> list[str]:
+    """The first rows as JSON, for a report: at most ``most`` of them reach the driver."""
+    return [r["value"] for r in rows.limit(most).select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).collect()]
+
+
 def vector_literal(v: Column) -> Column:
     """[a,b,...]; non-finite numbers as 0, an empty vector as null."""
     finite = F.transform(v.cast("array<double>"), lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x))
