@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantlake.functions import parse
-from grantlake.functions.constants import DISTRICTS, PROVINCES
+from grantlake.functions.constants import DISTRICTS, DUPLICATE_STATES, FALLBACK_PLAIN, FALLBACK_TITLED, HOUSEHOLD_STATES, INCOME_KINDS, PROVINCES
 from grantlake.functions.text import fnv1a, let, non_empty, normalize_name, one_blank
+from grantlake.operators.retrieval import index_keywords, index_text
 
 RAW_FIELDS = (
     "id", "title", "summary", "ageText", "incomeText", "regionText", "recruitStartText", "recruitEndText", "recruitText",
@@ -273,10 +274,113 @@ def upsert(previous: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return previous.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def ingest_counts(rows: DataFrame) -> DataFrame:
-    """Counters of rows with id, verdict, copies and reparse, in one pass."""
-    return rows.agg(
-        F.count_if(F.col("id") == "unknown").alias("dropped_no_id"), F.count_if(F.col("verdict") == "non-seoul").alias("dropped_non_seoul"),
-        F.count_if(F.col("verdict") == "unknown-region").alias("dropped_unknown_region"), F.sum(F.col("copies") - 1).alias("merged_duplicates"),
-        F.count_if(F.col("reparse")).alias("reparsed"),
+def from_second_catalogue(items: DataFrame) -> DataFrame:
+    """Items of the second catalogue to raw records."""
+    names = {
+        "id": "bizId", "title": "policyName", "orgName": "orgName", "regionText": "regionName", "ageText": "ageInfo", "incomeText": "incomeInfo",
+        "recruitText": "applyPeriod", "sourceUrl": "detailUrl",
+    }
+    kept = [F.col(k) for k in ("ordinal",) if k in items.columns]
+    return items.select(*kept, *[(F.col(c) if c in items.columns else F.lit(None)).cast("string").alias(n) for n, c in names.items()], F.lit("mongttang").alias("source"))
+
+
+def parse_input(rows: DataFrame) -> Column:
+    """What a parser is given: the texts that decide eligibility, one a line."""
+    texts = [F.col(c) for c in ("title", "summary", "region_text", "income.raw", "category")]
+    return F.concat_ws("\n", *[F.nullif(t, F.lit("")) for t in texts])
+
+
+def fallback_explanation(title: Column) -> Column:
+    """What is shown instead of an explanation that isn't grounded."""
+    own = non_empty(title)
+    return F.when(own.isNull(), FALLBACK_PLAIN).otherwise(F.concat(own, F.lit(FALLBACK_TITLED)))
+
+
+def grounding_corpus(rows: DataFrame) -> Column:
+    """The texts that an explanation may draw on: eight fields, never the id or the raw record."""
+    number = lambda c: F.regexp_replace(F.when(F.abs(c) < float("inf"), c).cast("string"), "\\.0\\z", "")
+    parts = [non_empty(F.col(c)) if c not in ("age_min", "age_max") else number(F.col(c)) for c in ("title", "summary", "category", "age_min", "age_max", "region_text", "source_url")]
+    return F.concat_ws(" ", *parts)
+
+
+def narrowed(answer: Column) -> Column:
+    """A model's JSON answer within its schema: what isn't one of the known values is UNKNOWN; a limit needs its number."""
+    text = lambda path: F.get_json_object(answer, path)
+    one_of = lambda c, known: F.when(c.isin(known), c).otherwise("UNKNOWN")
+    # JSON strings that look like numbers are no numbers: the raw value must not begin with a quote.
+    income = F.from_json(text("$.incomeCriterion"), "map<string,string>")
+    value = F.from_json(text("$.incomeCriterion"), "struct<value: variant>")["value"]
+    number = F.when(F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(value, "$", "double"))
+    kind = F.try_element_at(income, F.lit("kind"))
+    known = F.when(kind == "none", kind).when(kind.isin(INCOME_KINDS) & (F.abs(number) < float("inf")), kind).otherwise("UNKNOWN")
+    return F.struct(
+        one_of(text("$.householdSeparation"), HOUSEHOLD_STATES).alias("household"), known.alias("income_kind"),
+        F.when(known.isin("medianRatio", "amountMax"), number).alias("income_value"), F.try_element_at(income, F.lit("raw")).alias("income_raw"),
+        one_of(text("$.duplicateParticipation"), DUPLICATE_STATES).alias("duplicates"),
+        text("$.chunks.purpose").alias("purpose"), text("$.chunks.eligibility").alias("eligibility"), text("$.chunks.application").alias("application"),
+    )
+
+
+Step = Callable[[DataFrame], DataFrame]
+
+
+def _with(rows: DataFrame, **columns: str) -> DataFrame:
+    return rows.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in rows.columns})
+
+
+def assembled(marked: DataFrame, previous: DataFrame, now: Column, parse_: Step | None, explain: Step | None, vectors: DataFrame | None, force: bool) -> DataFrame:
+    """Stored rows: what changed is parsed, explained and embedded anew, the rest carried forward.
+
+    ``parse_`` and ``explain`` take rows and add ``parsed`` or ``explanation``; ``vectors`` (id, vector) holds
+    what an embedder gave for the changed ids. A missing explanation is filled in; so is a missing vector.
+    """
+    carried = ["parsed", "explanation", "vector", "updated_at"]
+    kept = _with(previous, parsed="string", explanation="string", vector="array<double>", updated_at="timestamp")
+    before = last_of(kept, "id", carried, None).withColumnsRenamed({c: f"_{c}" for c in carried})
+    rows = marked.join(before, "id", "left")
+    fresh = rows.filter("reparse").withColumn("parsed", F.lit(None).cast("string"))
+    fresh = parse_(fresh.drop("parsed")) if parse_ else fresh
+    rows = fresh.unionByName(rows.filter("NOT reparse").withColumn("parsed", F.col("_parsed")))
+    if explain:
+        wanted = F.col("reparse") | F.col("_explanation").isNull() | F.lit(force)
+        rows = explain(rows.filter(wanted)).unionByName(rows.filter(~wanted).withColumn("explanation", F.col("_explanation")))
+    else:
+        rows = rows.withColumn("explanation", F.when(~F.col("reparse"), F.col("_explanation")))
+    body = index_text(F.get_json_object("parsed", "$.chunks.purpose"), F.get_json_object("parsed", "$.chunks.eligibility"), F.col("title"), F.col("summary"))
+    need = (F.col("reparse") | F.col("_vector").isNull()) & (F.trim(body) != "")
+    if vectors is not None:
+        own = last_of(vectors, "id", ["vector"], None).withColumnRenamed("vector", "_new")
+        rows = rows.join(own, "id", "left").withColumn("vector", F.when(need, F.when(F.size("_new") > 0, F.col("_new"))).otherwise(F.col("_vector"))).drop("_new")
+    else:
+        rows = rows.withColumn("vector", F.col("_vector"))
+    return rows.withColumns({
+        "fetched_at": now, "updated_at": F.when(F.col("reparse"), now).otherwise(F.coalesce("_updated_at", now)),
+        "keywords": index_keywords(F.col("title"), F.col("category")),
+    }).drop(*[f"_{c}" for c in carried])
+
+
+def ingest(
+    raw: DataFrame, previous: DataFrame, now: Column, scope: str = "all", secondary: str = "seoul-youth", parse_: Step | None = None, explain: Step | None = None,
+    vectors: DataFrame | None = None, force_explain: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """(rows to store, one row of counters): normalize, newest, scope, suppress, hash, recompute what changed, assemble.
+
+    ``raw``: raw records with ``ordinal``, the order of arrival; ``previous``: the stored rows (id, content_hash and
+    what is carried). Each step is a filter, a join or an aggregate over all rows.
+    """
+    rows = normalized(raw).withColumn("last_modified", F.col("raw.lastModified"))
+    named = newest(rows.filter("id <> 'unknown'"), ["source", "id"])
+    verdict = F.lit("pass") if scope == "all" else region_verdict(F.col("region_codes"), F.col("is_nationwide"), F.col("region_text"))
+    judged = named.withColumn("verdict", verdict)
+    canonical = F.coalesce(F.array_contains("region_codes", CITY), F.lit(False)) | F.coalesce("is_nationwide", F.lit(False))
+    marked = suppression(judged.filter("verdict = 'pass'"), F.col("title"), F.col("source"), secondary, canonical)
+    current = changed(with_hash(marked.filter("NOT suppressed").drop("suppressed", "verdict")), _with(previous, content_hash="string"))
+    counts = (
+        rows.agg(F.count_if(F.col("id") == "unknown").alias("dropped_no_id"))
+        .join(judged.agg(
+            F.count_if(F.col("verdict") == "non-seoul").alias("dropped_non_seoul"), F.count_if(F.col("verdict") == "unknown-region").alias("dropped_unknown_region"),
+            F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("merged_duplicates"),
+        )).join(marked.agg(F.count_if("suppressed").alias("suppressed_cross_source")))
+        .join(current.agg(F.count_if("reparse").alias("reparsed")))
     )
+    return assembled(current, previous, now, parse_, explain, vectors, force_explain), counts

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grantlake.functions.constants import CATEGORY_TAGS, PROVINCES, REVIEW_LABELS, REVIEW_TEXTS
+from grantlake.functions.constants import CATEGORY_TAGS, DOCUMENTS, ORIGINS, PROVINCES, REVIEW_LABELS, REVIEW_TEXTS
 from grantlake.functions.text import js_trim, title_year, without_years
 
 BUCKET_RANK = {"now": 3, "soon": 2, "review": 1}
@@ -100,6 +100,66 @@ def benefit(explanation: Column, summary: Column) -> Column:
     return F.coalesce(F.nullif(js_trim(explanation), F.lit("")), F.nullif(js_trim(summary), F.lit("")))
 
 
+def matched_documents(rows: DataFrame, text: str = "documents_text") -> DataFrame:
+    """Rows with ``documents``: the known documents that a text names, in the order of the dictionary."""
+    entry = lambda i, name, issuer, fee, minutes: F.struct(F.lit(i).alias("id"), F.lit(name).alias("name"), F.lit(issuer).alias("issuer"), F.lit(fee).cast("int").alias("fee"), F.lit(minutes).cast("int").alias("minutes"))
+    known = [F.when(F.col(text).contains(d[1]), entry(*d)) for d in DOCUMENTS]
+    return rows.withColumn("documents", F.array_compact(F.array(*known)))
+
+
+def fee_text(fee: Column) -> Column:
+    return F.when(fee.isNull(), "확인 필요").when(fee == 0, "무료").otherwise(F.concat(F.format_number(fee, 0), F.lit("원")))
+
+
+def minutes_text(minutes: Column) -> Column:
+    return F.concat(F.lit("약 "), minutes.cast("string"), F.lit("분"))
+
+
+def origin_label(source: Column) -> Column:
+    return F.coalesce(*[F.when(source == k, v) for k, v in ORIGINS.items()], F.lit(""))
+
+
+def updated_text(updated: Column) -> Column:
+    """The calendar day of an ISO time stamp, or null."""
+    return F.date_format(F.try_to_timestamp(updated), "yyyy-MM-dd")
+
+
+def _province_name(code: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for c, name, _ in PROVINCES for x in (c, name)]), code)
+
+
+def center_message(code: Column) -> Column:
+    name = _province_name(js_trim(code))
+    return F.concat(F.lit("혼자 하기 버거우면 "), F.coalesce(F.concat(name, F.lit(" ")), F.lit("")), F.lit("청년센터가 같이 해줘요"))
+
+
+def _age_text(age: Column) -> Column:
+    usable = ~F.isnan(age.cast("double")) & (F.abs(age.cast("double")) < float("inf"))
+    return F.when(usable, F.concat(F.regexp_replace(age.cast("string"), "\\.0\\z", ""), F.lit("세")))
+
+
+def profile_summary(code: Column, age: Column) -> Column:
+    """Place and age; an unknown code stands for itself."""
+    own = F.nullif(code, F.lit(""))
+    return F.concat_ws(" · ", F.coalesce(_province_name(own), own, F.lit("지역")), F.coalesce(_age_text(age), F.lit("나이 입력")))
+
+
+def match_badge(code: Column, age: Column) -> Column:
+    """What of place and age is known."""
+    return F.concat_ws(" · ", _province_name(code), _age_text(age))
+
+
+def stored_profile(age: Column, code: Column) -> Column:
+    """struct(age, region_code) of a stored profile: an age between 0 and 150, rounded down, and a trimmed code; else null."""
+    number = age.try_cast("double")
+    return F.struct(F.when((number > 0) & (number < 150), F.floor(number).cast("int")).alias("age"), F.nullif(js_trim(code), F.lit("")).alias("region_code"))
+
+
+def client_key(forwarded: Column, real: Column) -> Column:
+    """Whom a request counts for: the first hop of x-forwarded-for, else x-real-ip, else 'unknown'."""
+    return F.when(F.coalesce(forwarded, F.lit("")) != "", F.trim(F.split(forwarded, ",")[0])).otherwise(F.coalesce(real, F.lit("unknown")))
+
+
 def toggled(saved: DataFrame, item: DataFrame, limit: int = 100) -> DataFrame:
     """A saved list (id, title, saved_at) after toggling one item: removed if there, else put first; the newest 100 stay."""
     clean = saved.select(js_trim(F.col("id")).alias("id"), js_trim(F.col("title")).alias("title"), "saved_at").filter("id <> '' AND title <> ''")

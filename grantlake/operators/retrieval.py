@@ -122,3 +122,33 @@ def sql_rerank(index: DataFrame, vector: list[float], query: str, k: int = 10) -
     return top_k(scored, k)
 
 
+def index_of(rows: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """(id, text, keywords, category, vector) of rows with an id; vectors are joined by id and null where there are none."""
+    purpose, eligibility = (F.get_json_object("parsed", f"$.chunks.{c}") if "parsed" in rows.columns else F.lit(None).cast("string") for c in ("purpose", "eligibility"))
+    index = rows.filter(F.coalesce("id", F.lit("")) != "").select(
+        "id", index_text(purpose, eligibility, F.col("title"), F.col("summary")).alias("text"), index_keywords(F.col("title"), F.col("category")).alias("keywords"), "category"
+    )
+    if vectors is None:
+        return index.withColumn("vector", F.lit(None).cast("array<double>"))
+    return index.join(vectors.select("id", "vector"), "id", "left")
+
+
+def open_to(index: DataFrame, rows: DataFrame, region: str | None) -> DataFrame:
+    """The index without documents of records that are closed to a region; documents without a record stay."""
+    if not (region or "").strip():
+        return index
+    closed = rows.filter(~compatible(F.col("region_codes"), F.col("is_nationwide"), region)).select("id")
+    return index.join(closed, "id", "left_anti")
+
+
+def resolved(hits: DataFrame, rows: DataFrame, index: DataFrame) -> DataFrame:
+    """Hits with their records; a hit without one gets a record of which all is unknown but the category that the index has."""
+    empty = F.array().cast("array<string>")
+    unknown = {
+        "title": F.col("id"), "region_codes": empty, "is_nationwide": F.lit(False), "source": F.lit("unknown"), "category": F.col("_category"),
+        "income": F.struct(F.lit("unknown").alias("kind"), F.lit(None).cast("double").alias("max_ratio"), F.lit(None).cast("double").alias("max_amount"), F.lit(None).cast("string").alias("raw")),
+        "recruit": F.struct(F.lit("unknown").alias("kind"), F.lit(None).cast("date").alias("start"), F.lit(None).cast("date").alias("end")),
+    }
+    found = hits.join(rows.withColumn("_found", F.lit(True)), "id", "left").join(index.select("id", F.col("category").alias("_category")), "id", "left")
+    made = {c: F.when(F.col("_found").isNull(), v.cast(rows.schema[c].dataType)).otherwise(F.col(c)) for c, v in unknown.items() if c in rows.columns}
+    return found.withColumns(made).drop("_found", "_category")

@@ -37,6 +37,7 @@ class Node:
 class Outcome:
     crisis: bool = False
     rows: DataFrame | None = None
+    degraded: bool = False
     alternatives: list[Node] = field(default_factory=list)
 
 
@@ -49,7 +50,8 @@ def search(catalogue: DataFrame, root: Node, node_id: str, profile: dict, today:
     """The safety screen comes before any scan; region and category filters below the top-k; then eligibility and order.
 
     ``catalogue``: normalized rows with text, keywords, vector and updated_at. No candidate, or none that
-    may be shown, gives the node's children as alternatives.
+    may be shown, gives the node's children as alternatives. The few rows found are kept, as they are looked
+    at twice; vectors stay out of them. Without a query vector the outcome is marked as degraded.
     """
     node = root.find(node_id)
     text = query if query is not None else (node.concept if node and node is not root else "")
@@ -71,8 +73,8 @@ def search(catalogue: DataFrame, root: Node, node_id: str, profile: dict, today:
         ("age", "double"), ("region_code", "string"), ("median_ratio", "double"), ("amount", "double"),
         ("active_programs", "array<string>"), ("completed_programs", "array<string>"),
     )])
-    found = catalogue.join(F.broadcast(hits), "id").withColumn("profile", who).withColumn("ordinal", -F.col("score"))
-    shown = results.in_display_order(results.latest_variants(eligibility.evaluate(found, today).filter("bucket <> 'blocked'")))
-    if not shown.limit(1).count():
-        return Outcome(alternatives=node.choices())
-    return Outcome(rows=shown)
+    found = retrieval.resolved(hits, catalogue.drop("vector", "text", "keywords"), index).withColumn("profile", who).withColumn("ordinal", -F.col("score"))
+    kept = results.latest_variants(eligibility.evaluate(found, today).filter("bucket <> 'blocked'")).persist()
+    if not kept.limit(1).count():
+        return Outcome(alternatives=node.choices(), degraded=not vector)
+    return Outcome(rows=results.in_display_order(kept), degraded=not vector)

@@ -220,3 +220,103 @@ def test_search_end_to_end(spark):
     assert [r.id for r in got.rows.collect()] == ["x"]
     assert search(catalogue, root, "rent", {}, TODAY, query="죽고 싶어").crisis
     assert [n.id for n in search(catalogue, root, "root", {}, TODAY).alternatives] == ["rent"]
+
+
+@pytest.fixture
+def served():
+    """A local service: paged JSON with one broken page, and a crawled catalogue whose list has a gap."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    lists = {("a", 1): ["V1", "22"], ("a", 2): [], ("a", 3): ["V2", "V1"], ("b", 1): ["V3"]}
+
+    class Handler(BaseHTTPRequestHandler):
+        asked: list[str] = []
+
+        def do_GET(self):
+            self.asked.append(self.path)
+            kind, *rest = self.path.strip("/").split("/")
+            body, code = "", 200
+            if kind == "page":
+                body, code = f'{{"result": {{"youthPolicyList": [{{"plcyNo": "P{rest[0]}"}}], "pagging": {{"totCount": 250}}}}}}', 404 if rest[0] == "2" else 200
+            elif kind == "list":
+                body = "".join(f"<a href=\"#\" onclick=\"goView('{k}');\">title {k}</a>" for k in lists.get((rest[0], int(rest[1])), []))
+            elif kind == "detail" and rest[0] != "V3":
+                body = f"<dl><dt>정책유형</dt><dd>{rest[0]}</dd></dl>"
+            self.send_response(code if kind != "detail" or rest[0] != "V3" else 500)
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def log_message(self, *args): ...
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", Handler.asked
+    server.shutdown()
+
+
+def test_paged_source_skips_a_broken_page(spark, served):
+    from grantlake.sources.paged import PagedSource
+
+    spark.dataSource.register(PagedSource)
+    bodies = spark.read.format("paged").option("url", f"{served[0]}/page/{{page}}").option("tries", "1").load()
+    assert sorted(r.plcyNo for r in files.service_pages(bodies, "struct<plcyNo: string>").collect()) == ["P1", "P3"]
+
+
+def test_crawl_stops_after_two_empty_pages(spark, served):
+    from grantlake.sources.paged import CrawlSource
+
+    spark.dataSource.register(CrawlSource)
+    reader = spark.read.format("crawl").options(url=f"{served[0]}/list/{{tab}}/{{page}}", detail=f"{served[0]}/detail/{{key}}", tabs="a,b", delay="0", size="1")
+    rows = {r.key: r for r in reader.load().collect()}
+    assert set(rows) == {"V1", "V2", "V3"}
+    assert rows["V2"].title == "title V2" and "정책유형" in rows["V1"].html and rows["V3"].html == ""
+    asked = {p for p in served[1] if p.startswith("/list")}
+    assert asked == {f"/list/a/{k}" for k in range(1, 6)} | {f"/list/b/{k}" for k in range(1, 4)}
+    assert ingest.from_crawl(reader.load(), "http://x").count() == 3
+
+
+def test_ingest_carries_forward_what_has_not_changed(spark):
+    now, before = datetime(2026, 6, 24), datetime(2026, 1, 1)
+    schema = "ordinal long, id string, title string, regionText string, incomeText string, source string"
+    raw = spark.createDataFrame([
+        (0, "a", "월세 지원", "서울", "소득 무관", "ontong"), (1, "b", "월세지원", "서울", None, "seoul-youth"), (2, "c", "취업", "서울", None, "seoul-youth"), (3, "d", "x", "부산", None, "ontong"),
+        (4, None, "y", "서울", None, "ontong"), (5, "a", "월세 지원 2", "서울", "소득 무관", "ontong"), (6, "e", "z", None, None, "ontong"),
+    ], schema)
+    parsed = lambda rows: rows.withColumn("parsed", F.lit('{"chunks": {"purpose": "p"}}'))
+    explained = lambda rows: rows.withColumn("explanation", F.concat(F.lit("about "), "title"))
+    vectors = spark.createDataFrame([("a", [1.0]), ("c", [2.0])], "id string, vector array<double>")
+    first, counts = ingest.ingest(raw, spark.createDataFrame([], "id string"), F.lit(before), "city", parse_=parsed, vectors=vectors)
+    got = counts.first()
+    assert (got.dropped_no_id, got.dropped_non_seoul, got.dropped_unknown_region, got.merged_duplicates, got.suppressed_cross_source, got.reparsed) == (1, 1, 1, 1, 0, 3)
+    stored = {r.id: r for r in first.collect()}
+    assert stored["a"].title == "월세 지원 2" and stored["a"].vector == [1.0] and stored["a"].explanation is None and stored["b"].vector is None
+    kept = spark.createDataFrame(first.collect(), first.schema)
+    same = raw.withColumn("title", F.when(F.col("id") == "c", "취업 지원").otherwise(F.col("title")))
+    again = {r.id: r for r in ingest.ingest(same, kept, F.lit(now), "city", explain=explained, vectors=spark.createDataFrame([("b", [3.0])], vectors.schema))[0].collect()}
+    assert (again["a"].reparse, again["a"].updated_at, again["a"].fetched_at, again["a"].parsed, again["a"].vector, again["a"].explanation) == (False, before, now, stored["a"].parsed, [1.0], "about 월세 지원 2")
+    assert (again["c"].reparse, again["c"].updated_at, again["c"].parsed, again["c"].vector) == (True, now, None, None)
+    assert again["b"].vector == [3.0] and again["b"].keywords == ["월세지원"]
+    none = ingest.ingest(raw.limit(0), kept, F.lit(now))
+    assert none[0].collect() == [] and none[1].first().merged_duplicates == 0
+
+
+def test_isolated_source_fails_as_a_whole(spark):
+    own = spark.range(3)
+    late = lambda: spark.range(1000).select(F.when(F.col("id") < 999, F.col("id")).otherwise(F.raise_error(F.lit("down")).cast("long")).alias("id"))
+    rows, warning = files.union_isolated(own, late)
+    assert rows.count() == 3 and "down" in warning
+    rows, warning = files.union_isolated(own, lambda: spark.range(2))
+    assert rows.count() == 5 and warning is None
+
+
+def test_month_thirteen_and_anchors(spark):
+    from grantlake.functions import parse
+
+    r = spark.range(1).select(parse.coarse_end(F.lit("2025.1 ~ 2026.13")).alias("a"), parse.coarse_end(F.lit("2026.02")).alias("b")).first()
+    assert (r.a, r.b) == ("2026-13-31", "2026-02-28")
+    rows = spark.createDataFrame([("x", [1.0, 0.0]), ("y", None)], "id string, vector array<double>")
+    assert [r.hit for r in safety.near_anchors(rows, rows.filter("id = 'y'")).orderBy("id").collect()] == [False, False]
+    assert [r.hit for r in safety.near_anchors(rows, rows).orderBy("id").collect()] == [True, False]
+    with pytest.raises(ValueError, match="anchors"):
+        safety.near_anchors(rows, spark.range(65).select(F.array(F.lit(1.0), F.lit(0.0)).alias("vector")))
