@@ -16,9 +16,9 @@ numbers a step reaches the driver.
 ``one_of_similar`` serves the pipeline: its classes link texts whose sets of five-word shingles have a
 Jaccard similarity of 0.8 or more. Such texts mostly lie over three bits apart, so beside the pairs
 of the multi-index search those that agree in one of ``BANDS`` bands of min-hashes are candidates (all but
-0.04 % of the pairs at 0.8, fewer above), and each candidate is verified by its exact similarity. A
-band's value that more than ``LARGE_BAND`` different texts share isn't paired up: each of them is
-compared with ``LEADERS`` of them in each such band.
+0.04 % of the pairs at 0.8, fewer above), and each candidate is verified by its exact similarity, unless
+others have linked it already. A band's value that more than ``LARGE_BAND`` different texts share isn't
+paired up: each of them is compared with the least and ``LEADERS`` others of them in each such band.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; with fewer words
 than a shingle the whole sequence is one shingle; a very long text is read whole, in chunks. Repeated
@@ -53,6 +53,7 @@ SIMILARITY = 0.8
 BANDS, BAND_ROWS = 20, 5
 LARGE_BAND = 64
 LEADERS = 4
+MOST_BROADCAST = 1_000_000  # rows of two longs
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
@@ -199,45 +200,88 @@ def _similar_profiles(docs: DataFrame) -> DataFrame:
     return cut_lineage(own.mapInPandas(run, "doc_id long, th long, node long, fp long, keys array<long>"))
 
 
-def band_pairs(nodes: DataFrame, large: int = LARGE_BAND) -> DataFrame:
-    """(a, b) of nodes that share a band's value. ``nodes``: (node, keys), node unique."""
+def band_members(nodes: DataFrame) -> DataFrame:
+    """(key, node, lead, n) of the nodes that share a band's value: the least of them and their number. ``nodes``: (node, keys), node unique."""
     held = nodes.select("node", F.explode("keys").alias("key"))
-    sizes = held.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1")
-    few = held.join(sizes.filter(F.col("_n") <= large).select("key"), "key")
-    pairs = few.join(few.select("key", F.col("node").alias("b")), "key").filter("node < b").select(F.col("node").alias("a"), "b")
-    many = held.join(sizes.filter(F.col("_n") > large).select("key"), "key")
+    groups = held.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).filter("n > 1")
+    return cut_lineage(held.join(groups, "key"))
+
+
+def led_pairs(members: DataFrame, large: int = LARGE_BAND) -> DataFrame:
+    """(a, b): each member with the least of its group; in a large group also with ``LEADERS`` others."""
+    many = members.filter(F.col("n") > large)
     leaders = many.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("part")).agg(F.min("node").alias("b"))
     led = many.join(leaders, "key").filter("node <> b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-    return pairs.unionByName(led).distinct()
+    return members.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).union(led).distinct()
+
+
+def open_pairs(members: DataFrame, classes_: DataFrame, large: int = LARGE_BAND) -> DataFrame:
+    """(a, b) of members of a group that isn't large which are in different classes so far. ``classes_``: (id, component)."""
+    own = members.filter(F.col("n") <= large).join(classes_.withColumnRenamed("id", "node"), "node", "left")
+    own = own.select("key", "node", F.coalesce("component", "node").alias("c"))
+    apart = own.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo < _hi").select("key")
+    own = own.join(apart, "key")
+    other = own.select("key", F.col("node").alias("b"), F.col("c").alias("d"))
+    return own.join(other, "key").filter("node < b AND c <> d").select(F.col("node").alias("a"), "b").distinct()
 
 
-def similar_pairs(docs: DataFrame, profile: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) of the nodes whose sets of shingles are similar, by their exact Jaccard similarity."""
-    nodes = profile.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min(F.struct("th", "doc_id")).alias("row"))
-    by_print = nodes.groupBy("fp").agg(F.min("node").alias("id"))
-    same = nodes.join(by_print, "fp").filter("node <> id").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    pairs = cut_lineage(band_pairs(nodes).union(links(by_print)).union(same).distinct())
-    wanted = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi").select("node", "row.th")
-    texts = docs.select("text", F.xxhash64("text").alias("th")).join(wanted, "th").groupBy("node").agg(F.min("text").alias("text"))
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, hashes) of the wanted nodes (node, th), from one text of each.
+
+    The hashes of up to ``MOST_BROADCAST`` wanted texts are broadcast, so that only these texts are shuffled; of
+    more of them, all texts are.
+    """
+    texts, named = docs.select("text", F.xxhash64("text").alias("th")), wanted
+    if wanted.count() <= MOST_BROADCAST:
+        named = F.broadcast(wanted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"node": b.node, "hashes": [shingle_set(t).view(np.int64) for t in b.text]})
 
-    sets = cut_lineage(texts.mapInPandas(run, "node long, hashes array<long>"))
+    found = texts.join(named, "th").groupBy("node").agg(F.min("text").alias("text"))
+    return cut_lineage(found.mapInPandas(run, "node long, hashes array<long>"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs whose sets are similar, by their exact Jaccard similarity."""
     of = lambda end, name: sets.select(F.col("node").alias(end), F.col("hashes").alias(name))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").filter(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
+    met = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
+    return cut_lineage(met.filter(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"))
+
+
+def similar_classes(docs: DataFrame, profile: DataFrame) -> DataFrame:
+    """(id, component) of the nodes that have a similar one.
+
+    First every candidate is compared with the least of each of its groups, then only those pairs are that
+    these links leave in different classes: what is linked already need not be compared to be kept.
+    """
+    nodes = profile.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("th").alias("th"))
+    nodes = cut_lineage(nodes)
+    members, by_print = band_members(nodes.select("node", "keys")), nodes.groupBy("fp").agg(F.min("node").alias("id"))
+    same = nodes.join(by_print, "fp").filter("node <> id").select(F.least("id", "node").alias("a"), F.greatest("id", "node").alias("b"))
+    first = cut_lineage(led_pairs(members).union(links(by_print)).union(same).distinct())
+    ends = members.select("node").union(first.select("a")).union(first.select("b")).distinct()
+    sets = shingle_sets(docs, cut_lineage(nodes.select("node", "th").join(ends, "node")))
+    linked = verified(first, sets)
+    more = open_pairs(members, components(linked)).join(first, ["a", "b"], "left_anti")
+    return components(linked.union(verified(more, sets)))
 
 
 def one_of_similar(docs: DataFrame) -> DataFrame:
-    """One row of each class of similar texts, the one with the least doc_id; rows without a doc_id come last in a class."""
+    """One row of each class of similar texts, the one with the least doc_id; rows without a doc_id come last in a class.
+
+    Texts are shuffled once, to meet the ids that stay; rows that are equal in id and text meet once more.
+    """
     profile = _similar_profiles(docs)
-    linked = components(similar_pairs(docs, profile)).withColumnRenamed("id", "node")
+    linked = similar_classes(docs, profile).withColumnRenamed("id", "node")
     rows = profile.select("doc_id", "th", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("r"))
-    left = [c * (1 + max(map(len, docs.columns))) for c in "_~"]  # no column of docs has a name as long
-    first = first.select(F.col("r.doc_id").alias(left[0]), F.col("r.th").alias(left[1]))
+    alike = rows.groupBy("component", "doc_id", "th").agg(F.count("*").alias("n"))
+    first = alike.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n")).alias("r"))
+    left = [c * (1 + max(map(len, docs.columns))) for c in "_~^"]  # no column of docs has a name as long
+    first = first.select(F.col("r.doc_id").alias(left[0]), F.col("r.th").alias(left[1]), F.col("r.n").alias(left[2]))
     on = F.col("doc_id").eqNullSafe(F.col(left[0])) & (F.xxhash64("text") == F.col(left[1]))
-    kept = docs.join(first, on, "left_semi").withColumn(left[1], F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", left[1]]).select(*docs.columns)
+    kept = docs.join(first, on)
+    repeated = kept.filter(F.col(left[2]) > 1).dropDuplicates(["doc_id", left[1]])
+    return kept.filter(F.col(left[2]) == 1).select(*docs.columns).unionByName(repeated.select(*docs.columns))
