@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grantlake.llm.common import cut_lineage, spread
-from grantlake.llm.tokens import encoder
+from grantlake.llm.tokens import encoder, release
 
 CAPACITY = 2048
 END_ID = 0
+CACHED = 120_000  # pieces a worker keeps while it encodes
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -42,7 +43,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     end = end_id.to_bytes(4, "little")
 
     def tokenize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, CACHED).encode
         for b in batches:
             rows = []
             for doc_id, text in zip(b.doc_id, b.text):
@@ -51,6 +52,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     rows.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield out.astype({"doc_id": "Int64"})
+        release()
 
     return spread(docs.select("doc_id", "text")).mapInPandas(tokenize, PIECES)
 

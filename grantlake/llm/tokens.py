@@ -33,12 +33,12 @@ def byte_letters() -> dict[int, str]:
 class Known(dict):
     """piece -> its ids as bytes; an unknown piece is encoded and kept.
 
-    When CACHED_PIECES have come in, they become the older half and a new half begins; what is asked
+    When ``most`` have come in, they become the older half and a new half begins; what is asked
     for again moves over from the older half, so frequent pieces stay.
     """
 
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
-        self.encode, self.older = encode, {}
+    def __init__(self, encode: Callable[[str], bytes], most: int = CACHED_PIECES) -> None:
+        self.encode, self.most, self.older = encode, most, {}
 
     def __missing__(self, piece: str) -> bytes:
         if (found := self.older.get(piece)) is None:
@@ -47,7 +47,7 @@ class Known(dict):
         return found
 
     def turn(self) -> None:
-        if len(self) > CACHED_PIECES:
+        if len(self) > self.most:
             self.older = dict(self)
             self.clear()
 
@@ -55,7 +55,7 @@ class Known(dict):
 class PieceEncoder:
     """encode(text): its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = CACHED_PIECES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -65,8 +65,8 @@ class PieceEncoder:
         self.keeps_blank = self._library(" a") != self._library("a")
         self.lowers = self._library("A") == self._library("a")
         self.letters = byte_letters()
-        self.whole = Known(self._whole)
-        self.after_cut = Known(self._after_cut)
+        self.whole = Known(self._whole, most)
+        self.after_cut = Known(self._after_cut, most)
 
     def _library(self, piece: str) -> bytes:
         return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
@@ -104,7 +104,13 @@ class PieceEncoder:
 
 
 @cache
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, most: int = CACHED_PIECES) -> PieceEncoder:
     """One encoder per worker process and file; fewer rounds of garbage collection over its many small objects."""
     gc.set_threshold(200_000, 20, 50)
-    return PieceEncoder(path)
+    return PieceEncoder(path, most)
+
+
+def release() -> None:
+    """Gives back what encoders have kept: the worker lives on and runs other tasks."""
+    encoder.cache_clear()
+    gc.collect()
