@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlake.llm import context_tree, packing, piece_lattice, pii, quality_classifier, quality_rules, simhash, sketches, token_files, toxicity
+from grantlake.llm import alignment, chat, context_tree, packing, phrases, piece_lattice, pii, quality_classifier, quality_rules, simhash, sketches, token_files, toxicity
 from grantlake.llm.common import held_out, shared_folder, table
 
 
@@ -55,4 +55,21 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents_of(token_files.read(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_classifier, op3_context_tree, op4_best_fit_packing, op5_pii, op6_paragraph_sketches, op7_token_files, op8_toxicity, op9_piece_lattice, op10_quality_rules)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.formatted(spark, rows.unionByName(planted), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_classifier, op3_context_tree, op4_best_fit_packing, op5_pii, op6_paragraph_sketches, op7_token_files, op8_toxicity, op9_piece_lattice, op10_quality_rules, op11_alignment, op12_phrases, op13_chat)}
+
+ORACLE = {"op12_phrases": phrases.SQL}

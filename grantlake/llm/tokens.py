@@ -30,6 +30,25 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def library(path: str, plain: bool = False):  # noqa: ANN201  the type belongs to a library that only tasks import
+    """The tokenizers library's encoder, without threads of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.encode_special_tokens = plain
+    return found
+
+
+def token_bytes(tokenizer) -> list[bytes]:  # noqa: ANN001
+    """The bytes of every id of a byte-level vocabulary."""
+    byte_of = {c: b for b, c in byte_letters().items()}
+    found = [b""] * tokenizer.get_vocab_size()
+    for token, i in tokenizer.get_vocab().items():
+        found[i] = bytes(byte_of[c] for c in token)
+    return found
+
+
 class Known(dict):
     """piece -> its ids as bytes; an unknown piece is encoded and kept.
 
@@ -53,13 +72,13 @@ class Known(dict):
 
 
 class PieceEncoder:
-    """encode(text): its ids as little-endian unsigned 32-bit integers."""
+    """encode(text): its ids as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str, most: int = CACHED_PIECES) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    With ``plain`` the strings of special tokens are ordinary text.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str, most: int = CACHED_PIECES, plain: bool = False) -> None:
+        self.tokenizer = library(path, plain)
         self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.keeps_blank = self._library(" a") != self._library("a")
@@ -104,10 +123,10 @@ class PieceEncoder:
 
 
 @cache
-def encoder(path: str, most: int = CACHED_PIECES) -> PieceEncoder:
+def encoder(path: str, most: int = CACHED_PIECES, plain: bool = False) -> PieceEncoder:
     """One encoder per worker process and file; fewer rounds of garbage collection over its many small objects."""
     gc.set_threshold(200_000, 20, 50)
-    return PieceEncoder(path, most)
+    return PieceEncoder(path, most, plain)
 
 
 def release() -> None:
