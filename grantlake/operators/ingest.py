@@ -328,7 +328,7 @@ def _with(rows: DataFrame, **columns: str) -> DataFrame:
     return rows.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in rows.columns})
 
 
-def assembled(marked: DataFrame, previous: DataFrame, now: Column, parse_: Step | None, explain: Step | None, vectors: DataFrame | None, force: bool) -> DataFrame:
+def assembled(marked: DataFrame, previous: DataFrame, now: Column, parse_: Step | None, explain: Step | None, vectors: DataFrame | None, force: bool, order: str | None = None) -> DataFrame:
     """Stored rows: what changed is parsed, explained and embedded anew, the rest carried forward.
 
     ``parse_`` and ``explain`` take rows and add ``parsed`` or ``explanation``; ``vectors`` (id, vector) holds
@@ -336,7 +336,7 @@ def assembled(marked: DataFrame, previous: DataFrame, now: Column, parse_: Step
     """
     carried = ["parsed", "explanation", "vector", "updated_at"]
     kept = _with(previous, parsed="string", explanation="string", vector="array<double>", updated_at="timestamp")
-    before = last_of(kept, "id", carried, None).withColumnsRenamed({c: f"_{c}" for c in carried})
+    before = last_of(kept, "id", carried, order).withColumnsRenamed({c: f"_{c}" for c in carried})
     rows = marked.join(before, "id", "left")
     fresh = rows.filter("reparse").withColumn("parsed", F.lit(None).cast("string"))
     fresh = parse_(fresh.drop("parsed")) if parse_ else fresh
@@ -361,12 +361,12 @@ def assembled(marked: DataFrame, previous: DataFrame, now: Column, parse_: Step
 
 def ingest(
     raw: DataFrame, previous: DataFrame, now: Column, scope: str = "all", secondary: str = "seoul-youth", parse_: Step | None = None, explain: Step | None = None,
-    vectors: DataFrame | None = None, force_explain: bool = False,
+    vectors: DataFrame | None = None, force_explain: bool = False, order: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(rows to store, one row of counters): normalize, newest, scope, suppress, hash, recompute what changed, assemble.
 
     ``raw``: raw records with ``ordinal``, the order of arrival; ``previous``: the stored rows (id, content_hash and
-    what is carried). Each step is a filter, a join or an aggregate over all rows.
+    what is carried; of repeated ids the last in ``order`` counts). Each step is a filter, a join or an aggregate over all rows.
     """
     rows = normalized(raw).withColumn("last_modified", F.col("raw.lastModified"))
     named = newest(rows.filter("id <> 'unknown'"), ["source", "id"])
@@ -374,7 +374,7 @@ def ingest(
     judged = named.withColumn("verdict", verdict)
     canonical = F.coalesce(F.array_contains("region_codes", CITY), F.lit(False)) | F.coalesce("is_nationwide", F.lit(False))
     marked = suppression(judged.filter("verdict = 'pass'"), F.col("title"), F.col("source"), secondary, canonical)
-    current = changed(with_hash(marked.filter("NOT suppressed").drop("suppressed", "verdict")), _with(previous, content_hash="string"))
+    current = changed(with_hash(marked.filter("NOT suppressed").drop("suppressed", "verdict")), _with(previous, content_hash="string"), order=order)
     counts = (
         rows.agg(F.count_if(F.col("id") == "unknown").alias("dropped_no_id"))
         .join(judged.agg(
@@ -383,4 +383,4 @@ def ingest(
         )).join(marked.agg(F.count_if("suppressed").alias("suppressed_cross_source")))
         .join(current.agg(F.count_if("reparse").alias("reparsed")))
     )
-    return assembled(current, previous, now, parse_, explain, vectors, force_explain), counts
+    return assembled(current, previous, now, parse_, explain, vectors, force_explain, order), counts

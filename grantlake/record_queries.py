@@ -12,6 +12,7 @@ from grantlake.functions.constants import DOCUMENTS, PROVINCES
 from grantlake.operators import eligibility, ingest, results, retrieval
 from grantlake.queries import SQL_NAME, _case, _none, _text, query, rounded, table
 from grantlake.sources import files
+from grantlake.sources.shared import cut_lineage
 
 NOW = datetime(2026, 6, 24)
 SQL_CODES, SQL_PLACES = ([p[k] for p in PROVINCES] for k in (0, 1))
@@ -24,7 +25,8 @@ SQL_RAW = f"""w AS (SELECT c_custkey AS ordinal, CASE WHEN c_custkey % 50 > 0 TH
 u AS (SELECT *, count(*) OVER (PARTITION BY source, id) AS copies FROM w WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source, id ORDER BY lm IS NOT NULL DESC, lm DESC, ordinal DESC) = 1),
 v AS (SELECT *, CASE WHEN k IN (0, 1, 4) THEN 'pass' WHEN k = 2 THEN 'non-seoul' ELSE 'unknown-region' END AS verdict, {SQL_NAME.format("title")} AS name FROM u),
 s AS (SELECT *, source = 'seoul-youth' AND name IN (SELECT name FROM v WHERE verdict = 'pass' AND source <> 'seoul-youth' AND k IN (0, 1) AND name <> '') AS dup FROM v WHERE verdict = 'pass'),
-r AS (SELECT *, id::INT % 7 = 0 OR id::INT % 2 = 0 AS reparse FROM s WHERE NOT dup)"""
+r AS (SELECT * FROM s WHERE NOT dup), p AS (SELECT * FROM r WHERE id::INT % 2 = 1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY ordinal DESC) = 1),
+q AS (SELECT r.*, p.id IS NULL OR r.id::INT % 7 = 0 OR r.title <> p.title OR r.lm IS DISTINCT FROM p.lm OR r.k <> p.k AS reparse FROM r LEFT JOIN p USING (id))"""
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
@@ -37,27 +39,28 @@ def _raw(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ingested(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """A second run (the first one's rows are kept, as they are looked at often): of the first one's rows those with an id divisible by 7 changed, and those with an even id are gone."""
+    """A second run: of the first one's rows those with an id divisible by 7 changed, and those with an even id are gone.
+
+    A stored row is found by its id alone, whatever its source; of two with one id the last to arrive counts.
+    """
     raw, now = _raw(spark, d), F.lit(NOW)
     first, _ = ingest.ingest(raw, spark.createDataFrame([], "id string"), F.lit(datetime(2026, 1, 1)), "city")
     number = F.col("id").cast("int")
-    before = first.filter(number % 2 == 1).withColumn("content_hash", F.when(number % 7 == 0, "00000000").otherwise(F.col("content_hash")))
-    # A stored row is found by its id alone, whatever its source: keep one a row to compare with.
-    before = before.groupBy("id").agg(F.count("*").alias("_n"), F.max_by(F.struct(*before.columns[1:]), "source").alias("_r")).filter("_n = 1").select("id", "_r.*").persist()
+    before = cut_lineage(first.filter(number % 2 == 1).withColumn("content_hash", F.when(number % 7 == 0, "00000000").otherwise(F.col("content_hash"))))
     explain = lambda rows: rows.withColumn("explanation", ingest.fallback_explanation(F.col("title")))
-    return ingest.ingest(raw, before, now, "city", explain=explain)
+    return ingest.ingest(raw, before, now, "city", explain=explain, order="ordinal")
 
 
-@query(f"""WITH {SQL_RAW}, q AS (SELECT r.*, count(*) OVER (PARTITION BY id) AS same FROM r)
+@query(f"""WITH {SQL_RAW}
 SELECT (SELECT count(*) FROM w WHERE id IS NULL) AS dropped_no_id, (SELECT count(*) FROM v WHERE verdict = 'non-seoul') AS dropped_non_seoul,
  (SELECT count(*) FROM v WHERE verdict = 'unknown-region') AS dropped_unknown_region, (SELECT sum(copies - 1)::BIGINT FROM u) AS merged_duplicates,
- (SELECT count(*) FROM s WHERE dup) AS suppressed_cross_source, (SELECT count(*) FROM q WHERE reparse OR same > 1) AS reparsed""")
+ (SELECT count(*) FROM s WHERE dup) AS suppressed_cross_source, (SELECT count(*) FROM q WHERE reparse) AS reparsed""")
 def ingest_counts(spark: SparkSession, d: str) -> DataFrame:
     return _ingested(spark, d)[1]
 
 
-@query(f"""WITH {SQL_RAW}, q AS (SELECT r.*, count(*) OVER (PARTITION BY id) AS same FROM r)
-SELECT id, source, ordinal AS arrived, reparse OR same > 1 AS reparse, CASE WHEN reparse OR same > 1 THEN '2026-06-24' ELSE '2026-01-01' END AS updated,
+@query(f"""WITH {SQL_RAW}
+SELECT id, source, ordinal AS arrived, reparse, CASE WHEN reparse THEN '2026-06-24' ELSE '2026-01-01' END AS updated,
  title || ' 정책과 관련이 있어 보여요. 자세한 자격 조건은 원문에서 확인해 주세요. (추정)' AS explanation FROM q""")
 def ingest_rows(spark: SparkSession, d: str) -> DataFrame:
     return _ingested(spark, d)[0].select("id", "source", F.col("ordinal").alias("arrived"), "reparse", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"), "explanation")
@@ -84,7 +87,7 @@ def model_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH t AS (SELECT o_orderkey AS k, o_orderdate::DATE AS a FROM orders)
-SELECT k::VARCHAR AS id, CASE WHEN k % 4 = 0 THEN NULL ELSE (k % 30)::DOUBLE END AS age_min, CASE WHEN k % 3 = 0 THEN 'none' ELSE 'unknown' END AS income,
+SELECT k::VARCHAR AS id, CASE WHEN k % 4 > 0 AND k % 30 > 0 THEN (k % 30)::DOUBLE END AS age_min, CASE WHEN k % 3 = 0 THEN 'none' ELSE 'unknown' END AS income,
  CASE k % 3 WHEN 0 THEN {SQL_CODES}[k % 17 + 1] WHEN 1 THEN '' ELSE '' END AS codes, k % 3 = 1 AS nationwide,
  CASE k % 5 WHEN 0 THEN 'dated' WHEN 1 THEN 'dated' WHEN 2 THEN 'always' ELSE 'unknown' END AS recruit, CASE WHEN k % 5 IN (0, 1) THEN a END AS start,
  CASE WHEN k % 7 = 0 THEN '마음건강' ELSE '일자리' END AS category, 'https://www.youthcenter.go.kr/youthPolicy/ythPlcyTotalSearch/ythPlcyDetail/' || k AS source_url, strftime(a, '%Y-%m-%d') AS last_modified FROM t""")
@@ -102,9 +105,9 @@ def api_records(spark: SparkSession, d: str) -> DataFrame:
     ).drop("_raw")
     r = ingest.normalized(ingest.from_api(items))
     return r.select(
-        "id", F.when(F.col("age_min") > 0, F.col("age_min")).alias("age_min"), F.col("income.kind").alias("income"), F.array_join("region_codes", ",").alias("codes"), F.col("is_nationwide").alias("nationwide"),
+        "id", "age_min", F.col("income.kind").alias("income"), F.array_join("region_codes", ",").alias("codes"), F.col("is_nationwide").alias("nationwide"),
         F.col("recruit.kind").alias("recruit"), F.col("recruit.start").alias("start"), "category", "source_url", F.col("raw.lastModified").alias("last_modified"),
-    ).withColumn("age_min", F.when(F.col("id").cast("long") % 30 > 0, F.col("age_min")).otherwise(F.when(F.col("id").cast("long") % 4 > 0, 0.0)))
+    )
 
 
 @query("""WITH t AS (SELECT p_partkey AS k, p_size AS z, p_name AS n, p_type AS c FROM part)
@@ -121,10 +124,28 @@ def crawl_records(spark: SparkSession, d: str) -> DataFrame:
     return r.select("id", "title", "age_max", F.col("income.kind").alias("income"), F.col("income.max_ratio").alias("max_ratio"), F.array_join("region_codes", ",").alias("codes"), F.col("recruit.kind").alias("recruit"), F.col("recruit.end").alias("recruit_end"), "category", "source_url", F.col("raw.orgName").alias("org"))
 
 
-@query("""SELECT s_suppkey::VARCHAR AS id, s_name AS title, 'mongttang' AS source, 'always' AS recruit, 19.0::DOUBLE AS age_min, s_name AS org FROM supplier""")
+@query(f"""WITH t AS (SELECT s_suppkey AS k, s_nationkey % 17 AS n, s_name, s_acctbal FROM supplier)
+SELECT CASE WHEN k % 11 = 0 THEN 'unknown' ELSE k::VARCHAR END AS id, CASE WHEN k % 7 = 0 THEN '제목 없음' ELSE s_name || ' 지원' END AS title, 'mongttang' AS source,
+ CASE k % 4 WHEN 0 THEN 'always' WHEN 1 THEN 'dated' ELSE 'unknown' END AS recruit, CASE WHEN k % 4 = 1 THEN DATE '2026-01-01' + n::INT END AS recruit_end,
+ CASE k % 3 WHEN 0 THEN (18 + n)::DOUBLE END AS age_min, CASE k % 3 WHEN 0 THEN (30 + n)::DOUBLE WHEN 1 THEN (40 + n)::DOUBLE END AS age_max,
+ CASE k % 5 WHEN 0 THEN 'medianRatio' WHEN 1 THEN 'none' ELSE 'unknown' END AS income, CASE k % 5 WHEN 0 THEN (100 + n)::DOUBLE END AS max_ratio,
+ CASE WHEN k % 6 < 4 THEN {SQL_CODES}[n + 1] ELSE '' END AS codes, k % 6 = 4 AS nationwide, 'org ' || n AS org, CASE WHEN k % 2 = 0 THEN 'https://c.org/v?id=' || k END AS source_url FROM t""")
 def second_catalogue(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "supplier").select(F.col("s_suppkey").alias("bizId"), F.col("s_name").alias("policyName"), F.col("s_name").alias("orgName"), F.lit("19~29").alias("ageInfo"), F.lit("연중").alias("applyPeriod"))
-    return ingest.normalized(ingest.from_second_catalogue(items)).select("id", "title", "source", F.col("recruit.kind").alias("recruit"), "age_min", F.col("raw.orgName").alias("org"))
+    """Entries of the second catalogue: some without an id, a title, a period, a region; each text in several forms."""
+    key, n = F.col("s_suppkey"), F.col("s_nationkey") % 17
+    place = F.get(F.array(*map(F.lit, SQL_PLACES)), n.cast("int"))
+    day = F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), n.cast("int")), "yyyy.MM.dd")
+    items = table(spark, d, "supplier").select(
+        F.when(key % 11 > 0, key.cast("string")).when(key % 2 == 0, " ").alias("bizId"), F.when(key % 7 > 0, _text(F.col("s_name"), " 지원 ")).alias("policyName"), _text("org ", n).alias("orgName"),
+        _case(key, place, place, place, place, F.lit("전국"), _none()).alias("regionName"), _case(key, _text("만 ", n + 18, "세 ~ ", n + 30, "세"), _text(n + 40, "세 이하"), F.lit("제한 없음")).alias("ageInfo"),
+        _case(key, _text("중위소득 ", n + 100, "% 이하"), F.lit("소득 무관"), F.lit("별도 심사"), _none(), F.lit(" ")).alias("incomeInfo"),
+        _case(key, F.lit("연중 수시"), _text("2025.12.1 ~ ", day), F.lit("추후 공지"), _none()).alias("applyPeriod"), F.when(key % 2 == 0, _text(" https://c.org/v?id=", key)).alias("detailUrl"),
+    )
+    r = ingest.normalized(ingest.from_second_catalogue(items))
+    return r.select(
+        "id", "title", "source", F.col("recruit.kind").alias("recruit"), F.col("recruit.end").alias("recruit_end"), "age_min", "age_max", F.col("income.kind").alias("income"), F.col("income.max_ratio").alias("max_ratio"),
+        F.array_join("region_codes", ",").alias("codes"), F.col("is_nationwide").alias("nationwide"), F.col("raw.orgName").alias("org"), "source_url",
+    )
 
 
 @query("""SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_name || ' 신청서 1부' WHEN 3 THEN '붙임 참고 등본 1부 ' || p_size END AS documents,
