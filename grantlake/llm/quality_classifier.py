@@ -6,8 +6,8 @@ repeats the one before it is marked. A feature's value is its damped count, each
 length one, so that long and short texts weigh alike. The follow-the-regularised-leader update keeps
 per-coordinate step sizes and sets weak weights to exactly zero; scoring is a sparse dot product.
 
-The fit reads at most ``TRAIN_ROWS`` labelled rows of at most ``TRAIN_FEATURES`` n-grams each (documented
-bounds: 0.4 GB on the driver; longer texts are no examples); every document is scored over its whole
+The fit reads at most ``TRAIN_ROWS`` labelled rows; of a text with more than ``TRAIN_FEATURES`` n-grams it takes
+those that weigh most (documented bounds: 0.4 GB on the driver); every document is scored over its whole
 text, however long. Defined cases: a null or empty text scores by the bias alone; with no labelled rows
 of either kind every score is 0.5. Of repeated label rows the largest label counts; repeated rows are
 scored each, extra columns are ignored. An empty table gives an empty result.
@@ -67,6 +67,14 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(value)
 
 
+def folded(index: np.ndarray, value: np.ndarray, most: int = TRAIN_FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """A vector of at most ``most`` entries: of a longer one those that weigh most, which have its common n-grams, scaled to its length."""
+    if len(index) <= most:
+        return index, value
+    kept = np.sort(np.argsort(-value, kind="stable")[:most])
+    return index[kept], value[kept] * np.float32(np.sqrt(value @ value) / np.sqrt(value[kept] @ value[kept]))
+
+
 class Ftrl:
     """Logistic regression with FTRL-proximal updates; index 2**BITS is the bias."""
 
@@ -90,11 +98,8 @@ class Ftrl:
 
 def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [features(t) for t in b.text]
-        short = np.array([len(r[0]) <= TRAIN_FEATURES for r in rows], bool)
-        b, rows = b.loc[short], [r for r, s in zip(rows, short) if s]
-        if rows:
-            yield pd.DataFrame({"doc_id": b.doc_id.to_numpy(), "y": b.y.to_numpy(), "i": [r[0] for r in rows], "x": [r[1] for r in rows]})
+        rows = [folded(*features(t)) for t in b.text]
+        yield pd.DataFrame({"doc_id": b.doc_id.to_numpy(), "y": b.y.to_numpy(), "i": [r[0] for r in rows], "x": [r[1] for r in rows]})
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, rows: int = TRAIN_ROWS, epochs: int = 4) -> np.ndarray:

@@ -18,7 +18,11 @@ Jaccard similarity of 0.8 or more. Such texts mostly lie over three bits apart,
 of the multi-index search those that agree in one of ``BANDS`` bands of min-hashes are candidates (all but
 0.04 % of the pairs at 0.8, fewer above), and each candidate is verified by its exact similarity, unless
 others have linked it already. A band's value that more than ``LARGE_BAND`` different texts share isn't
-paired up: each of them is compared with the least and ``LEADERS`` others of them in each such band.
+paired up: each of them is first compared with the least and ``LEADERS`` others of them in each such band. Where
+that leaves more than one class in a band, its texts meet in rare shingles instead: a set's shingles are
+ordered from rare to frequent, and two sets of similarity 0.8 share one among the first few of each
+(prefix filter), so what a template gives to all of them makes no pairs. This way is exact: the size of a
+band changes the path alone.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; with fewer words
 than a shingle the whole sequence is one shingle; a very long text is read whole, in chunks. Repeated
@@ -225,6 +229,48 @@ def open_pairs(members: DataFrame, classes_: DataFrame, large: int = LARGE_BAND)
     return own.join(other, "key").filter("node < b AND c <> d").select(F.col("node").alias("a"), "b").distinct()
 
 
+def crowded(members: DataFrame, classes_: DataFrame, large: int = LARGE_BAND) -> DataFrame:
+    """(node) of the members of large groups that aren't one class. ``classes_``: (id, component)."""
+    own = members.filter(F.col("n") > large).join(classes_.withColumnRenamed("id", "node"), "node", "left")
+    own = own.select("key", "node", F.coalesce("component", "node").alias("c"))
+    apart = own.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo < _hi").select("key")
+    return own.join(apart, "key").select("node").distinct()
+
+
+def rare_prefixes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, size, place, shingle): of each set the rarest shingles, as many as a similar set of any size must share one of."""
+    each = sets.select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("n"))
+    ordered = each.join(often, "shingle").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("o"))
+    kept = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9).cast("int") + 1
+    own = ordered.select("node", "size", F.posexplode(F.slice("o", F.lit(1), kept)).alias("at", "s"))
+    return own.select("node", "size", (F.col("at") + 1).alias("place"), "s.shingle")
+
+
+def rare_leads(prefixes: DataFrame, large: int = LARGE_BAND) -> DataFrame:
+    """(a, b): where a shingle is among the rare ones of more than ``large`` sets, each of them with the smallest."""
+    often = prefixes.groupBy("shingle").agg(F.count("*").alias("n"), F.min(F.struct("size", "node")).alias("lead")).filter(F.col("n") > large)
+    led = prefixes.join(often, "shingle").filter("node <> lead.node")
+    return led.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+
+
+def rare_pairs(prefixes: DataFrame, classes_: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b) in different classes so far that share a rare shingle and may be similar by their sizes and its places.
+
+    Of two similar sets, the smaller one has a shared shingle even among fewer of its rarest: all shared
+    shingles are at least ``2 s / (1 + s)`` of it. At the first shared shingle the rest of both sets must be
+    long enough for the overlap that is asked for.
+    """
+    own = prefixes.join(classes_.withColumnRenamed("id", "node"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    share = similarity / (1 + similarity)
+    small = own.filter(F.col("place") <= F.col("size") - F.ceil(2 * share * F.col("size") - 1e-9) + 1)
+    x, y = (df.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "size", "place", "c")]) for df, end in ((small, "x"), (own, "y")))
+    left = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) + 1
+    fits = (F.struct("size_x", "node_x") < F.struct("size_y", "node_y")) & (F.col("size_x") >= similarity * F.col("size_y") - 1e-9) & (left >= share * (F.col("size_x") + F.col("size_y")) - 1e-9)
+    met = x.join(y, (x["shingle"] == y["shingle"]) & fits & (F.col("c_x") != F.col("c_y")))
+    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, hashes) of the wanted nodes (node, th), from one text of each.
 
@@ -251,22 +297,30 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return cut_lineage(met.filter(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"))
 
 
-def similar_classes(docs: DataFrame, profile: DataFrame) -> DataFrame:
+def similar_classes(docs: DataFrame, profile: DataFrame, large: int = LARGE_BAND) -> DataFrame:
     """(id, component) of the nodes that have a similar one.
 
     First every candidate is compared with the least of each of its groups, then only those pairs are that
-    these links leave in different classes: what is linked already need not be compared to be kept.
+    these links leave in different classes: what is linked already need not be compared to be kept. Last
+    come the texts of large groups that are still apart, by their rare shingles.
     """
     nodes = profile.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("th").alias("th"))
     nodes = cut_lineage(nodes)
     members, by_print = band_members(nodes.select("node", "keys")), nodes.groupBy("fp").agg(F.min("node").alias("id"))
     same = nodes.join(by_print, "fp").filter("node <> id").select(F.least("id", "node").alias("a"), F.greatest("id", "node").alias("b"))
-    first = cut_lineage(led_pairs(members).union(links(by_print)).union(same).distinct())
+    first = cut_lineage(led_pairs(members, large).union(links(by_print)).union(same).distinct())
     ends = members.select("node").union(first.select("a")).union(first.select("b")).distinct()
     sets = shingle_sets(docs, cut_lineage(nodes.select("node", "th").join(ends, "node")))
     linked = verified(first, sets)
-    more = open_pairs(members, components(linked)).join(first, ["a", "b"], "left_anti")
-    return components(linked.union(verified(more, sets)))
+    more = open_pairs(members, components(linked), large).join(first, ["a", "b"], "left_anti")
+    linked = linked.union(verified(more, sets))
+    found = cut_lineage(components(linked))
+    apart = cut_lineage(crowded(members, found, large))
+    if apart.isEmpty():
+        return found
+    prefixes = cut_lineage(rare_prefixes(sets.join(apart, "node", "left_semi")))
+    linked = linked.union(verified(rare_leads(prefixes, large), sets))
+    return components(linked.union(verified(rare_pairs(prefixes, components(linked)), sets)))
 
 
 def one_of_similar(docs: DataFrame) -> DataFrame:
