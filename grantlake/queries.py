@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from grantlake.functions import parse, text
 from grantlake.functions.constants import CRISIS_PATTERNS, DISTRICTS, PROVINCES
-from grantlake.operators import coverage, eligibility, ingest, results, retrieval, safety
+from grantlake.operators import ann, coverage, eligibility, ingest, results, retrieval, safety
+from grantlake.sources.shared import shared_folder
 from grantlake.streaming.limiter import limited
 
 TODAY = date(1998, 6, 24)
@@ -105,6 +106,36 @@ def hybrid_rrf_boosted(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.top_k(scored, 10).select("id", rounded(F.col("score")).alias("score"))
 
 
+NEAREST, EVERY_QUERY = 120, 50
+
+
+def _nearest(spark: SparkSession, d: str, **how) -> DataFrame:  # noqa: ANN003
+    """Every EVERY_QUERYth vector looked up among all, through an index that is written and read."""
+    rows, path = _embeddings(spark, d).select("id", "vector"), shared_folder(spark)
+    ann.save(spark, ann.fit(rows), f"{path}/model")
+    model = ann.load(spark, f"{path}/model")
+    ann.build(rows, model).write.parquet(f"{path}/blocks")
+    queries = rows.filter(F.col("id") % EVERY_QUERY == 0).select(F.col("id").alias("query"), "vector")
+    found = ann.search(spark.read.parquet(f"{path}/blocks"), model, rows, queries, NEAREST, **how)
+    return found.select("query", "id", rounded(F.col("score")).alias("score"))
+
+
+@query()
+def ann_top120(spark: SparkSession, d: str) -> DataFrame:
+    """By codes in the nearest cells; its recall is measured in the tests."""
+    return _nearest(spark, d)
+
+
+SQL_PAIR_COSINE = "list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])))"
+
+
+@query(f"""WITH s AS (SELECT q.vec_id AS query, e.vec_id AS id, {SQL_PAIR_COSINE} AS score FROM embeddings q, embeddings e WHERE q.vec_id % {EVERY_QUERY} = 0)
+SELECT query, id, round(score, 9) AS score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY s.score DESC, id) <= {NEAREST}""")
+def exact_top120(spark: SparkSession, d: str) -> DataFrame:
+    """All cells probed, vectors in place of codes."""
+    return _nearest(spark, d, exact=True)
+
+
 def sql_trigrams(c: str) -> str:
     words = f"list_filter(string_split(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
     return f"list_distinct(flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) + 2), lambda k: substring('  ' || w || ' ', k, 3)))))"
