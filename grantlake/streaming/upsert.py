@@ -6,16 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from grantlake.operators.ingest import newest, upsert
+from grantlake.operators.ingest import newest
+from grantlake.sources.keyed import BUCKETS, KeyedStore
 
 
-def merge_into(path: str, key: str = "id", modified: str = "last_modified", ordinal: str = "ordinal") -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the table of batch n is written beside that of batch n - 1, so that a repeated batch gives the same table."""
+def merge_into(path: str, key: str = "id", modified: str = "last_modified", ordinal: str = "ordinal", buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each batch goes into the keyed store under ``path``, whose other buckets stay as they are; a repeated batch changes nothing."""
 
     def run(batch: DataFrame, number: int) -> None:
         new = newest(batch, [key], modified, ordinal).select(*batch.columns)
-        if number:
-            new = upsert(batch.sparkSession.read.parquet(f"{path}/{number - 1}"), new, key)
-        new.write.mode("overwrite").parquet(f"{path}/{number}")
+        KeyedStore(batch.sparkSession, path, key).upsert(new, batch=number, buckets=buckets)
 
     return run
