@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grantlake.functions import parse
 from grantlake.functions.constants import DISTRICTS, DUPLICATE_STATES, FALLBACK_PLAIN, FALLBACK_TITLED, HOUSEHOLD_STATES, INCOME_KINDS, PROVINCES
 from grantlake.functions.text import fnv1a, let, non_empty, normalize_name, one_blank
 from grantlake.operators.retrieval import index_keywords, index_text
+from grantlake.sources.shared import cut_lineage
 
 RAW_FIELDS = (
     "id", "title", "summary", "ageText", "incomeText", "regionText", "recruitStartText", "recruitEndText", "recruitText",
@@ -151,75 +152,98 @@ def name_members(rows: DataFrame, row_id: str, name: Column, org: Column) -> Dat
     return keyed.join(classes, on, "left").select("id", F.coalesce("rep", "id").alias("rep"))
 
 
-def _grams(c: Column) -> Column:
-    """Hashes of the bigrams of a text, the repeats of one numbered; a text of one character or none is a gram itself."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda k: F.substring(c, k, F.lit(2)))
-    numbered = lambda own: F.transform(own, lambda g, k: F.hash(g, F.size(F.filter(F.slice(own, F.lit(1), k), lambda x: x == g))))
-    return F.when(F.length(c) > 1, let(pairs, numbered)).otherwise(F.array(F.hash(c)))
+def gram_places(texts: DataFrame) -> DataFrame:
+    """(nid, size, gram, pos, place) of the bigrams of texts (nid, text): where a bigram stands, and how many rarer ones the text has, plus one.
 
-
-def gram_prefixes(texts: DataFrame, least: float) -> DataFrame:
-    """(text, size, prefix) of different texts: as many of a text's rarest grams as any text of likeness ``least`` must share one of.
-
-    Two texts whose longer one has L characters and that are at most k edits apart share at least
-    L - 1 - 2 k bigrams; so they meet in what is left of each when all but one of these, the most
-    frequent ones, are cut off. For two texts to be as alike as 0.7 that leaves a gram at any length.
+    A text of one character or none is a gram itself. The rows of a text are as many as its characters.
     """
-    grams = texts.select("text", F.explode(F.array_distinct(_grams(F.col("text")))).alias("gram"))
+    letters = F.filter(F.split("text", ""), lambda c: c != "")
+    pairs = let(letters, lambda c: F.when(F.size(c) > 1, F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda k: F.hash(F.element_at(c, k), F.element_at(c, k + 1)))))
+    grams = texts.select("nid", F.length("text").alias("size"), F.posexplode(F.coalesce(pairs, F.array(F.hash("text")))).alias("pos", "gram"))
     often = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    rare = grams.join(often, "gram").groupBy("text").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("grams"))
-    size = F.length("text")
-    shared = F.transform(F.sequence(size, F.greatest(size, F.floor(size / least + 1e-9).cast("int"))), lambda x: x - 1 - 2 * F.floor((1 - least) * x + 1e-9).cast("int"))
-    # Two grams of one text may have one hash; then one gram less is left to share.
-    kept = F.greatest(F.greatest(size - 1, F.lit(1)) - F.greatest(F.array_min(shared), F.lit(1)) + 1, F.lit(1))
-    return rare.select("text", size.alias("size"), F.slice(F.transform("grams", lambda g: g["gram"]), F.lit(1), kept).alias("prefix"))
+    rare = Window.partitionBy("nid").orderBy("n", "gram")
+    return grams.join(often, "gram").select("nid", "size", "gram", "pos", F.rank().over(rare).alias("place"))
 
 
-def alike_texts(texts: DataFrame, least: float) -> DataFrame:
-    """(a, b, likeness) of different texts at least as alike, both ways round, and each with itself.
+def _edits(limit: Column, longer: Column) -> Column:
+    """How many edits two texts of likeness ``limit`` may be apart."""
+    return F.floor((1 - limit) * longer + 1e-9).cast("int")
 
-    Texts meet in a rare gram (AQE splits what is hot), each pair counts in the first gram that both
-    have, and edit distances stop at the limit.
+
+def gram_pairs(left: DataFrame, right: DataFrame, places: DataFrame, ordered: bool) -> DataFrame:
+    """Distinct (a, b, block, limit) of rows of one block whose texts may be as alike as ``limit``.
+
+    ``left``: (a, nid, block, limit), ``right``: (b, nid, block). Of k edits each destroys at most two bigrams of a text, one that
+    only makes the other text longer at most one; so among that many and one more of the rarest bigrams of either text
+    is one that the other has, too, at most k places away. Limits are above 2/3, where that leaves a bigram at any length.
+    Rows are ids and numbers: texts aren't moved. ``ordered`` keeps the pairs with a < b.
     """
-    own = gram_prefixes(texts, least)
-    side = lambda end: own.select(F.explode("prefix").alias("gram"), *[F.col(c).alias(f"{c}_{end}") for c in own.columns])
+    kept = F.col("place") <= 2 * _edits(F.col("limit"), F.col("size")) + 2
+    x = left.join(places, "nid").filter(kept).select("a", "block", "limit", "gram", *[F.col(c).alias(f"{c}_a") for c in ("size", "pos", "place")])
+    y = right.join(places, "nid").select("b", "block", "gram", *[F.col(c).alias(f"{c}_b") for c in ("size", "pos", "place")])
     longer = F.greatest("size_a", "size_b")
-    limit = F.floor((1 - least) * longer + 1e-9).cast("int")
-    near = F.abs(F.col("size_a") - F.col("size_b")) <= limit
-    # The work is in the pairs, not in the bytes: AQE must not gather few texts into one task.
-    dealt = side("a").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "text_a", "gram")
-    met = dealt.join(side("b"), "gram").filter((F.col("text_a") < F.col("text_b")) & near)
-    met = met.filter(F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1) == F.col("gram")).withColumn("_k", limit)
-    met = met.withColumn("_d", F.expr("levenshtein(text_a, text_b, _k)")).filter("_d >= 0")
+    k = _edits(F.col("limit"), longer)
+    least = lambda end: F.col(f"place_{end}") <= 2 * k - (longer - F.col(f"size_{end}")) + 1
+    fits = (F.abs(F.col("size_a") - F.col("size_b")) <= k) & (F.abs(F.col("pos_a") - F.col("pos_b")) <= k) & least("a") & least("b")
+    met = x.join(y, ["block", "gram"]).filter(fits & (F.col("a") < F.col("b")) if ordered else fits)
+    return met.select("a", "b", "block", "limit").distinct()
+
+
+def _likeness(a: Column, b: Column, limit: Column) -> Column:
+    """Likeness of two texts if it reaches the limit, else null: edit distances stop there."""
+    longer = F.greatest(F.length(a), F.length(b))
+    distance = F.call_function("levenshtein", a, b, _edits(limit, longer))
+    return F.when(longer == 0, 1.0).when(distance >= 0, 1 - distance / longer)
+
+
+def alike_texts(texts: DataFrame, least: float) -> DataFrame:
+    """(a, b, likeness) of different texts at least as alike, both ways round, and each with itself."""
+    own = cut_lineage(texts.select("text").distinct().withColumn("nid", F.monotonically_increasing_id()))
+    one = own.select("nid", F.lit(0).alias("block"))
+    pairs = gram_pairs(one.select(F.col("nid").alias("a"), "nid", "block", F.lit(least).alias("limit")), one.select(F.col("nid").alias("b"), "nid", "block"), gram_places(own), True)
+    of = lambda end: own.select(F.col("nid").alias(end), F.col("text").alias(f"text_{end}"))
+    alike = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("likeness", _likeness(F.col("text_a"), F.col("text_b"), F.col("limit"))).filter("likeness IS NOT NULL")
     both = F.array(F.struct(F.col("text_a").alias("a"), F.col("text_b").alias("b")), F.struct(F.col("text_b").alias("a"), F.col("text_a").alias("b")))
-    pairs = met.select((1 - F.try_divide("_d", longer)).alias("likeness"), F.inline(both)).select("a", "b", "likeness")
-    return pairs.union(texts.select("text", "text", F.lit(1.0)))
+    return alike.select("likeness", F.inline(both)).select("a", "b", "likeness").union(own.select("text", "text", F.lit(1.0)))
 
 
-def similar_classes(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, score) of the classes (rep, name, org) of two tables whose mean likeness of name and organization reaches the threshold.
+def candidate_classes(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD, ordered: bool = False) -> DataFrame:
+    """(a, b, org_score, limit) of classes (rep, name, org) of two tables that may be similar.
 
-    The mean of two values of at most 1 reaches it only if each reaches ``2 * threshold - 1``. Different names
-    and different organizations are compared once each; then a left row looks up each alike name under
-    each alike organization. So neither a name that all organizations have nor an organization with very
-    many names is paired up; only different names that are truly alike meet, wherever they stand.
+    Different organizations are compared first. How alike two of them are says how alike names under them must
+    be for the mean to reach the threshold; so the names under equal organizations meet at ``2 * threshold - 1``, those under others at
+    more, and names under organizations that aren't alike not at all.
     """
     low = 2 * threshold - 1
     if low <= 2 / 3:
         raise ValueError("texts of likeness 2/3 or less need not share a gram: the threshold must be above 5/6")
-    left, right = left.select("rep", "name", "org"), right.select("rep", "name", "org")
-    like = lambda c: alike_texts(left.select(F.col(c).alias("text")).union(right.select(c)).distinct(), low)
-    names = like("name").withColumnsRenamed({"a": "name", "b": "name_b", "likeness": "name_score"})
-    orgs = like("org").withColumnsRenamed({"a": "org", "b": "org_b", "likeness": "org_score"})
-    score = (F.col("name_score") + F.col("org_score")) / 2
-    wanted = left.join(names, "name").join(orgs, "org").withColumn("score", score).filter(F.col("score") >= threshold)
-    other = right.select(F.col("rep").alias("b"), F.col("name").alias("name_b"), F.col("org").alias("org_b"))
-    return wanted.select(F.col("rep").alias("a"), "name_b", "org_b", "score").join(other, ["name_b", "org_b"]).select("a", "b", "score")
+    orgs = cut_lineage(alike_texts(left.select(F.col("org").alias("text")).union(right.select("org")), low))
+    orgs = orgs.withColumn("block", F.xxhash64("a", "b"))
+    names = cut_lineage(left.select("name").union(right.select("name")).distinct().withColumn("nid", F.monotonically_increasing_id()))
+    limits = orgs.select(F.col("a").alias("org"), "block", "likeness", F.greatest(F.lit(low), 2 * threshold - F.col("likeness")).alias("limit"))
+    x = left.join(limits, "org").join(names, "name").select(F.col("rep").alias("a"), "nid", "block", "limit")
+    y = right.join(orgs.select(F.col("b").alias("org"), "block"), "org").join(names, "name").select(F.col("rep").alias("b"), "nid", "block")
+    pairs = gram_pairs(x, y, cut_lineage(gram_places(names.select("nid", F.col("name").alias("text")))), ordered)
+    # A block is a pair of organizations; should two pairs share a hash, the names' own organizations are asked below.
+    return pairs.join(orgs.select("block", F.col("a").alias("org_a"), F.col("b").alias("org_b"), F.col("likeness").alias("org_score")), "block")
+
+
+def similar_classes(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD, ordered: bool = False) -> DataFrame:
+    """(a, b, score) of the classes (rep, name, org) of two tables whose mean likeness of name and organization reaches the threshold; with ``ordered`` those with a < b.
+
+    Neither a name that all organizations have nor an organization with very many names is paired up: candidates share a rare
+    bigram in nearly the same place. Texts are fetched for candidates alone.
+    """
+    found = candidate_classes(left, right, threshold, ordered)
+    of = lambda df, end: df.select(F.col("rep").alias(end), F.col("name").alias(f"name_{end}"), F.col("org").alias(f"org_{end}"))
+    met = found.join(of(left, "a"), ["a", "org_a"]).join(of(right, "b"), ["b", "org_b"])
+    score = (_likeness(F.col("name_a"), F.col("name_b"), F.col("limit")) + F.col("org_score")) / 2
+    return met.select("a", "b", score.alias("score")).filter(F.col("score") >= threshold)
 
 
 def near_duplicates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, score) of different classes of one table that are similar."""
-    return similar_classes(classes, classes, threshold).filter("a < b")
+    return similar_classes(classes, classes, threshold, ordered=True)
 
 
 def content_signature(c: dict[str, Column], raw: dict[str, Column]) -> Column:

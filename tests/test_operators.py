@@ -320,3 +320,21 @@ def test_month_thirteen_and_anchors(spark):
     assert [r.hit for r in safety.near_anchors(rows, rows).orderBy("id").collect()] == [True, False]
     with pytest.raises(ValueError, match="anchors"):
         safety.near_anchors(rows, spark.range(65).select(F.array(F.lit(1.0), F.lit(0.0)).alias("vector")))
+
+
+def test_candidates_are_few_and_long_names_stay_linear(spark):
+    import os
+
+    if os.path.isdir("/root/testdata/sf0.1"):
+        from grantlake.queries import _pages
+
+        classes = ingest.name_classes(_pages(spark, "/root/testdata/sf0.1"), "id", F.col("name"), F.col("org"))
+        n = classes.count()
+        assert ingest.candidate_classes(classes, classes, ordered=True).count() < n * (n - 1) / 20
+    long = "".join(chr(97 + k * k % 23) for k in range(5000))
+    texts = spark.createDataFrame([(0, long), (1, long[:4000] + "x" * 900), (2, "가나다"), (3, "a"), (4, "")], "nid long, text string")
+    places = ingest.gram_places(texts)
+    assert places.count() == 4999 + 4899 + 2 + 1 + 1
+    assert places.filter("nid = 0").agg(F.min("place"), F.max("pos")).first() == (1, 4998)
+    got = {(r.a, r.b) for r in ingest.alike_texts(texts.select("text"), 0.7).filter("a < b").collect()}
+    assert got == {(long, long[:4000] + "x" * 900)} or got == {(long[:4000] + "x" * 900, long)}
