@@ -33,11 +33,11 @@ LIMIT = 0.2
 # ---- bytes of a block ----
 
 
-def pack_numbers(x: np.ndarray) -> bytes:
-    """Non-negative integers in 7-bit groups, the lowest first; the high bit says that another follows."""
+def numbers_in_groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of non-negative integers in 7-bit groups, where each ends): the lowest group first; the high bit says that another follows."""
     x = np.asarray(x, np.uint64)
     sizes = np.ones(len(x), np.int64)
-    for k in range(1, 10):
+    for k in range(1, -(-int(x.max(initial=0)).bit_length() // 7)):
         sizes += x >= np.uint64(1) << np.uint64(7 * k)
     ends = np.cumsum(sizes)
     out, start = np.zeros(int(ends[-1]) if len(x) else 0, np.uint8), ends - sizes
@@ -45,7 +45,11 @@ def pack_numbers(x: np.ndarray) -> bytes:
         has = sizes > k
         part = (x[has] >> np.uint64(7 * k)) & np.uint64(127)
         out[start[has] + k] = part | np.where(sizes[has] > k + 1, 128, 0).astype(np.uint64)
-    return out.tobytes()
+    return out, ends
+
+
+def pack_numbers(x: np.ndarray) -> bytes:
+    return numbers_in_groups(x)[0].tobytes()
 
 
 def unpack_numbers(data: bytes) -> np.ndarray:
