@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grantlake.sources.shared import cut_lineage, discard, shared_folder  # noqa: F401  for the operators
+
 # The characters that separate words.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -48,41 +49,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def _checkpoints(spark: SparkSession) -> str:
-    """The checkpoint folder: the one the cluster names in spark.checkpoint.dir, which all machines share.
-
-    Only a local session without that setting (tests) gets a folder of its own.
-    """
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        context.setCheckpointDir(named or "/tmp/checkpoints/grantlake")
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: it outlives the executors that wrote it."""
-    _checkpoints(df.sparkSession)
-    return df.checkpoint()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the checkpoint folder for a table that a query writes and reads back.
-
-    Where the reader comes after the function has returned, the folder stays, as checkpoints do, until
-    the cluster clears its checkpoint folder.
-    """
-    return f"{_checkpoints(spark)}/{uuid.uuid4().hex}"
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Removes a folder of ``shared_folder`` that nothing reads any more."""
-    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    of.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(of, True)
-
-
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, limit: int) -> DataFrame:
     """(doc_id, text, y) of at most ``limit`` labelled documents to learn from, the same ones each time.
 

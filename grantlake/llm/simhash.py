@@ -264,10 +264,10 @@ def rare_pairs(prefixes: DataFrame, classes_: DataFrame, similarity: float = SIM
     own = prefixes.join(classes_.withColumnRenamed("id", "node"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     share = similarity / (1 + similarity)
     small = own.filter(F.col("place") <= F.col("size") - F.ceil(2 * share * F.col("size") - 1e-9) + 1)
-    x, y = (df.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "size", "place", "c")]) for df, end in ((small, "x"), (own, "y")))
+    x, y = (df.select(F.col("shingle").alias(f"shingle_{end}"), *[F.col(c).alias(f"{c}_{end}") for c in ("node", "size", "place", "c")]) for df, end in ((small, "x"), (own, "y")))
     left = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) + 1
     fits = (F.struct("size_x", "node_x") < F.struct("size_y", "node_y")) & (F.col("size_x") >= similarity * F.col("size_y") - 1e-9) & (left >= share * (F.col("size_x") + F.col("size_y")) - 1e-9)
-    met = x.join(y, (x["shingle"] == y["shingle"]) & fits & (F.col("c_x") != F.col("c_y")))
+    met = x.join(y, (F.col("shingle_x") == F.col("shingle_y")) & fits & (F.col("c_x") != F.col("c_y")))
     return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
