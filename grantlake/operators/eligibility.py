@@ -101,6 +101,38 @@ def rule_reasons(program: Column, active: Column, completed: Column) -> Column:
     return F.array_compact(F.array(*every))
 
 
+RULES = "place int, kind string, target string, related array<string>"
+MOST_RULES = 100_000  # programs that have rules, to be broadcast
+
+
+def program_rules(exclusive: list[list[str]] = [EXCLUSIVE_PROGRAMS], sequences: list[tuple[str, str]] = PROGRAM_SEQUENCES) -> list[tuple]:  # noqa: B006
+    """Rule rows in order: for an exclusive group a row for each of its programs, for a sequence one for the program that requires another."""
+    rows = [(k, "exclusive", target, group) for k, group in enumerate(exclusive) for target in group]
+    return rows + [(len(exclusive) + k, "sequence", target, [requires]) for k, (target, requires) in enumerate(sequences)]
+
+
+def with_rule_reasons(rows: DataFrame, rules: DataFrame, program: Column, active: Column, completed: Column, most: int = MOST_RULES) -> DataFrame:
+    """Rows with ``rule_reasons`` by a table of rules (place, kind, target, related), in the order of their places.
+
+    The rules of a program are one row, which meets the rows of that program: rows aren't shuffled as long as
+    the programs with rules are few enough to broadcast. An unknown kind of rule and a null program give no reason.
+    """
+    of = rules.filter("target IS NOT NULL").groupBy(F.col("target").alias("_target")).agg(F.sort_array(F.collect_list(F.struct("place", "kind", "related"))).alias("_rules"))
+    if of.count() <= most:
+        of = F.broadcast(of)
+
+    def reason(rule: Column) -> Column:
+        others = F.exists(active, lambda a: F.array_contains(rule["related"], a) & (a != program))
+        lacking = F.exists(rule["related"], lambda r: ~F.coalesce(F.array_contains(completed, r), F.lit(False)))
+        exclusive = F.when(active.isNull() | F.coalesce(F.array_contains(active, program), F.lit(False)), "PREREQ_UNKNOWN").when(F.coalesce(others, F.lit(False)), "DUPLICATE_EXCLUSIVE")
+        sequence = F.when(completed.isNull(), "PREREQ_UNKNOWN").when(lacking, "PREREQ_NOT_MET")
+        return F.when(rule["kind"] == "exclusive", exclusive).when(rule["kind"] == "sequence", sequence)
+
+    met = rows.withColumn("_program", program).join(of, F.col("_program") == F.col("_target"), "left")
+    reasons = F.coalesce(F.array_compact(F.transform("_rules", reason)), F.array().cast("array<string>"))
+    return met.withColumn("rule_reasons", reasons).drop("_program", "_target", "_rules")
+
+
 def is_blocking(reason: Column) -> Column:
     return reason.isin(BLOCKING_REASONS)
 
@@ -126,12 +158,13 @@ def axis_results(axes: dict[str, Column]) -> Column:
     return F.array(*[F.struct(F.lit(a).alias("axis"), verdict(axes[a]).alias("verdict"), axes[a].alias("reason")) for a in AXES])
 
 
-def evaluate(pairs: DataFrame, today: date, soon_days: int = 7) -> DataFrame:
+def evaluate(pairs: DataFrame, today: date, soon_days: int = 7, rules: DataFrame | None = None) -> DataFrame:
     """Adds status, axes, reasons and bucket to rows of a record and a profile.
 
     Record: id, age_min, age_max, income struct, region_codes, is_nationwide, recruit struct, program_key.
     Profile: struct ``profile`` of age, region_code, median_ratio, amount, active_programs, completed_programs.
-    A row without an id, an income or a recruit struct is broken: it is kept, for review.
+    A row without an id, an income or a recruit struct is broken: it is kept, for review. ``rules``: a table of
+    program rules in place of those that are built in.
     """
     c, p = F.col, lambda name: F.col(f"profile.{name}")
     status = recruit_status(c("recruit.kind"), c("recruit.start"), c("recruit.end"), today, soon_days)
@@ -142,10 +175,14 @@ def evaluate(pairs: DataFrame, today: date, soon_days: int = 7) -> DataFrame:
         "region": region_reason(c("region_codes"), c("is_nationwide"), p("region_code")),
         "recruit": recruit_reason(status),
     }
-    reasons = reasons_in_order(list(axes.values()), rule_reasons(c("program_key"), p("active_programs"), p("completed_programs")))
+    programs = (c("program_key"), p("active_programs"), p("completed_programs"))
+    if rules is not None:
+        pairs = with_rule_reasons(pairs, rules, *programs)
+    reasons = reasons_in_order(list(axes.values()), rule_reasons(*programs) if rules is None else c("rule_reasons"))
     return (
         pairs.withColumn("status", F.when(broken, "unknown").otherwise(status))
         .withColumn("axes", F.when(~broken, axis_results(axes)))
         .withColumn("reasons", F.when(broken, F.array(F.lit("RECRUIT_UNKNOWN"))).otherwise(reasons))
         .withColumn("bucket", bucket(c("reasons"), c("status")))
+        .drop(*["rule_reasons"] * (rules is not None))
     )
