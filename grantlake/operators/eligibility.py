@@ -47,6 +47,11 @@ def income_reason(kind: Column, max_ratio: Column, max_amount: Column, ratio: Co
     )
 
 
+def usable_region(code: Column) -> Column:
+    """A region code as it is, or null where it is blank."""
+    return F.when(F.trim(code) != "", code)
+
+
 def region_reason(codes: Column, nationwide: Column, code: Column) -> Column:
     """Null if the region fits. Unknown codes are not nationwide."""
     return (

@@ -107,6 +107,18 @@ def matched_documents(rows: DataFrame, text: str = "documents_text") -> DataFram
     return rows.withColumn("documents", F.array_compact(F.array(*known)))
 
 
+def document_of(doc_id: Column) -> Column:
+    """struct(id, name, issuer, fee, minutes) of a known document; null for any other id."""
+    entry = lambda i, name, issuer, fee, minutes: F.struct(F.lit(i).alias("id"), F.lit(name).alias("name"), F.lit(issuer).alias("issuer"), F.lit(fee).cast("int").alias("fee"), F.lit(minutes).cast("int").alias("minutes"))
+    return F.try_element_at(F.create_map(*[x for d in DOCUMENTS for x in (F.lit(d[0]), entry(*d))]), F.coalesce(doc_id, F.lit("")))
+
+
+def center_of(code: Column) -> Column:
+    """struct(region_code, center_name, phone) of a province; names and phones are null until someone has verified them."""
+    own = js_trim(code)
+    return F.when(own.isin([c for c, _, _ in PROVINCES]), F.struct(own.alias("region_code"), F.lit(None).cast("string").alias("center_name"), F.lit(None).cast("string").alias("phone")))
+
+
 def fee_text(fee: Column) -> Column:
     return F.when(fee.isNull(), "확인 필요").when(fee == 0, "무료").otherwise(F.concat(F.format_number(fee, 0), F.lit("원")))
 

@@ -45,6 +45,16 @@ def clamp_request(query: str | None, top_k: object = 10, categories: list[str] |
     return {"query": (query or "").strip()[:500], "top_k": min(30, max(1, k)), "categories": categories or None, "region": (region or "").strip() or None}
 
 
+def clamped(query: Column, top_k: Column, region: Column, categories: Column) -> Column:
+    """The same limits for a table of requests: struct(query, top_k, region, categories)."""
+    k = top_k.try_cast("double")
+    usable = F.coalesce((k != 0) & ~F.isnan(k) & (F.abs(k) < float("inf")), F.lit(False))
+    return F.struct(
+        F.substring(F.trim(F.coalesce(query, F.lit(""))), 1, 500).alias("query"), F.greatest(F.lit(1), F.least(F.lit(30), F.when(usable, k).otherwise(10.0).cast("int"))).alias("top_k"),
+        F.nullif(F.trim(region), F.lit("")).alias("region"), F.when(F.size(categories) > 0, categories).alias("categories"),
+    )
+
+
 def compatible(codes: Column, nationwide: Column, region: str | None) -> Column:
     """Candidates for a region: nationwide, without codes, or with this one; all where no region is given."""
     if region is None:

@@ -49,6 +49,32 @@ def domain(text: Column, keywords: dict[str, list[str]] = DOMAIN_PATTERNS) -> Co
     return F.coalesce(*[F.when(any_match(text, patterns), name) for name, patterns in keywords.items()])
 
 
+def classified(text: Column, answer: Column | None = None, keywords: dict[str, list[str]] = DOMAIN_PATTERNS) -> Column:
+    """struct(domain, source, confidence) of a text: by keyword; else what a model's JSON answer names, if it is a known domain; else none."""
+    filled = non_empty(text).isNotNull()
+    own = F.when(filled, domain(text, keywords))
+    said = F.get_json_object(answer, "$.domain") if answer is not None else F.lit(None).cast("string")
+    known = F.when(filled & said.isin(list(keywords)), said)
+    source = F.when(own.isNotNull(), "keyword").when(known.isNotNull(), "llm").otherwise("none")
+    return F.struct(F.coalesce(own, known).alias("domain"), source.alias("source"), F.when(own.isNotNull(), 1.0).when(known.isNotNull(), 0.6).alias("confidence"))
+
+
+def free_input(text: Column, answer: Column | None = None) -> Column:
+    """struct(crisis, matched, domain, source, confidence): a text is classified only if the crisis screen lets it through."""
+    screened, found = crisis(text), classified(text, answer)
+    safe = lambda c: F.when(~screened["crisis"], c)
+    return F.struct(
+        screened["crisis"].alias("crisis"), screened["matched"].alias("matched"), safe(found["domain"]).alias("domain"), F.coalesce(safe(found["source"]), F.lit("none")).alias("source"),
+        safe(found["confidence"]).alias("confidence"),
+    )
+
+
+def anchor_rows(answered: DataFrame, answer: str = "answer") -> DataFrame:
+    """(id, vector) of anchors whose phrases a service has embedded; answers that are no vector or not finite are left out, so without a service there are none."""
+    rows = answered.select("id", F.from_json(answer, "array<double>").alias("vector"))
+    return rows.filter((F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+
+
 def grounded(text: Column, corpus: Column) -> Column:
     """Whether a text makes no claim of eligibility and names no region, URL or number that the corpus lacks."""
     norm = lambda c: F.regexp_replace(c, "[\\s,.·]", "")
