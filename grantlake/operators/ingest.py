@@ -390,21 +390,23 @@ def ingest(
     """(rows to store, one row of counters): normalize, newest, scope, suppress, hash, recompute what changed, assemble.
 
     ``raw``: raw records with ``ordinal``, the order of arrival; ``previous``: the stored rows (id, content_hash and
-    what is carried; of repeated ids the last in ``order`` counts). Each step is a filter, a join or an aggregate over all rows.
+    what is carried; of repeated ids the last in ``order`` counts). Each step is a filter, a join or an aggregate over all rows; the
+    counters are one aggregate over flags.
     """
     rows = normalized(raw).withColumn("last_modified", F.col("raw.lastModified"))
-    named = newest(rows.filter("id <> 'unknown'"), ["source", "id"])
+    # Kept, so that the parsers see each record once; rows without an id are one group a source.
+    named = cut_lineage(newest(rows, ["source", "id"]))
     verdict = F.lit("pass") if scope == "all" else region_verdict(F.col("region_codes"), F.col("is_nationwide"), F.col("region_text"))
-    judged = named.withColumn("verdict", verdict)
+    judged = named.withColumn("verdict", F.when(F.col("id") == "unknown", "no-id").otherwise(verdict))
     canonical = F.coalesce(F.array_contains("region_codes", CITY), F.lit(False)) | F.coalesce("is_nationwide", F.lit(False))
     marked = suppression(judged.filter("verdict = 'pass'"), F.col("title"), F.col("source"), secondary, canonical)
-    current = changed(with_hash(marked.filter("NOT suppressed").drop("suppressed", "verdict")), _with(previous, content_hash="string"), order=order)
-    counts = (
-        rows.agg(F.count_if(F.col("id") == "unknown").alias("dropped_no_id"))
-        .join(judged.agg(
-            F.count_if(F.col("verdict") == "non-seoul").alias("dropped_non_seoul"), F.count_if(F.col("verdict") == "unknown-region").alias("dropped_unknown_region"),
-            F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("merged_duplicates"),
-        )).join(marked.agg(F.count_if("suppressed").alias("suppressed_cross_source")))
-        .join(current.agg(F.count_if("reparse").alias("reparsed")))
+    seen = changed(with_hash(marked), _with(previous, content_hash="string"), order=order)
+    every = cut_lineage(judged.filter("verdict <> 'pass'").unionByName(seen, allowMissingColumns=True))
+    of = lambda kind: F.col("verdict") == kind
+    counts = every.agg(
+        F.coalesce(F.sum(F.when(of("no-id"), F.col("copies"))), F.lit(0)).alias("dropped_no_id"), F.count_if(of("non-seoul")).alias("dropped_non_seoul"), F.count_if(of("unknown-region")).alias("dropped_unknown_region"),
+        F.coalesce(F.sum(F.when(~of("no-id"), F.col("copies") - 1)), F.lit(0)).alias("merged_duplicates"), F.count_if("suppressed").alias("suppressed_cross_source"),
+        F.count_if(~F.col("suppressed") & F.col("reparse")).alias("reparsed"),
     )
+    current = every.filter("verdict = 'pass' AND NOT suppressed").drop("suppressed", "verdict")
     return assembled(current, previous, now, parse_, explain, vectors, force_explain, order), counts
