@@ -113,15 +113,18 @@ def keyword_score(query: Column, text: Column, keywords: Column, least: float =
     Where only scores from ``least`` on matter, targets whose length rules that out aren't compared and count as 0.
     """
     targets = F.filter(F.concat(F.coalesce(keywords, F.array().cast("array<string>")), F.array(text)), lambda t: F.coalesce(t, F.lit("")) != "")
+    asked = words(query)
+    # Whole texts are looked at first: where one holds a word, nothing else is measured.
+    within = F.exists(asked, lambda w: F.coalesce(text.contains(w), F.lit(False)))
+    holds = within | F.exists(targets, lambda t: F.exists(asked, lambda w: t.contains(w) | w.contains(t)))
     sized = F.transform(targets, lambda t: F.struct(t.alias("text"), F.length(F.regexp_replace(t, f"{BLANK_CLASS}+", "")).alias("size")))
 
     def against(word: Column, target: Column) -> Column:
-        t, n, m = target["text"], target["size"], F.length(word)
-        close = F.least(m, n) >= least * F.greatest(m, n)
-        return F.when(t.contains(word) | word.contains(t), 1.0).when(close, similarity(word, t)).otherwise(0.0)
+        n, m = target["size"], F.length(word)
+        return F.when(F.least(m, n) >= least * F.greatest(m, n), similarity(word, target["text"])).otherwise(0.0)
 
-    best = lambda all_: F.array_max(F.transform(words(query), lambda w: F.array_max(F.transform(all_, lambda t: against(w, t)))))
-    return F.coalesce(let(sized, best), F.lit(0.0))
+    best = lambda all_: F.array_max(F.transform(asked, lambda w: F.array_max(F.transform(all_, lambda t: against(w, t)))))
+    return F.when(holds, 1.0).otherwise(F.coalesce(let(sized, best), F.lit(0.0)))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -55,20 +55,22 @@ def _embeddings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
-# The index of documents: the first 40 characters stand for the title, the source for the category; ASCII alone, as DuckDB counts edits in bytes.
-SQL_ASCII = "regexp_replace({0}, '[^\\x09-\\x7E]', '', 'g')"
-SQL_KEYWORDS = f"list_distinct(list_concat(list_filter(regexp_split_to_array({SQL_ASCII.format('text[1:40]')}, '\\s+'), lambda w: length(w) >= 2), [source]))"
+# The index of documents: the first line stands for the title, the source for the category. DuckDB counts edits in bytes, so its SQL
+# writes each accented letter as one control character; the engine has the texts as they are.
+ACCENTED = "éèêçñóíüöäßÉÈÊÇÑÓÍÜÖÄ"
+SINGLE = "".join(chr(k) for k in [*range(1, 9), *range(14, 27)])
+SQL_SINGLE = f"translate({{0}}, '{ACCENTED}', '{SINGLE}')"
+SQL_KEYWORDS = f"list_distinct(list_concat(list_filter(regexp_split_to_array({SQL_SINGLE.format('string_split(text, chr(10))[1]')}, '\\s+'), lambda w: length(w) >= 2), [source]))"
 
 
 def _indexed(spark: SparkSession, d: str) -> DataFrame:
-    plain = lambda c: F.regexp_replace(c, "[^\\x09-\\x7E]", "")
-    keywords = retrieval.index_keywords(plain(F.substring("text", 1, 40)), F.col("source"))
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), plain(F.col("text")).alias("text"), keywords.alias("keywords"))
+    keywords = retrieval.index_keywords(F.split("text", "\n")[0], F.col("source"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", keywords.alias("keywords"))
 
 
 SQL_BARE = "regexp_replace(t, '\\s+', '', 'g')"
 SQL_AGAINST = f"CASE WHEN contains(t, w) OR contains(w, t) THEN 1.0 ELSE 1 - levenshtein(w, {SQL_BARE}) / greatest(length(w), length({SQL_BARE}))::DOUBLE END"
-SQL_SCORED = f"""i AS (SELECT doc_id AS id, {SQL_ASCII.format('text')} AS text, {SQL_KEYWORDS} AS keywords FROM documents),
+SQL_SCORED = f"""i AS (SELECT doc_id AS id, {SQL_SINGLE.format('text')} AS text, {SQL_KEYWORDS} AS keywords FROM documents),
 k AS (SELECT id, list_max(list_transform({QUERY_WORDS}, lambda w: list_max(list_transform(list_filter(list_append(keywords, text), lambda t: t <> ''), lambda t: {SQL_AGAINST})))) AS s FROM i)"""
 SQL_ARMS = f"""
 v AS (SELECT vec_id AS id, {SQL_COSINE} AS s FROM embeddings), va AS (
@@ -234,16 +236,15 @@ m1 AS (SELECT right_id, left_id, score FROM m WHERE score >= 0.85 QUALIFY row_nu
 b AS (SELECT r.id AS right_id, left_id, coalesce(score, 0.0) AS score FROM r LEFT JOIN m1 ON right_id = r.id)"""
 
 
-# Each document against the one with the next number (0 if there is none): the first 60 characters stand for the title, the source for the organization.
+# Each page against the one with the next number (0 if there is none): titles and hosts.
 @query(
-    f"WITH d AS (SELECT doc_id, {SQL_NAME.format('text[1:60]')} AS name, {SQL_NAME.format('source')} AS org FROM documents) "
-    f"SELECT l.doc_id, CASE WHEN r.doc_id IS NULL THEN 0.0 ELSE round({SQL_PAIR}, 9) END AS score FROM d l LEFT JOIN d r ON r.doc_id = l.doc_id + 1"
+    f"WITH {SQL_PAGES} SELECT l.id AS page_id, CASE WHEN r.id IS NULL THEN 0.0 ELSE round({SQL_PAIR}, 9) END AS score FROM n l LEFT JOIN n r ON r.id = l.id + 1"
 )
 def pair_similarity(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("name"), F.col("source").alias("org"))
-    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("name").alias("name_b"), F.col("org").alias("org_b"))
+    pages = _pages(spark, d)
+    other = pages.select((F.col("id") - 1).alias("id"), F.col("name").alias("name_b"), F.col("org").alias("org_b"))
     score = text.pair_similarity(F.col("name"), F.col("org"), F.col("name_b"), F.col("org_b"))
-    return docs.join(other, "doc_id", "left").select("doc_id", rounded(score).alias("score"))
+    return pages.join(other, "id", "left").select(F.col("id").alias("page_id"), rounded(score).alias("score"))
 
 
 def _coverage(spark: SparkSession, d: str) -> DataFrame:
