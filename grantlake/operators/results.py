@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from grantlake.functions.constants import CATEGORY_TAGS, DOCUMENTS, ORIGINS, PROVINCES, REVIEW_LABELS, REVIEW_TEXTS
 from grantlake.functions.text import js_trim, title_year, without_years
+from grantlake.sources.shared import cut_lineage
 
 BUCKET_RANK = {"now": 3, "soon": 2, "review": 1}
 
@@ -46,9 +47,25 @@ def in_display_order(rows: DataFrame, ordinal: str = "ordinal") -> DataFrame:
 
 
 def with_positions(shown: DataFrame, within: list[str], ordinal: str = "ordinal") -> DataFrame:
-    """Adds ``position``, from 1, in the display order of each list (``within`` names what tells lists apart)."""
-    order = Window.partitionBy(*within).orderBy(F.desc(bucket_rank(F.col("bucket"))), "open_points", ordinal)
-    return shown.withColumn("position", F.row_number().over(order))
+    """Adds ``position``, from 1, in the display order of each list (``within`` names what tells lists apart).
+
+    Rows are dealt by ranges of list and order and numbered in their range; a list that goes on in the next
+    range carries its count over. So a list that a third of all rows are in is many tasks, and what meets by
+    list is one row a range.
+    """
+    order = ["_rank", "open_points", ordinal]
+    dealt = shown.withColumn("_rank", -bucket_rank(F.col("bucket"))).repartitionByRange(*within, *order).withColumn("_part", F.spark_partition_id())
+    dealt = cut_lineage(dealt)  # the limits of the ranges would be drawn anew
+    placed = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part", *within).orderBy(*order)))
+    counts = dealt.groupBy("_part", *within).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    names = {c: f"_of_{c}" for c in within}
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n").withColumnsRenamed({**names, "_part": "_of_part"})
+    same = F.col("_part") == F.col("_of_part")
+    for c, name in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(name))
+    found = placed.join(before, same).withColumn("position", F.col("_at") + F.col("_before"))
+    return found.select(*shown.columns, "position")
 
 
 def headline_count(rows: DataFrame) -> DataFrame:

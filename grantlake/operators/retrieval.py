@@ -39,18 +39,19 @@ def query_tokens(query: str) -> list[str]:
 def clamp_request(query: str | None, top_k: object = 10, categories: list[str] | None = None, region: str | None = None) -> dict:
     """A request within its limits: 500 characters, 1 to 30 results, blanks as nothing."""
     try:
-        k = int(float(top_k or 10))
+        k = float(top_k)
     except (TypeError, ValueError, OverflowError):
-        k = 10
-    return {"query": (query or "").strip()[:500], "top_k": min(30, max(1, k)), "categories": categories or None, "region": (region or "").strip() or None}
+        k = 10.0
+    k = int(max(1, min(30, k if k and k == k else 10.0)))  # zero and NaN are no number of results
+    return {"query": (query or "").strip()[:500], "top_k": k, "categories": categories or None, "region": (region or "").strip() or None}
 
 
 def clamped(query: Column, top_k: Column, region: Column, categories: Column) -> Column:
     """The same limits for a table of requests: struct(query, top_k, region, categories)."""
     k = top_k.try_cast("double")
-    usable = F.coalesce((k != 0) & ~F.isnan(k) & (F.abs(k) < float("inf")), F.lit(False))
+    usable = F.coalesce((k != 0) & ~F.isnan(k), F.lit(False))
     return F.struct(
-        F.substring(F.trim(F.coalesce(query, F.lit(""))), 1, 500).alias("query"), F.greatest(F.lit(1), F.least(F.lit(30), F.when(usable, k).otherwise(10.0).cast("int"))).alias("top_k"),
+        F.substring(F.trim(F.coalesce(query, F.lit(""))), 1, 500).alias("query"), F.greatest(F.lit(1.0), F.least(F.lit(30.0), F.when(usable, k).otherwise(10.0))).cast("int").alias("top_k"),
         F.nullif(F.trim(region), F.lit("")).alias("region"), F.when(F.size(categories) > 0, categories).alias("categories"),
     )
 

@@ -338,3 +338,41 @@ def test_candidates_are_few_and_long_names_stay_linear(spark):
     assert places.filter("nid = 0").agg(F.min("place"), F.max("pos")).first() == (1, 4998)
     got = {(r.a, r.b) for r in ingest.alike_texts(texts.select("text"), 0.7).filter("a < b").collect()}
     assert got == {(long, long[:4000] + "x" * 900)} or got == {(long[:4000] + "x" * 900, long)}
+
+
+def test_positions_in_a_hot_list(spark):
+    rows = [(k, "hot" if k % 3 else None if k % 2 else f"b{k % 7}", ["now", "soon", "review", "blocked"][k * 7 % 4], k * 31 % 500) for k in range(500)]
+    frame = spark.createDataFrame(rows, "id long, brand string, bucket string, ordinal long").withColumn("reasons", F.array().cast("array<string>")).repartition(7)
+    found = results.with_positions(results.in_display_order(frame), ["brand"]).collect()
+    lists = {}
+    for i, brand, bucket, ordinal in rows:
+        if bucket != "blocked":
+            lists.setdefault(brand, []).append((["now", "soon", "review"].index(bucket), ordinal, i))
+    wanted = {(i, k + 1) for own in lists.values() for k, (_, _, i) in enumerate(sorted(own))}
+    assert {(r.id, r.position) for r in found} == wanted
+
+
+def test_free_input_and_model_fallback(spark):
+    from grantlake.operators import safety
+
+    known = {"d": ["a"], "e": ["b"]}
+    rows = spark.createDataFrame([("xa", None), ("zz", '{"domain": "e"}'), ("zz", '{"domain": "f"}'), ("zz", "{"), (" ", '{"domain": "e"}'), (None, None), ("ba", '{"domain": "e"}')], "text string, answer string")
+    got = [tuple(r.c) for r in rows.select(safety.classified(F.col("text"), F.col("answer"), known).alias("c")).collect()]
+    none = (None, "none", None)
+    assert got == [("d", "keyword", 1.0), ("e", "llm", 0.6), none, none, none, none, ("d", "keyword", 1.0)]
+    told = rows.limit(1).select(safety.free_input(F.lit("죽고 싶어 우울"), F.lit('{"domain": "mentalHealth"}')).alias("f")).first().f
+    assert (told.crisis, told.domain, told.source, told.confidence) == (True, None, "none", None)
+    told = rows.limit(1).select(safety.free_input(F.lit("너무 우울해"), None).alias("f")).first().f
+    assert (told.crisis, told.domain, told.source) == (False, "mentalHealth", "keyword")
+    answers = spark.createDataFrame([(1, "[1.0, 2.0]"), (2, "[]"), (3, None), (4, '["NaN", 1.0]'), (5, "no")], "id long, answer string")
+    assert [r.id for r in safety.anchor_rows(answers).collect()] == [1]
+
+
+def test_requests_are_clamped_alike_as_rows(spark):
+    from grantlake.operators import retrieval
+
+    asked = [("  q ", "5", " 11 ", ["a"]), (None, "0", " ", []), ("x" * 600, "99", None, None), ("q", "-3", "11", ["a"]), ("q", "2.7", "11", None), ("q", "ten", "11", None), ("q", "NaN", "11", None), ("q", "Infinity", "", None), ("q", None, "", None)]
+    rows = spark.createDataFrame(asked, "query string, k string, region string, categories array<string>")
+    got = [tuple(r.c) for r in rows.select(retrieval.clamped(F.col("query"), F.col("k"), F.col("region"), F.col("categories")).alias("c")).collect()]
+    wanted = [retrieval.clamp_request(q, k, c, r) for q, k, r, c in asked]
+    assert got == [(w["query"], w["top_k"], w["region"], w["categories"]) for w in wanted]

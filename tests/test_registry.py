@@ -27,7 +27,7 @@ def test_query_equals_its_sql(spark, name):
     import duckdb
 
     db = duckdb.connect()
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "events", "documents", "embeddings", "pages", "conversations"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = db.execute(__spark_entry__.oracle_sql()[name])
     columns = [c[0] for c in want.description]
