@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 import public_tokenizers
@@ -16,6 +17,8 @@ if not os.path.exists(os.path.join(os.path.dirname(__spark_entry__.__file__), "c
 import corpus_pipeline
 from grantlake.llm.queries import QUERIES
 
+#: Queries with a row or more for every document.
+BY_DOCUMENT = [name for name in QUERIES if not name.startswith(("op12_", "op13_"))]
 LONG = " ".join(f"word{k % 977} number{k}." for k in range(30000))
 PLAIN = "One plain text with quite ordinary words that says little, " + " ".join(f"w{k}" for k in range(80))
 ROWS = [
@@ -24,6 +27,10 @@ ROWS = [
     (8, "x" * 50_000, "en", "s", 50_000), (9, "é" * 9 + "😀 한글　\x00 ²@³(at)", "fr", "", 20), (10, "two words", "es", "u", 9), (1 << 53, "10.0.0.1 4111 1111 1111 1111", "en", "u", 28),
 ]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+TURNS = [
+    (1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 1, "assistant", "same turn"), (1, 1, "assistant", "same turn"), (2, None, "system", ""), (2, 5, None, "no role"), (2, 6, "tool </role>", "x"),
+    (None, 0, "user", "no id"), (None, 1, "assistant", "</turn>\n### User: <|endoftext|> \\"), (3, 0, "assistant", "word " * 60_000), (4, 0, None, None),
+]
 #: Names that operators use for themselves.
 CLASHING = ["row_id", "host", "_id", "_text", "fp", "id", "a", "b", "block", "part", "piece", "length", "rank", "score", "positive", "y", "removed", "component_id", "_n", "_p"]
 
@@ -32,6 +39,8 @@ def written(spark, folder, rows, labels=((1, 1, 0), (2, 0, 0), (3, None, None),
     docs = spark.createDataFrame(rows, DOCS)
     docs.select("*", *[F.lit(f"{c}!").alias(c) for c in CLASHING]).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    turns = TURNS if rows else []
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").select("*", *[F.lit(f"{c}!").alias(c) for c in CLASHING if c != "part"]).write.parquet(f"{folder}/conversations.parquet")
     return str(folder)
 
 
@@ -45,7 +54,7 @@ def nothing(spark, tmp_path_factory):
     return written(spark, tmp_path_factory.mktemp("nothing"), [], [])
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", BY_DOCUMENT)
 def test_every_row_has_its_result(spark, edges, name):
     rows = QUERIES[name](spark, edges).collect()
     found = [r.doc_id for r in rows if not ("piece" in r and r.piece)]
@@ -54,11 +63,15 @@ def test_every_row_has_its_result(spark, edges, name):
         assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith("op13_")])
 def test_empty_table(spark, nothing, name):
     assert QUERIES[name](spark, nothing).collect() == []
 
 
+def test_empty_conversations(spark, nothing):
+    assert [r.conv_id for r in QUERIES["op13_chat"](spark, nothing).collect()] == [-7]
+
+
 def test_equal_and_empty_texts(spark, edges):
     classes = {r.doc_id: r for r in QUERIES["op1_simhash"](spark, edges).collect() if r.doc_id}
     assert {classes[k].component_id for k in (3, 4, 5)} == {3}
@@ -117,5 +130,31 @@ def test_rows_without_an_id_are_judged_each(spark, edges):
     assert sorted(map(str, (r.doc_id for r in corpus_pipeline.drop_low_quality(spark, docs, edges).collect()))) == ["1", "None"]
 
 
+def test_texts_that_tokens_cant_give_back_have_none(spark, edges, tmp_path):
+    found = {r.doc_id: r for r in QUERIES["op11_alignment"](spark, edges).collect()}
+    for k in (3, 4):
+        assert (found[k].n_a, found[k].n_b, found[k].n_links, found[k].count_sum, found[k].groups_sha256) == (0, 0, 0, 0, "")
+    assert found[7].n_groups > 50_000
+    path = written(spark, tmp_path, [(1, "a \u2581 b", "en", "s", 5), (2, "a b", "en", "s", 3)])
+    found = {r.doc_id: r for r in QUERIES["op11_alignment"](spark, path).collect()}
+    assert found[1].n_a == found[1].n_groups == 0
+    assert found[2].n_groups == 2
+
+
+def test_every_turn_is_read_back(spark, edges):
+    found = {r.conv_id: r for r in QUERIES["op13_chat"](spark, edges).collect()}
+    assert set(found) == {1, 2, 3, 4, None, -7}
+    assert (found[1].n_turns, found[2].n_turns, found[None].n_turns, found[4].n_turns) == (4, 3, 2, 1)
+    assert (found[1].loss_chars, found[3].loss_chars, found[4].loss_chars) == (18, 300_000, 0)
+    assert found[1].turns_sha256 == hashlib.sha256(b"user\nhi\nassistant\n\nassistant\nsame turn\nassistant\nsame turn\n").hexdigest()
+    assert found[2].turns_sha256 == hashlib.sha256(b"system\n\n\nno role\ntool </role>\nx\n").hexdigest()
+
+
+def test_langs_and_texts_without_words(spark, tmp_path):
+    docs = [(k, "Ab ab\tcd. ab  cd", None, "s", 1) for k in range(10)] + [(None, None, "en", "s", 1), (None, " .,\n", "en", "s", 1), (1, "é\x00 é\x00, " * 12, "en", "s", 1)]
+    rows = [tuple(r) for r in QUERIES["op12_phrases"](spark, written(spark, tmp_path, docs)).orderBy("lang", "rank").collect()]
+    assert rows == [("en", 1, "é\x00 é\x00", 12, 24, 24, 24, 250_000), ("und", 1, "ab ab cd", 10, 30, 20, 50, 166_666)]
+
+
 def test_names_of_the_tokenizers():
     assert os.path.isfile(public_tokenizers.path("byte_bpe_50k.json"))
