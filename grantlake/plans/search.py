@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from grantlake.operators import eligibility, results, retrieval
 from grantlake.operators.safety import crisis
+from grantlake.sources.shared import cut_lineage
 
 
 @dataclass
@@ -74,7 +75,7 @@ def search(catalogue: DataFrame, root: Node, node_id: str, profile: dict, today:
         ("active_programs", "array<string>"), ("completed_programs", "array<string>"),
     )])
     found = retrieval.resolved(hits, catalogue.drop("vector", "text", "keywords"), index).withColumn("profile", who).withColumn("ordinal", -F.col("score"))
-    kept = results.latest_variants(eligibility.evaluate(found, today).filter("bucket <> 'blocked'")).persist()
+    kept = cut_lineage(results.latest_variants(eligibility.evaluate(found, today).filter("bucket <> 'blocked'")))
     if not kept.limit(1).count():
         return Outcome(alternatives=node.choices(), degraded=not vector)
     return Outcome(rows=results.in_display_order(kept), degraded=not vector)

@@ -138,6 +138,16 @@ def exact_top120(spark: SparkSession, d: str) -> DataFrame:
     return _nearest(spark, d, exact=True)
 
 
+@query(f"""WITH s AS (SELECT q.vec_id AS query, e.vec_id AS id, {SQL_PAIR_COSINE} AS score FROM embeddings q, embeddings e WHERE q.vec_id % {EVERY_QUERY} = 0),
+t AS (SELECT query, id FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= {NEAREST})
+SELECT count(DISTINCT query) AS queries, count(*) AS wanted, TRUE AS enough FROM t""")
+def ann_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the search by codes finds nine tenths of the exact neighbours."""
+    exact, found = _nearest(spark, d, exact=True).select("query", "id"), _nearest(spark, d).select("query", "id", F.lit(1).alias("found"))
+    met = exact.join(found, ["query", "id"], "left")
+    return met.agg(F.count_distinct("query").alias("queries"), F.count("*").alias("wanted"), (F.count("found") >= 0.9 * F.count("*")).alias("enough"))
+
+
 def sql_trigrams(c: str) -> str:
     words = f"list_filter(string_split(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
     return f"list_distinct(flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) + 2), lambda k: substring('  ' || w || ' ', k, 3)))))"
