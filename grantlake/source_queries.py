@@ -76,7 +76,7 @@ def snapshot_sources(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS id, o_orderpriority AS name FROM orders WHERE o_orderkey >= (SELECT max(o_orderkey) FROM orders) // 2 QUALIFY row_number() OVER (ORDER BY o_orderkey) <= 2500")
 def keyed_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Five pages in a row of a keyed store, each behind the last key of the one before."""
+    """Up to five pages in a row of a keyed store, each behind the last key of the one before."""
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"))
     store = KeyedStore(spark, shared_folder(spark))
     store.upsert(rows)
@@ -84,7 +84,8 @@ def keyed_pages(spark: SparkSession, d: str) -> DataFrame:
     for _ in range(5):
         page = store.page(after, 500)
         pages = page if pages is None else pages.unionByName(page)
-        after = page.agg(F.max("id")).first()[0]
+        if (after := page.agg(F.max("id")).first()[0]) is None:
+            break
     return pages
 
 
@@ -160,8 +161,9 @@ NEEDS = Node("root", kind="entry", children=[Node("ring", "red ring", allowed=["
 
 
 @query("""WITH t AS (SELECT p_partkey AS id, p_name AS title, p_type AS category, p_size AS z FROM part WHERE p_type IN ('ECONOMY', 'SMALL') AND p_size % 3 < 2),
-k AS (SELECT * FROM t WHERE contains(title, 'red') OR contains(title, 'ring')),
-r AS (SELECT *, row_number() OVER (ORDER BY id::VARCHAR) - 1 AS r FROM k QUALIFY r < 240),
+k AS (SELECT *, list_max(list_transform(['red', 'ring'], lambda w: list_max(list_transform(list_append(string_split(title, ' '), title), lambda t: CASE WHEN contains(t, w) OR contains(w, t) THEN 1.0
+ ELSE 1 - levenshtein(w, replace(t, ' ', '')) / greatest(length(w), length(replace(t, ' ', '')))::DOUBLE END)))) AS s FROM t),
+r AS (SELECT *, row_number() OVER (ORDER BY s DESC, id::VARCHAR) - 1 AS r FROM k WHERE s >= 0.6 QUALIFY r < 240),
 b AS (SELECT *, 1.0 / (60 + r) + CASE WHEN category = 'SMALL' THEN 0.5 ELSE 0 END + CASE WHEN list_contains(string_split(title, ' '), 'ring') THEN 0.5 ELSE 0 END AS score FROM r ORDER BY score DESC, id::VARCHAR LIMIT 30),
 e AS (SELECT *, (z % 7 = 0)::INT AS unknown FROM b WHERE 30 <= z + 20),
 y AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY title ORDER BY unknown, id::VARCHAR) = 1)
