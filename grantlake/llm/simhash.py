@@ -297,6 +297,13 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return cut_lineage(met.filter(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"))
 
 
+def joined_classes(classes_: DataFrame, links_: DataFrame) -> DataFrame:
+    """Classes (id, component) after more links (a, b): a class goes in as the links to its least, so few steps join it to others."""
+    if links_.isEmpty():
+        return classes_
+    return cut_lineage(components(classes_.select(F.col("component").alias("a"), F.col("id").alias("b")).union(links_)))
+
+
 def similar_classes(docs: DataFrame, profile: DataFrame, large: int = LARGE_BAND) -> DataFrame:
     """(id, component) of the nodes that have a similar one.
 
@@ -311,16 +318,14 @@ def similar_classes(docs: DataFrame, profile: DataFrame, large: int = LARGE_BAND
     first = cut_lineage(led_pairs(members, large).union(links(by_print)).union(same).distinct())
     ends = members.select("node").union(first.select("a")).union(first.select("b")).distinct()
     sets = shingle_sets(docs, cut_lineage(nodes.select("node", "th").join(ends, "node")))
-    linked = verified(first, sets)
-    more = open_pairs(members, components(linked), large).join(first, ["a", "b"], "left_anti")
-    linked = linked.union(verified(more, sets))
-    found = cut_lineage(components(linked))
+    found = cut_lineage(components(verified(first, sets)))
+    found = joined_classes(found, verified(open_pairs(members, found, large).join(first, ["a", "b"], "left_anti"), sets))
     apart = cut_lineage(crowded(members, found, large))
     if apart.isEmpty():
         return found
     prefixes = cut_lineage(rare_prefixes(sets.join(apart, "node", "left_semi")))
-    linked = linked.union(verified(rare_leads(prefixes, large), sets))
-    return components(linked.union(verified(rare_pairs(prefixes, components(linked)), sets)))
+    found = joined_classes(found, verified(rare_leads(prefixes, large), sets))
+    return joined_classes(found, verified(rare_pairs(prefixes, found), sets))
 
 
 def one_of_similar(docs: DataFrame) -> DataFrame:
