@@ -36,6 +36,7 @@ side of its joins; the long side is split by AQE's skew join.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +59,7 @@ BANDS, BAND_ROWS = 20, 5
 LARGE_BAND = 64
 LEADERS = 4
 MOST_BROADCAST = 1_000_000  # rows of two longs
+LOAD_BITS = 20
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
@@ -237,14 +239,47 @@ def crowded(members: DataFrame, classes_: DataFrame, large: int = LARGE_BAND) ->
     return own.join(apart, "key").select("node").distinct()
 
 
-def rare_prefixes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, size, place, shingle): of each set the rarest shingles, as many as a similar set of any size must share one of."""
-    each = sets.select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("shingle"))
-    often = each.groupBy("shingle").agg(F.count("*").alias("n"))
-    ordered = each.join(often, "shingle").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("o"))
-    kept = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9).cast("int") + 1
-    own = ordered.select("node", "size", F.posexplode(F.slice("o", F.lit(1), kept)).alias("at", "s"))
-    return own.select("node", "size", (F.col("at") + 1).alias("place"), "s.shingle")
+def shingle_loads(sets: DataFrame, bits: int = LOAD_BITS) -> np.ndarray:
+    """How many shingles of all sets fall into each of ``2 ** bits`` buckets by hash: a table of fixed size, 4 MB, added up in tasks."""
+    chunk = 1 << max(0, bits - 6)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = np.zeros(1 << bits, np.int64)
+        for b in batches:
+            for hashes in b["hashes"]:
+                np.add.at(own, np.asarray(hashes, np.int64) & (1 << bits) - 1, 1)
+        parts = own.reshape(-1, chunk)
+        yield pd.DataFrame({"chunk": np.arange(len(parts)), "n": [np.minimum(x, 1 << 31).astype("<u4").tobytes() for x in parts]})
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in group["n"])
+        return pd.DataFrame({"chunk": group["chunk"][:1], "n": [np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()]})
+
+    parts = sets.select("hashes").mapInPandas(count, "chunk long, n binary").groupBy("chunk").applyInPandas(add, "chunk long, n binary").collect()
+    out = np.zeros(1 << bits, np.uint32)
+    for r in parts:
+        out[r["chunk"] * chunk :][:chunk] = np.frombuffer(r["n"], "<u4")
+    return out
+
+
+def rare_prefixes(sets: DataFrame, similarity: float = SIMILARITY, bits: int = LOAD_BITS) -> DataFrame:
+    """(node, size, place, shingle): of each set the rarest shingles, as many as a similar set of any size must share one of.
+
+    Any order of shingles serves, if it is the same for all sets. This one goes by the load of a shingle's bucket, so
+    frequent shingles come last; no shingle has to meet its count in a shuffle.
+    """
+    loads = sets.sparkSession.sparkContext.broadcast(shingle_loads(sets, bits))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        load = loads.value
+        for b in batches:
+            for node, hashes in zip(b["node"], b["hashes"]):
+                own = np.asarray(hashes, np.int64)
+                kept = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
+                order = np.lexsort((own, load[own & (1 << bits) - 1]))[:kept]
+                yield pd.DataFrame({"node": node, "size": len(own), "place": np.arange(1, len(order) + 1), "shingle": own[order]}).astype({"size": "int32", "place": "int32"})
+
+    return sets.filter(F.size("hashes") > 0).select("node", "hashes").mapInPandas(run, "node long, size int, place int, shingle long")
 
 
 def rare_leads(prefixes: DataFrame, large: int = LARGE_BAND) -> DataFrame:
