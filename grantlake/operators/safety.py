@@ -76,7 +76,10 @@ def anchor_rows(answered: DataFrame, answer: str = "answer") -> DataFrame:
 
 
 def grounded(text: Column, corpus: Column) -> Column:
-    """Whether a text makes no claim of eligibility and names no region, URL or number that the corpus lacks."""
+    """Whether a text makes no claim of eligibility and names no region, URL or number that the corpus lacks.
+
+    Digits of the corpus's URLs (an id, say) bear out no number, just as those of the text's URLs are no claim.
+    """
     norm = lambda c: F.regexp_replace(c, "[\\s,.·]", "")
     own = norm(F.coalesce(corpus, F.lit("")))
     regions = F.regexp_extract_all(text, F.lit(REGION_TOKEN), 1)
@@ -87,7 +90,7 @@ def grounded(text: Column, corpus: Column) -> Column:
 
     url = "(?i)(https?://[^\\s)>\"']+)"
     urls = F.regexp_extract_all(text, F.lit(url), 1)
-    digits = F.transform(F.regexp_extract_all(F.coalesce(corpus, F.lit("")), F.lit("(\\d[\\d,]*)"), 1), lambda d: F.replace(d, F.lit(","), F.lit("")))
+    digits = F.transform(F.regexp_extract_all(F.regexp_replace(F.coalesce(corpus, F.lit("")), url, " "), F.lit("(\\d[\\d,]*)"), 1), lambda d: F.replace(d, F.lit(","), F.lit("")))
     numbers = F.transform(F.regexp_extract_all(F.regexp_replace(text, url, " "), F.lit(NUMBER_WITH_UNIT), 1), lambda n: F.regexp_replace(n, "[^\\d]", ""))
     bad = (
         any_match(text, ASSERTIONS) | F.exists(regions, foreign) | F.exists(urls, lambda u: ~own.contains(norm(u)))
