@@ -136,11 +136,12 @@ def label_values(html: Column) -> Column:
     """map(label, value) of a detail page's definition rows; the first of a repeated label counts."""
     clean = F.regexp_replace(F.regexp_replace(html, "(?is)<script.*?</script>", ""), "(?is)<style.*?</style>", "")
     row = "(?is)<(dt|th)[^>]*>(.*?)</\\1>\\s*<(dd|td)[^>]*>(.*?)</\\3>"
-    raw = F.arrays_zip(F.regexp_extract_all(clean, F.lit(row), 2).alias("label"), F.regexp_extract_all(clean, F.lit(row), 4).alias("value"))
+    raw = let(clean, lambda c: F.arrays_zip(F.regexp_extract_all(c, F.lit(row), 2).alias("label"), F.regexp_extract_all(c, F.lit(row), 4).alias("value")))
     named = F.transform(raw, lambda r: F.struct(F.regexp_replace(strip_tags(r["label"]), f"{BLANK_CLASS}+", "").alias("label"), strip_tags(r["value"]).alias("value")))
     kept = F.filter(named, lambda r: F.length(r["label"]).between(1, 39))
-    firsts = F.filter(kept, lambda r, k: F.array_position(F.transform(kept, lambda x: x["label"]), r["label"]) == k + 1)
-    return F.map_from_entries(firsts)
+    # Each list is made once a page, not once a row of it.
+    labelled = let(kept, lambda k: F.struct(k.alias("rows"), F.transform(k, lambda x: x["label"]).alias("labels")))
+    return F.map_from_entries(let(labelled, lambda x: F.filter(x["rows"], lambda r, k: F.array_position(x["labels"], r["label"]) == k + 1)))
 
 
 def field(fields: Column, *labels: str) -> Column:
@@ -171,41 +172,57 @@ def coarse_end(text: Column) -> Column:
     start's. Years are 2000 to 2099 and no part of a longer number. An open end is null.
     """
     year = "(?<!\\d)(20\\d{2})(?!\\d)"
-    cut = F.regexp_instr(text, F.lit(TILDE))
-    head = F.when(cut > 0, F.substring(text, F.lit(1), cut - 1))
-    tail = F.when(cut > 0, F.substring(text, cut + 1, F.length(text))).otherwise(text)
-
-    def last(c: Column, pattern: str, group: int) -> Column:
-        return F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), group), F.lit(-1))
-
     month_day = "\\s*[.\\-/]\\s*(\\d{1,2})\\s*[.\\-/]\\s*(\\d{1,2})"
-    full = _ymd(last(tail, year + month_day, 1), last(tail, year + month_day, 2), last(tail, year + month_day, 3))
     of_month = year + "\\s*[.\\-/]\\s*(\\d{1,2})(?!\\s*[.\\-/]\\s*\\d)"
-    y, m = last(tail, of_month, 1), last(tail, of_month, 2)
-    month = _ymd(y, m, _month_end(y, m))
-    y = last(tail, year, 1)
-    whole = F.concat(y, F.when(tail.contains("상반기"), "-06-30").otherwise("-12-31"))
     start = year + "\\s*[.\\-/]\\s*(\\d{1,2})"
-    start_year, start_month = last(head, start, 1).cast("int"), last(head, start, 2).cast("int")
     pair = "(\\d{1,2})\\s*[.\\-/]\\s*(\\d{1,2})"
-    m = F.coalesce(_group(tail, pair, 1), _group(tail, "(?<!\\d)(\\d{1,2})(?=\\s*(?:[.\\-/월]|\\z))", 1)).cast("int")
-    y = F.when(m < start_month, start_year + 1).otherwise(start_year)
-    last_day = F.when(m.between(1, 12), _month_end(y, m))
-    d = F.coalesce(_group(tail, pair, 2).cast("int"), last_day)
-    inherited = F.when(start_year.isNotNull() & (d >= 1) & (d <= last_day), _ymd(y, m, d))
-    return F.coalesce(full, month, whole, inherited)
+
+    def last(c: Column, pattern: str, group: int) -> Column:
+        return F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), group), F.lit(-1))
+
+    def parted(t: Column) -> Column:
+        head = lambda cut: F.when(cut > 0, F.substring(t, F.lit(1), cut - 1)).alias("head")
+        tail = lambda cut: F.when(cut > 0, F.substring(t, cut + 1, F.length(t))).otherwise(t).alias("tail")
+        return let(F.regexp_instr(t, F.lit(TILDE)), lambda cut: F.struct(head(cut), tail(cut)))
+
+    def of_year(tail: Column, p: Column) -> Column:
+        """The end without a year: ``p`` has the start's year and month, and the end's month."""
+        y = F.when(p["m"] < p["start_month"], p["start_year"] + 1).otherwise(p["start_year"])
+        ends = F.struct(y.alias("y"), p["m"].alias("m"), F.when(p["m"].between(1, 12), _month_end(y, p["m"])).alias("last_day"))
+        dated = lambda e: F.struct(e["y"].alias("y"), e["m"].alias("m"), e["last_day"].alias("last_day"), F.coalesce(_group(tail, pair, 2).cast("int"), e["last_day"]).alias("d"))
+        made = lambda e: F.when((e["d"] >= 1) & (e["d"] <= e["last_day"]), _ymd(e["y"], e["m"], e["d"]))
+        return F.when(p["start_year"].isNotNull(), let(let(ends, dated), made))
+
+    def read(x: Column) -> Column:
+        head, tail = x["head"], x["tail"]
+        full = _ymd(last(tail, year + month_day, 1), last(tail, year + month_day, 2), last(tail, year + month_day, 3))
+        month = let(F.struct(last(tail, of_month, 1).alias("y"), last(tail, of_month, 2).alias("m")), lambda p: _ymd(p["y"], p["m"], _month_end(p["y"], p["m"])))
+        whole = F.concat(last(tail, year, 1), F.when(tail.contains("상반기"), "-06-30").otherwise("-12-31"))
+        m = F.coalesce(_group(tail, pair, 1), _group(tail, "(?<!\\d)(\\d{1,2})(?=\\s*(?:[.\\-/월]|\\z))", 1)).cast("int")
+        begun = F.struct(last(head, start, 1).cast("int").alias("start_year"), last(head, start, 2).cast("int").alias("start_month"), m.alias("m"))
+        return F.coalesce(full, month, whole, let(begun, lambda p: of_year(tail, p)))
+
+    # Each part is a value that is computed once: written out, every pattern would be searched again wherever its result is named.
+    return let(let(text, parted), read)
 
 
 def crawled_recruit(apply_text: Column, operation_text: Column) -> Column:
     """struct(start_text, end_text, text): application dates, else the operation period, else 'always'."""
-    a0, a1, o0, o1 = loose_date(apply_text, 0), loose_date(apply_text, 1), loose_date(operation_text, 0), loose_date(operation_text, 1)
-    coarse = coarse_end(operation_text)
-    always = (a0.isNull() & o1.isNull() & coarse.isNull()) & F.coalesce(apply_text.rlike("상시|수시|연중"), F.lit(False))
-    return F.struct(
-        F.when(a0.isNotNull(), a0).when(o1.isNotNull(), o0).alias("start_text"),
-        F.when(a0.isNotNull(), a1).when(o1.isNotNull(), o1).otherwise(coarse).alias("end_text"),
-        F.when(always, "상시").alias("text"),
-    )
+
+    def dated(x: Column) -> Column:
+        dates = {"a0": loose_date(x["a"], 0), "a1": loose_date(x["a"], 1), "o0": loose_date(x["o"], 0), "o1": loose_date(x["o"], 1), "coarse": coarse_end(x["o"])}
+        return F.struct(x["a"].alias("a"), *[c.alias(name) for name, c in dates.items()])
+
+    def chosen(x: Column) -> Column:
+        applied, run = x["a0"].isNotNull(), x["o1"].isNotNull()
+        always = ~applied & ~run & x["coarse"].isNull() & F.coalesce(x["a"].rlike("상시|수시|연중"), F.lit(False))
+        return F.struct(
+            F.when(applied, x["a0"]).when(run, x["o0"]).alias("start_text"),
+            F.when(applied, x["a1"]).when(run, x["o1"]).otherwise(x["coarse"]).alias("end_text"),
+            F.when(always, "상시").alias("text"),
+        )
+
+    return let(let(F.struct(apply_text.alias("a"), operation_text.alias("o")), dated), chosen)
 
 
 def region_text(zip_codes: Column, institution: Column) -> Column:
