@@ -7,7 +7,7 @@ then sorted by cell, so that a search of a few cells skips the others' row group
 third of all rows is many blocks.
 
 ``search`` takes any number of queries: each goes to its nearest cells, blocks and queries meet by cell, and a task
-multiplies a block by some queries at a time. The nearest by codes of every query are then compared by
+multiplies a block by some queries at a time; of all its blocks it gives each query's nearest alone. The nearest by codes of every query are then compared by
 their own vectors. The fit finds out on its sample how many probes the recall needs: few where vectors form
 clusters, over half of the cells where they don't. With ``exact`` every cell is probed and vectors stand
 for codes: then the result is the exact one.
@@ -38,7 +38,9 @@ ROUNDS = 12
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 256
 TUNING_QUERIES, TUNING_TOP, TARGET = 256, 120, 0.96  # of the recall that the number of probes is chosen for
-RERANK = 4  # candidates a wanted result
+RERANK = 4  # candidates a wanted result, at least
+CODES_TARGET = 0.98  # of the neighbours that the number of candidates is chosen for
+HELD = 4_000_000  # pairs that a task holds before it keeps each query's nearest alone
 BLOCKS = "cell int, ids array<long>, codes binary, vectors binary"
 
 
@@ -88,6 +90,7 @@ class Model:
     centers: np.ndarray  # cells x dims
     books: np.ndarray  # groups x codes x GROUP
     probes: int = 1
+    rerank: int = RERANK
 
     @property
     def dims(self) -> int:
@@ -120,10 +123,30 @@ def probes_for(x: np.ndarray, centers: np.ndarray, of: int, top: int = TUNING_TO
     return int(ranks[max(0, -(-int(target * len(ranks) * 1000) // 1000) - 1)]) + 1
 
 
+def rerank_for(x: np.ndarray, model: Model, of: int, top: int = TUNING_TOP, target: float = CODES_TARGET) -> int:
+    """How many candidates by codes a wanted result takes to hold ``target`` of the ``top`` nearest among ``of`` rows, by what a sample of them shows.
+
+    Both the neighbours and the candidates are as many times fewer in the sample as it has fewer rows. The more rows there are, the nearer
+    are neighbours to each other and the more candidates lie between them by codes.
+    """
+    asked, cell = x[:TUNING_QUERIES], nearest(x, model.centers)[:, 0]
+    wanted = min(max(len(x) - 1, 1), max(1, round(top * len(x) / max(of, 1))))
+    own = (np.arange(len(asked)), np.arange(len(asked)))  # a row is no neighbour of itself
+    true = asked @ x.T
+    true[own] = -np.inf
+    best = np.argpartition(-true, wanted - 1, axis=1)[:, :wanted]
+    codes = model.encoded(x, cell)
+    coded = model.centers[cell] + np.concatenate([book[codes[:, g]] for g, book in enumerate(model.books)], axis=1)[:, : model.dims]
+    near = asked @ coded.T
+    near[own] = -np.inf
+    rank = np.sort(np.concatenate([len(n) - np.searchsorted(np.sort(n), n[b], side="right") for n, b in zip(near, best)]))
+    return max(RERANK, -(-(int(rank[max(0, -(-int(target * len(rank) * 1000) // 1000) - 1)]) + 1) // wanted))
+
+
 def fit(rows: DataFrame, cells: int | None = None, sample: int = SAMPLE_ROWS, top: int = TUNING_TOP) -> Model:
     """A model from at most ``sample`` vectors (id, vector), drawn by a hash of the id. Their most frequent length counts.
 
-    The number of probes is the one that finds ``TARGET`` of the ``top`` nearest, as far as the sample shows.
+    The numbers of probes and of candidates are those that find ``TARGET`` and ``CODES_TARGET`` of the ``top`` nearest, as far as the sample shows.
     """
     count = rows.count()
     some = rows.filter(F.size("vector") > 0).select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
@@ -138,12 +161,13 @@ def fit(rows: DataFrame, cells: int | None = None, sample: int = SAMPLE_ROWS, to
     parts = model.grouped(x - model.centers[nearest(x, model.centers)[:, 0]])
     books = [k_means(np.ascontiguousarray(parts[:, g]), CODES, seed=g) for g in range(parts.shape[1])]
     model.books, model.probes = np.stack(books), probes_for(x, model.centers, count, top)
+    model.rerank = rerank_for(x, model, count, top)
     return model
 
 
 def save(spark: SparkSession, model: Model, path: str) -> None:
     """A model as a table: a row per center and per code."""
-    rows = [("probes", 0, 0, [float(model.probes)])] + [("center", 0, k, c.tolist()) for k, c in enumerate(model.centers)]
+    rows = [("probes", 0, 0, [float(model.probes)]), ("rerank", 0, 0, [float(model.rerank)])] + [("center", 0, k, c.tolist()) for k, c in enumerate(model.centers)]
     rows += [("code", g, k, c.tolist()) for g, book in enumerate(model.books) for k, c in enumerate(book)]
     spark.createDataFrame(rows, "kind string, of int, k int, v array<float>").write.parquet(path)
 
@@ -152,7 +176,7 @@ def load(spark: SparkSession, path: str) -> Model:
     rows = spark.read.parquet(path).toPandas().sort_values(["kind", "of", "k"])
     of = lambda kind: rows[rows["kind"] == kind]
     codes = of("code")
-    return Model(np.stack(of("center")["v"]).astype(np.float32), np.stack(codes["v"]).astype(np.float32).reshape(codes["of"].nunique(), -1, GROUP), int(of("probes")["v"].iloc[0][0]))
+    return Model(np.stack(of("center")["v"]).astype(np.float32), np.stack(codes["v"]).astype(np.float32).reshape(codes["of"].nunique(), -1, GROUP), int(of("probes")["v"].iloc[0][0]), int(of("rerank")["v"].iloc[0][0]))
 
 
 def build(rows: DataFrame, model: Model, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -209,29 +233,65 @@ def _questions(queries: DataFrame, shared, probes: int) -> DataFrame:  # noqa: A
     return queries.select("query", F.col("vector").cast("array<float>").alias("vector")).mapInPandas(run, "cell int, queries array<long>, questions binary")
 
 
-def search(blocks: DataFrame, model: Model, rows: DataFrame, queries: DataFrame, k: int, probes: int | None = None, exact: bool = False, rerank: int = RERANK) -> DataFrame:
+def search(blocks: DataFrame, model: Model, rows: DataFrame, queries: DataFrame, k: int, probes: int | None = None, exact: bool = False, rerank: int | None = None) -> DataFrame:
     """(query, id, score) of the ``k`` rows (id, vector) of largest cosine above 0 for each query (query, vector).
 
-    ``probes``: how many cells a query looks into, by default as many as the model found to suffice. ``exact``: all of
-    them, and vectors stand for codes.
+    ``probes``: how many cells a query looks into, by default as many as the model found to suffice; so for ``rerank``, the candidates
+    a wanted result. ``exact``: all cells, and vectors stand for codes.
     """
-    shared, most = rows.sparkSession.sparkContext.broadcast(model), k * max(rerank, 2)
+    shared, most = rows.sparkSession.sparkContext.broadcast(model), k * max(rerank or (RERANK if exact else model.rerank), 2)
     questions = _questions(queries, shared, len(model.centers) if exact else probes or model.probes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
+        own, held, size = shared.value, [], 0
+        known, bounds = np.zeros(0, np.int64), np.zeros(0)
+
+        def best_of() -> tuple:
+            """What is held, the first of each query alone; the last one's nearness bounds what can follow."""
+            nonlocal known, bounds
+            query, ids, near = (np.concatenate([h[k] for h in held]) for k in range(3))
+            order = np.lexsort((ids, -near, query))
+            query, ids, near = query[order], ids[order], near[order]
+            starts = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
+            rank = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
+            full = np.flatnonzero(rank == most - 1)
+            names, values = np.concatenate([known, query[full]]), np.concatenate([bounds, near[full]])
+            last = np.lexsort((values, names))
+            names, values = names[last], values[last]
+            largest = np.concatenate([names[1:] != names[:-1], [True]]) if len(names) else np.zeros(0, bool)
+            known, bounds = names[largest], values[largest]
+            return query[rank < most], ids[rank < most], near[rank < most]
+
         for b in batches:
             for cell, ids, code, names, asked in zip(b["cell"], b["ids"], b["code"], b["queries"], b["questions"]):
                 if not exact:
                     x = own.decoded(np.frombuffer(code, np.uint8).reshape(len(ids), -1), cell)
                 else:
                     x = np.frombuffer(code, np.float32).reshape(len(ids), -1).astype(np.float64)
-                near = np.frombuffer(asked, np.float32).reshape(len(names), -1).astype(x.dtype) @ x.T
-                best = np.argpartition(-near, most, axis=1)[:, :most] if most < len(ids) else np.broadcast_to(np.arange(len(ids)), near.shape)
-                yield pd.DataFrame({"query": np.repeat(names, best.shape[1]), "id": np.asarray(ids)[best].ravel(), "near": np.take_along_axis(near, best, axis=1).ravel().astype(np.float64)})
+                near = (np.frombuffer(asked, np.float32).reshape(len(names), -1).astype(x.dtype) @ x.T).astype(np.float64)
+                least = np.full(len(names), -np.inf)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, names), len(known) - 1)
+                    least = np.where(known[at] == names, bounds[at], -np.inf)
+                if most < len(ids):
+                    least = np.maximum(least, np.partition(near, len(ids) - most, axis=1)[:, len(ids) - most])
+                of, at = np.nonzero(near >= least[:, None])
+                held.append((np.asarray(names)[of], np.asarray(ids)[at], near[of, at]))
+                size += len(of)
+                if size > HELD:
+                    kept = best_of()
+                    held, size = [kept], len(kept[0])
+                    if size > HELD // 2:
+                        yield pd.DataFrame(dict(zip(("query", "id", "near"), kept)))
+                        held, size = [], 0
+        if size:
+            yield pd.DataFrame(dict(zip(("query", "id", "near"), best_of())))
 
     code = F.col("vectors" if exact else "codes").alias("code")
-    found = blocks.select("cell", "ids", code).join(questions, "cell").select("cell", "ids", "code", "queries", "questions").mapInPandas(run, "query long, id long, near double")
+    # So many parts that each holds many cells: what leaves a part is bounded by its queries, however many cells there are.
+    parts = max(8, 2 * rows.sparkSession.sparkContext.defaultParallelism)
+    met = blocks.select("cell", "ids", code).repartition(parts, "cell").join(questions.repartition(parts, "cell"), "cell")
+    found = met.select("cell", "ids", "code", "queries", "questions").mapInPandas(run, "query long, id long, near double")
     by = lambda score: Window.partitionBy("query").orderBy(F.desc(score), "id")
     first = found.withColumn("_r", F.row_number().over(by("near"))).filter(F.col("_r") <= most).select("query", "id").distinct()
     asked = queries.select("query", F.col("vector").alias("_q"))
