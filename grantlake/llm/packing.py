@@ -28,7 +28,7 @@ from grantlake.llm.tokens import encoder, release
 
 CAPACITY = 2048
 END_ID = 0
-CACHED = 120_000  # pieces a worker keeps while it encodes
+CACHED = 400_000  # pieces a worker keeps while it encodes
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
