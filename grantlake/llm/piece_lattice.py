@@ -21,15 +21,18 @@ ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import math
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -40,6 +43,9 @@ BLANK = "▁"
 UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 N_BEST = 4
 CACHED_SEARCHES = 50_000
+# Parts of one length, from FEW to MOST of them and up to SHORT characters long, are solved together.
+FEW, MOST, SHORT = 8, 2048, 24
+LEARNT = 256  # documents whose new units are solved together
 OUT = (
     "doc_id long, n_pieces long, score double, ids_crc32 long, nbest_scores array<double>, nbest_ids_crc32 array<long>, "
     "decoded_sha256 string, round_trip boolean"
@@ -56,6 +62,10 @@ class Lattice:
         self.unknown = min((s for _, s in pieces.values()), default=0.0) - 10
         self.bytes_of = {bytes_at + b: bytes([b]) for b in range(256)} | {i: p.encode("utf-8", "surrogatepass") for p, (i, _) in pieces.items()}
         self.pairs = {a + b for p in pieces for a, b in zip(p, p[1:])}
+        # As arrays, by number of the piece; what is no piece has number -1 and so the last place.
+        self.numbers = {p: k for k, p in enumerate(pieces)}
+        self.ids = np.array([i for i, _ in pieces.values()] + [-1], np.int64)
+        self.scores = np.array([s for _, s in pieces.values()] + [-math.inf])
         self.units, self.parts = Known(self.unit), Known(self.part)
         self.searched: dict[str, list[Segmentation]] = {}
 
@@ -119,22 +129,90 @@ class Lattice:
             entry = entry[5]
         return tuple(ids)
 
-    def unit(self, unit: str) -> tuple[float, bytes, float]:
-        """(best score, its ids, loss of the second-best segmentation).
-
-        Between two characters that stand side by side in no piece the unit falls apart once more.
-        """
+    def apart(self, unit: str) -> list[str]:
+        """The parts of a unit: it falls apart between two characters that stand side by side in no piece."""
         pairs, at, parts = self.pairs, 0, []
         for k in range(1, len(unit)):
             if unit[k - 1 : k + 1] not in pairs:
                 parts.append(unit[at:k])
                 at = k
-        if not parts:
-            return self.part(unit)
         parts.append(unit[at:])
-        found = [self.parts[p] for p in parts]
+        return parts
+
+    @staticmethod
+    def joined(found: list[tuple[float, bytes, float]]) -> tuple[float, bytes, float]:
         return sum([f[0] for f in found]), b"".join([f[1] for f in found]), min([f[2] for f in found])
 
+    def unit(self, unit: str) -> tuple[float, bytes, float]:
+        """(best score, its ids, loss of the second-best segmentation)."""
+        parts = self.apart(unit)
+        return self.part(unit) if len(parts) == 1 else self.joined([self.parts[p] for p in parts])
+
+    def learn(self, units: Iterable[str]) -> None:
+        """Keeps the segmentations of units not yet known; new parts of one length are solved together."""
+        new = {u: self.apart(u) for u in set(units) if u not in self.units and u not in self.units.older}
+        by_length: dict[int, list[str]] = {}
+        for p in {p for parts in new.values() for p in parts}:
+            if p not in self.parts and p not in self.parts.older:
+                by_length.setdefault(len(p), []).append(p)
+        solved: dict[str, tuple[float, bytes, float]] = {}
+        for size, parts in by_length.items():
+            for at in range(0, len(parts), MOST):
+                some = parts[at : at + MOST]
+                if len(some) >= FEW and size <= SHORT:
+                    solved |= self.together(some, size)
+                else:
+                    solved |= {p: self.part(p) for p in some}
+        for u, parts in new.items():
+            if len(parts) == 1:
+                self.units[u] = solved[u] if u in solved else self.parts[u]
+            else:
+                for p in parts:
+                    if p in solved:
+                        self.parts[p] = solved[p]
+                self.units[u] = self.joined([self.parts[p] for p in parts])
+
+    def together(self, parts: list[str], size: int) -> dict[str, tuple[float, bytes, float]]:
+        """``part`` for each of some parts of ``size`` characters; a row each, place by place.
+
+        A part with a character that no piece holds goes to ``part``.
+        """
+        longest, get = self.longest, self.numbers.get
+        starts = [np.arange(max(0, end - longest), end) for end in range(1, size + 1)]
+        cuts = [slice(int(start), end) for end, s in enumerate(starts, 1) for start in s]
+        numbers = np.array([get(p[c], -1) for p in parts for c in cuts], np.int64).reshape(len(parts), -1)
+        first = np.concatenate([[0], np.cumsum(list(map(len, starts)))])
+        whole = (numbers[:, first[1:] - 1] >= 0).all(1)  # the last cut of each place is its own character
+        out = {p: self.part(p) for p, w in zip(parts, whole) if not w}
+        parts, numbers = [p for p, w in zip(parts, whole) if w], numbers[whole]
+        ids, scores = self.ids[numbers], self.scores[numbers]
+        best, back = np.zeros((len(parts), size + 1)), np.full((len(parts), size + 1), -math.inf)
+        through, chosen = [], []
+        for end, s in enumerate(starts, 1):
+            at = slice(first[end - 1], first[end])
+            total = best[:, s] + scores[:, at]
+            best[:, end] = total.max(1)
+            # Of equal ways the one of the least id.
+            chosen.append(np.where(total == best[:, end, None], ids[:, at], np.iinfo(np.int64).max).argmin(1))
+            through.append(total)
+        back[:, size] = 0.0
+        taken, place, second = np.full((len(parts), size), -1, np.int64), np.full(len(parts), size), np.full(len(parts), -math.inf)
+        for end in range(size, 0, -1):
+            s, at, own = starts[end - 1], slice(first[end - 1], first[end]), chosen[end - 1]
+            after = back[:, end, None]
+            back[:, s] = np.maximum(back[:, s], scores[:, at] + after)
+            rest = through[end - 1] + after
+            on = np.flatnonzero(place == end)
+            rest[on, own[on]] = -math.inf
+            second = np.maximum(second, rest.max(1))
+            taken[on, end - 1] = ids[on, first[end - 1] + own[on]]
+            place[on] = s[own[on]]
+        flat, ends = taken[taken >= 0].astype("<u4").tobytes(), np.cumsum((taken >= 0).sum(1)) * 4
+        begins = np.concatenate([[0], ends[:-1]]).tolist()
+        for p, score, begin, end, loss in zip(parts, best[:, size].tolist(), begins, ends.tolist(), (best[:, size] - second).tolist()):
+            out[p] = (score, flat[begin:end], loss)
+        return out
+
     def part(self, part: str) -> tuple[float, bytes, float]:
         """As unit, by the forward scores and the backward ones: no search is needed for two best."""
         ends, size = self.edges(part), len(part)
@@ -161,15 +239,22 @@ class Lattice:
                     second = best[start] + score + after
         return best[-1], array("I", reversed(ids)).tobytes(), best[-1] - second
 
+    @staticmethod
+    def units_of(text: str) -> list[str]:
+        return UNIT.findall(BLANK + text.replace(" ", BLANK)) if text else []
+
     def encode(self, text: str, n: int = N_BEST) -> list[tuple[float, bytes]]:
         """The n best segmentations of a text: (score, ids as little-endian unsigned 32-bit integers)."""
-        if not text:
+        return self.encode_units(self.units_of(text), n)
+
+    def encode_units(self, parts: list[str], n: int = N_BEST) -> list[tuple[float, bytes]]:
+        """``encode`` of a text's units."""
+        if not parts:
             return [(0.0, b"")]
         self.units.turn()
         self.parts.turn()
         if len(self.searched) > CACHED_SEARCHES:
             self.searched.clear()
-        parts = UNIT.findall(BLANK + text.replace(" ", BLANK))
         found = [self.units[p] for p in parts]
         scores, first_ids, losses = zip(*found)
         total = math.fsum(scores)
@@ -195,7 +280,8 @@ class Lattice:
 
 @cache
 def lattice(path: str) -> Lattice:
-    """One lattice per worker process and file."""
+    """One lattice per worker process and file; fewer rounds of garbage collection over its many small objects."""
+    gc.set_threshold(200_000, 20, 50)
     return Lattice.load(path)
 
 
@@ -205,11 +291,13 @@ def encode_documents(docs: DataFrame, model: str, n: int = N_BEST) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = lattice(model)
         for b in batches:
-            rows = []
-            for doc_id, text in zip(b.doc_id, b.text):
-                text = text or ""
-                found = own.encode(text, n)
-                crcs = [zlib.crc32(ids) for _, ids in found]
+            rows, ids, texts, units = [], list(b.doc_id), [t or "" for t in b.text], []
+            for k, (doc_id, text) in enumerate(zip(ids, texts)):
+                if not k % LEARNT:
+                    units = [own.units_of(t) for t in texts[k : k + LEARNT]]
+                    own.learn(chain.from_iterable(units))
+                found = own.encode_units(units[k % LEARNT], n)
+                crcs = [zlib.crc32(raw) for _, raw in found]
                 decoded = own.decode(found[0][1])
                 digest = hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
                 rows.append((doc_id, len(found[0][1]) // 4, found[0][0], crcs[0], [s for s, _ in found], crcs, digest, decoded == text))
