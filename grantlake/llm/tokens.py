@@ -8,6 +8,7 @@ line feed that follows a visible character; all other white space stays inside i
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
@@ -20,6 +21,8 @@ AFTER_SPACE = re.compile(r"\s[ \n]")
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 # Latin letters that every Unicode version knows as letters and that are their own composed form.
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
+# A line feed or none, a word, and marks to the end of the piece: both pre-tokenizers cut between these.
+WORD_AND_MARKS = re.compile(f"(\n?)({LATIN.pattern})([!-/:-@\\[-`{{-~]*)")
 CACHED_PIECES = 500_000
 
 
@@ -105,13 +108,18 @@ class PieceEncoder:
 
     def _after_cut(self, piece: str) -> bytes:
         """A piece after a cut: with its line feed, or with the blank that the cut took away."""
-        if LATIN.fullmatch(piece):
-            return self._word(piece, True)
-        if piece[-1:] in (".", ",") and LATIN.fullmatch(piece, 0, len(piece) - 1):
-            return self.after_cut[piece[:-1]] + self.whole[piece[-1]]  # a mark after a letter stands alone
-        if piece[:1] == "\n" and LATIN.match(piece, 1):
-            return self.whole["\n"] + self.whole[piece[1:]]
-        return self._library(piece if piece[:1] == "\n" else " " + piece)
+        if not (found := WORD_AND_MARKS.fullmatch(piece)):
+            if piece[:1] == "\n" and LATIN.match(piece, 1):
+                return self.whole["\n"] + self.whole[piece[1:]]
+            return self._library(piece if piece[:1] == "\n" else " " + piece)
+        line, word, marks = found.groups()
+        if not line and not marks:
+            return self._word(word, True)
+        # A tokenizer that drops blanks gives a word the same ids after one as without.
+        ids = (self.whole if line and self.keeps_blank else self.after_cut)[word]
+        if line:
+            ids = self.whole[line] + ids
+        return ids + self.whole[marks] if marks else ids
 
     def encode(self, text: str) -> bytes:
         self.whole.turn()
@@ -130,6 +138,8 @@ def encoder(path: str, most: int = CACHED_PIECES, plain: bool = False) -> PieceE
 
 
 def release() -> None:
-    """Gives back what encoders have kept: the worker lives on and runs other tasks."""
+    """Gives back what encoders have kept, to the system too: the worker lives on and runs other tasks."""
     encoder.cache_clear()
     gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed memory otherwise
+        trim(0)
