@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from grantlake.llm import packing, pii, quality_rules, simhash, toxicity
 from grantlake.llm.common import discard, held_out, shared_folder, table
 
+CACHED = 120_000  # pieces a worker keeps: the stages before have left less memory here than op4_best_fit_packing has
+
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go; boilerplate lines go from the others.
@@ -40,7 +42,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of a document with its place in a sequence of at most 2048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), cached=CACHED)
 
 
 STAGES = [

@@ -38,12 +38,12 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))] if n else []
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, cached: int = CACHED) -> DataFrame:
     """A row per piece of each document; the texts stay where they are read."""
     end = end_id.to_bytes(4, "little")
 
     def tokenize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer, CACHED).encode
+        encode = encoder(tokenizer, cached).encode
         for b in batches:
             rows = []
             for doc_id, text in zip(b.doc_id, b.text):
@@ -172,5 +172,6 @@ def pack(kept: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 PIECE_NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    return pack(cut_lineage(pieces(docs, tokenizer, capacity, end_id)), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, cached: int = CACHED) -> DataFrame:
+    """``cached``: pieces a worker keeps while it encodes; memory against time, the result is the same."""
+    return pack(cut_lineage(pieces(docs, tokenizer, capacity, end_id, cached)), capacity)

@@ -39,6 +39,8 @@ MIN_LIFT = 3.0
 STEMS = (4, 5, 6)
 TIMES = (1, 2, 3)
 LETTERS = re.compile(r"[^\W\d_]+")
+# So many texts are expanded at a time: their features take many times the memory of the texts.
+EXPANDED = 64
 
 
 def features(text: str | None, stems: set[str] | None = None) -> set[str]:
@@ -56,6 +58,14 @@ def features(text: str | None, stems: set[str] | None = None) -> set[str]:
     return counts.keys() | {f"{k}^{stem}" for stem, n in begun.items() for k in TIMES if n >= k}
 
 
+def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The features of documents to learn from, ``EXPANDED`` documents at a time."""
+    for b in batches:
+        for at in range(0, len(b), EXPANDED):
+            some = b.iloc[at : at + EXPANDED]
+            yield pd.DataFrame({"doc_id": some.doc_id, "positive": some.positive, "features": [sorted(features(t)) for t in some.text]})
+
+
 @dataclass
 class Model:
     weights: dict[str, float]
@@ -103,10 +113,6 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn_from: Column, label: str = "toxic") -> Model:
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "positive": b.positive, "features": [sorted(features(t)) for t in b.text]})
-
     own = labels.filter(learn_from & F.col(label).isin(0, 1))
     prior, rows = own.agg(F.avg(label), F.count("*")).first()
     if not prior or not rows:
