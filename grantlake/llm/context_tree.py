@@ -44,6 +44,7 @@ START, END = b"\xfe" * DEPTH, b"\xff"  # bytes that UTF-8 never uses
 BLOCK_CHARS = 8_000_000
 PART_BYTES = 2_000_000
 MOST_PIECES = 256
+SORTED = 10_000_000  # strings that are sorted at a time while counting
 MOST_SHARDS = 4096
 FAN_IN = 64
 ASKED = 2_000_000
@@ -104,6 +105,12 @@ def hashed(words: Iterable[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
 
 
+def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of ``wanted``, ascending with repeats, among ascending different ``keys``: each different one is searched once."""
+    first = firsts(wanted)
+    return np.repeat(values[np.searchsorted(keys, wanted[first])], np.diff(np.append(first, len(wanted))))
+
+
 def firsts(sorted_keys: np.ndarray) -> np.ndarray:
     """Where each different key begins."""
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
@@ -135,17 +142,32 @@ def from_planes(raw: bytes, ascending: bool = False) -> np.ndarray:
     return np.cumsum(values, dtype=np.uint64) if ascending else values
 
 
+def tallied(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys of all arrays in order and how often each occurs: one sort in place. The list is emptied."""
+    keys = np.concatenate(arrays)
+    arrays.clear()
+    keys.sort()
+    first = firsts(keys)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
 def gathered(texts: list[str | None]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """(keys, counts) of the words and of the byte strings of some texts."""
     counter: Counter[bytes] = Counter()
     for t in texts:
         counter.update(tokens(t))
     words = hashed(counter)
-    found = [np.unique(strings([p for _, p in part])[0], return_counts=True) for part in in_parts(texts)]
-    return (
-        summed(words, np.fromiter(counter.values(), np.int64, len(counter))),
-        summed(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])),
-    )
+    words = summed(words, np.fromiter(counter.values(), np.int64, len(counter)))
+    found, some, n = [], [], 0
+    for part in in_parts(texts):
+        some.append(strings([p for _, p in part])[0])
+        n += len(some[-1])
+        if n >= SORTED:
+            found.append(tallied(some))
+            n = 0
+    if some:
+        found.append(tallied(some))
+    return words, found[0] if len(found) == 1 else summed(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
 
 
 def shard_of(kind: int, keys: np.ndarray, shards: int) -> np.ndarray:
@@ -432,7 +454,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         keys = distinct(np.concatenate([distinct(f >> np.uint64(8)) for _, _, f, _ in parts]))
         values, scores, n_bytes = answered(STRINGS, keys, np.float32).astype(float), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         for places, sizes, found, often in parts:
-            each = values[np.searchsorted(keys, found >> np.uint64(8))] * often
+            each = looked_up(keys, values, found >> np.uint64(8)) * often
             np.add.at(scores, places, np.bincount((found & np.uint64(255)).astype(np.int64), each, len(places)))
             np.add.at(n_bytes, places, sizes)
         return pd.DataFrame({
