@@ -59,7 +59,7 @@ def test_strings_are_sorted_once_and_searched_once(monkeypatch):
     sorts, tallied = [], context_tree.tallied
     monkeypatch.setattr(context_tree, "tallied", lambda arrays: sorts.append(len(arrays)) or tallied(arrays))
     monkeypatch.setattr(context_tree, "PART_BYTES", 16)
-    for most, n in ((10_000, 1), (20, 3)):
+    for most, n in ((10_000, 1), (20, 2)):
         monkeypatch.setattr(context_tree, "SORTED", most)
         sorts.clear()
         _, found = context_tree.gathered(texts)
