@@ -63,9 +63,18 @@ class Lattice:
         self.bytes_of = {bytes_at + b: bytes([b]) for b in range(256)} | {i: p.encode("utf-8", "surrogatepass") for p, (i, _) in pieces.items()}
         self.pairs = {a + b for p in pieces for a, b in zip(p, p[1:])}
         # As arrays, by number of the piece; what is no piece has number -1 and so the last place.
-        self.numbers = {p: k for k, p in enumerate(pieces)}
         self.ids = np.array([i for i, _ in pieces.values()] + [-1], np.int64)
         self.scores = np.array([s for _, s in pieces.values()] + [-math.inf])
+        # The beginnings of pieces, shortest first, are nodes from 1 on (0: nothing yet), each made of an earlier node and
+        # a character; so what makes them (``made``) is in ascending order. ``codes`` numbers characters from 1 on, 0: in no piece.
+        self.characters = np.unique(np.array([ord(c) for c in set("".join(pieces))], np.int64))
+        begun = sorted({p[:k] for p in pieces for k in range(1, len(p) + 1)}, key=lambda b: (len(b), b))
+        node, number = {"": 0} | {b: k for k, b in enumerate(begun, 1)}, {p: k for k, p in enumerate(pieces)}
+        self.codes = np.zeros(int(self.characters.max(initial=0)) + 2, np.int64)
+        self.codes[self.characters] = np.arange(1, len(self.characters) + 1)
+        self.made = np.array([node[b[:-1]] * (len(self.characters) + 1) + self.codes[ord(b[-1])] for b in begun], np.int64)
+        self.pair_keys = np.array(sorted(self.codes[ord(p[0])] * (len(self.characters) + 1) + self.codes[ord(p[1])] for p in self.pairs), np.int64)
+        self.number_at = np.array([-1] + [number.get(b, -1) for b in begun], np.int64)
         self.units, self.parts = Known(self.unit), Known(self.part)
         self.searched: dict[str, list[Segmentation]] = {}
 
@@ -141,47 +150,75 @@ class Lattice:
 
     @staticmethod
     def joined(found: list[tuple[float, bytes, float]]) -> tuple[float, bytes, float]:
-        return sum([f[0] for f in found]), b"".join([f[1] for f in found]), min([f[2] for f in found])
+        scores, ids, losses = zip(*found)
+        return sum(scores), b"".join(ids), min(losses)
 
     def unit(self, unit: str) -> tuple[float, bytes, float]:
         """(best score, its ids, loss of the second-best segmentation)."""
         parts = self.apart(unit)
         return self.part(unit) if len(parts) == 1 else self.joined([self.parts[p] for p in parts])
 
+    def all_apart(self, units: list[str]) -> tuple[list[str], list[int]]:
+        """The parts of all units in a row, and of each unit the place behind its last one."""
+        text = "".join(units)
+        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+        codes = self.codes_of(text)
+        pairs = codes[:-1] * (len(self.characters) + 1) + codes[1:]
+        falls = np.concatenate([[False], ~self.is_pair(pairs), [True]])
+        falls[ends] = True
+        cuts = np.flatnonzero(falls)
+        parts = [text[x:y] for x, y in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
+        return parts, (np.searchsorted(cuts, ends) + 1).tolist()
+
+    def is_pair(self, keys: np.ndarray) -> np.ndarray:
+        """Whether two characters, as one number, stand side by side in a piece."""
+        if not len(self.pair_keys):
+            return np.zeros(len(keys), bool)
+        return self.pair_keys[np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)] == keys
+
+    def codes_of(self, text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        return self.codes[np.minimum(points, len(self.codes) - 1)]  # the last of them is 0
+
     def learn(self, units: Iterable[str]) -> None:
         """Keeps the segmentations of units not yet known; new parts of one length are solved together."""
-        new = {u: self.apart(u) for u in set(units) if u not in self.units and u not in self.units.older}
+        new = [u for u in set(units) if u not in self.units and u not in self.units.older]
+        if not new:
+            return
+        parts, ends = self.all_apart(new)
         by_length: dict[int, list[str]] = {}
-        for p in {p for parts in new.values() for p in parts}:
+        for p in set(parts):
             if p not in self.parts and p not in self.parts.older:
                 by_length.setdefault(len(p), []).append(p)
         solved: dict[str, tuple[float, bytes, float]] = {}
-        for size, parts in by_length.items():
-            for at in range(0, len(parts), MOST):
-                some = parts[at : at + MOST]
+        for size, own in by_length.items():
+            for at in range(0, len(own), MOST):
+                some = own[at : at + MOST]
                 if len(some) >= FEW and size <= SHORT:
                     solved |= self.together(some, size)
                 else:
                     solved |= {p: self.part(p) for p in some}
-        for u, parts in new.items():
-            if len(parts) == 1:
+        begin = 0
+        for u, end in zip(new, ends):
+            if end - begin == 1:
                 self.units[u] = solved[u] if u in solved else self.parts[u]
             else:
-                for p in parts:
+                found = []
+                for p in parts[begin:end]:
                     if p in solved:
                         self.parts[p] = solved[p]
-                self.units[u] = self.joined([self.parts[p] for p in parts])
+                    found.append(self.parts[p])
+                self.units[u] = self.joined(found)
+            begin = end
 
     def together(self, parts: list[str], size: int) -> dict[str, tuple[float, bytes, float]]:
         """``part`` for each of some parts of ``size`` characters; a row each, place by place.
 
         A part with a character that no piece holds goes to ``part``.
         """
-        longest, get = self.longest, self.numbers.get
-        starts = [np.arange(max(0, end - longest), end) for end in range(1, size + 1)]
-        cuts = [slice(int(start), end) for end, s in enumerate(starts, 1) for start in s]
-        numbers = np.array([get(p[c], -1) for p in parts for c in cuts], np.int64).reshape(len(parts), -1)
+        starts = [np.arange(max(0, end - self.longest), end) for end in range(1, size + 1)]
         first = np.concatenate([[0], np.cumsum(list(map(len, starts)))])
+        numbers = self.numbers(parts, size, first)
         whole = (numbers[:, first[1:] - 1] >= 0).all(1)  # the last cut of each place is its own character
         out = {p: self.part(p) for p, w in zip(parts, whole) if not w}
         parts, numbers = [p for p, w in zip(parts, whole) if w], numbers[whole]
@@ -213,6 +250,29 @@ class Lattice:
             out[p] = (score, flat[begin:end], loss)
         return out
 
+    def numbers(self, parts: list[str], size: int, first: np.ndarray) -> np.ndarray:
+        """The number of the piece, or -1, of each cut of each part; cuts by their ends (from ``first`` on), then their starts.
+
+        From each start only those cuts go on that some piece begins with.
+        """
+        out = np.full((len(parts), first[-1]), -1, np.int64)
+        if not len(self.made):
+            return out
+        codes = self.codes_of("".join(parts))
+        at = np.arange(len(codes))
+        end, node, last = at % size, np.zeros(len(at), np.int64), len(self.made) - 1
+        # of the cut that begins at a start and ends with its first character
+        row, start = at // size, end
+        while len(at):
+            key = node * (len(self.characters) + 1) + codes[at]
+            found = np.minimum(np.searchsorted(self.made, key), last)
+            on = np.flatnonzero(self.made[found] == key)
+            at, end, row, start, node = at[on], end[on] + 1, row[on], start[on], found[on] + 1
+            out[row, first[end - 1] + start - np.maximum(end - self.longest, 0)] = self.number_at[node]
+            on = np.flatnonzero((end < size) & (end - start < self.longest))
+            at, end, row, start, node = at[on] + 1, end[on], row[on], start[on], node[on]
+        return out
+
     def part(self, part: str) -> tuple[float, bytes, float]:
         """As unit, by the forward scores and the backward ones: no search is needed for two best."""
         ends, size = self.edges(part), len(part)
@@ -241,7 +301,23 @@ class Lattice:
 
     @staticmethod
     def units_of(text: str) -> list[str]:
-        return UNIT.findall(BLANK + text.replace(" ", BLANK)) if text else []
+        if not text:
+            return []
+        words = text.split(" ")
+        if "" in words or BLANK in text:
+            return UNIT.findall(BLANK + text.replace(" ", BLANK))
+        return [BLANK + w for w in words]
+
+    @staticmethod
+    def least(losses: tuple[float, ...], n: int) -> list[int]:
+        """The places of the n least losses, in order of place; of equal ones the earlier."""
+        rest, found = list(losses), []
+        for _ in range(n):
+            if (low := min(rest)) == math.inf:
+                return sorted(heapq.nsmallest(n, range(len(losses)), key=losses.__getitem__))
+            found.append(rest.index(low))
+            rest[found[-1]] = math.inf
+        return sorted(found)
 
     def encode(self, text: str, n: int = N_BEST) -> list[tuple[float, bytes]]:
         """The n best segmentations of a text: (score, ids as little-endian unsigned 32-bit integers)."""
@@ -255,21 +331,22 @@ class Lattice:
         self.parts.turn()
         if len(self.searched) > CACHED_SEARCHES:
             self.searched.clear()
-        found = [self.units[p] for p in parts]
-        scores, first_ids, losses = zip(*found)
+        scores, first_ids, losses = zip(*map(self.units.__getitem__, parts))
         total = math.fsum(scores)
-        weak = sorted(heapq.nsmallest(n - 1, range(len(found)), key=losses.__getitem__))  # of equal losses the earlier unit
+        weak = self.least(losses, n - 1)
         combined: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
         for k in weak:
             if (p := parts[k]) not in self.searched or len(self.searched[p]) < n:
                 self.searched[p] = self.search(p, n)
             best = self.searched[p][0][0]
             combined = sorted((loss + best - s, (*chosen, j)) for loss, chosen in combined for j, (s, _) in enumerate(self.searched[p][:n]))[:n]
+        # What lies between the weak units is the same in each.
+        between = [b"".join(first_ids[a + 1 : b]) for a, b in zip([-1, *weak], [*weak, len(parts)])]
         out = []
         for loss, chosen in combined:
-            ids = list(first_ids)
-            for k, j in zip(weak, chosen):
-                ids[k] = array("I", self.searched[parts[k]][j][1]).tobytes()
+            ids = [between[0]]
+            for k, j, after in zip(weak, chosen, between[1:]):
+                ids += (array("I", self.searched[parts[k]][j][1]).tobytes(), after)
             out.append((total - loss, b"".join(ids)))
         return out
 
