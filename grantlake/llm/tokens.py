@@ -15,6 +15,7 @@ import re
 from array import array
 from collections.abc import Callable
 from functools import cache
+from operator import attrgetter
 
 # A blank or line feed after other white space: such texts are cut by CUT, the others by str.split.
 AFTER_SPACE = re.compile(r"\s[ \n]")
@@ -23,7 +24,10 @@ CUT = re.compile(r"(?<=\S)(?=[ \n])")
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
 # A line feed or none, a word, and marks to the end of the piece: both pre-tokenizers cut between these.
 WORD_AND_MARKS = re.compile(f"(\n?)({LATIN.pattern})([!-/:-@\\[-`{{-~]*)")
+# Characters beside which lower case may depend on the library: all but Latin, its marks and some punctuation that has no case.
+NOT_LATIN = re.compile("[^\\x00-įı-ɏ‐-‧€]")
 CACHED_PIECES = 500_000
+ID = attrgetter("id")
 
 
 def byte_letters() -> dict[int, str]:
@@ -86,6 +90,7 @@ class PieceEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.keeps_blank = self._library(" a") != self._library("a")
         self.lowers = self._library("A") == self._library("a")
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
         self.whole = Known(self._whole, most)
         self.after_cut = Known(self._after_cut, most)
@@ -101,13 +106,15 @@ class PieceEncoder:
             word = word.encode().decode("latin-1").translate(self.letters)
         if blank and self.keeps_blank:
             word = self.letters[32] + word
-        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        return array("I", map(ID, self.model.tokenize(word))).tobytes()
 
     def _whole(self, piece: str) -> bytes:
         return self._word(piece, False) if LATIN.fullmatch(piece) else self._library(piece)
 
     def _after_cut(self, piece: str) -> bytes:
         """A piece after a cut: with its line feed, or with the blank that the cut took away."""
+        if piece.isalpha() and piece.isascii():  # most pieces
+            return self._word(piece, True)
         if not (found := WORD_AND_MARKS.fullmatch(piece)):
             if piece[:1] == "\n" and LATIN.match(piece, 1):
                 return self.whole["\n"] + self.whole[piece[1:]]
@@ -121,9 +128,20 @@ class PieceEncoder:
             ids = self.whole[line] + ids
         return ids + self.whole[marks] if marks else ids
 
+    def lowered(self, text: str) -> str:
+        """The text in lower case, so that words meet the same kept pieces however they are written.
+
+        A text stays as it is where the tokenizer's own lower case might be another one, or where it would hold the
+        string of an added token, which is looked for before letters are lowered.
+        """
+        low = text.lower()
+        return text if NOT_LATIN.search(text) or any(a in low for a in self.added) else low
+
     def encode(self, text: str) -> bytes:
         self.whole.turn()
         self.after_cut.turn()
+        if self.lowers:
+            text = self.lowered(text)
         if AFTER_SPACE.search(text):
             return b"".join(map(self.whole.__getitem__, CUT.split(text)))
         first, *rest = text.replace("\n", " \n").split(" ")
