@@ -6,8 +6,9 @@ assigns every row to its cell in the task that reads it, as blocks of ids, codes
 then sorted by cell, so that a search of a few cells skips the others' row groups. A cell that holds a
 third of all rows is many blocks.
 
-``search`` takes any number of queries: each goes to its nearest cells, blocks and queries meet by cell, and a task
-multiplies a block by some queries at a time; of all its blocks it gives each query's nearest alone. The nearest by codes of every query are then compared by
+``search`` takes any number of queries. A task has a group of queries, so few that their nearest are bounded, and one part of the
+blocks, dealt evenly however full a cell is; they come one after another, and each is multiplied by those
+queries that its cell is near to. Of all its blocks a task gives each query's nearest alone. The nearest by codes of every query are then compared by
 their own vectors. The fit finds out on its sample how many probes the recall needs: few where vectors form
 clusters, over half of the cells where they don't. With ``exact`` every cell is probed and vectors stand
 for codes: then the result is the exact one.
@@ -40,7 +41,10 @@ BLOCK_QUERIES = 256
 TUNING_QUERIES, TUNING_TOP, TARGET = 256, 120, 0.96  # of the recall that the number of probes is chosen for
 RERANK = 4  # candidates a wanted result, at least
 CODES_TARGET = 0.98  # of the neighbours that the number of candidates is chosen for
+BLOCK_PAIRS = 1 << 20  # that are multiplied at a time
 HELD = 4_000_000  # pairs that a task holds before it keeps each query's nearest alone
+WAITING = 1 << 18  # rows that a task of the build holds
+EQUAL, EQUAL_DIGITS = 1e-12, 12  # what order of sums makes of equal cosines of double precision
 BLOCKS = "cell int, ids array<long>, codes binary, vectors binary"
 
 
@@ -184,7 +188,7 @@ def build(rows: DataFrame, model: Model, block_rows: int = BLOCK_ROWS) -> DataFr
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, waiting = shared.value, {}
+        own, waiting, size = shared.value, {}, 0
 
         def block(cell: int) -> tuple:
             parts = waiting.pop(cell)
@@ -201,10 +205,16 @@ def build(rows: DataFrame, model: Model, block_rows: int = BLOCK_ROWS) -> DataFr
             for cell in np.unique(cells).tolist():
                 here = cells == cell
                 waiting.setdefault(cell, []).append((ids[here], x[here]))
-                if sum(len(p[0]) for p in waiting[cell]) >= block_rows:
+                size += int(here.sum())
+                if (many := sum(len(p[0]) for p in waiting[cell])) >= block_rows:
                     full.append(block(cell))
+                    size -= many
             if full:
                 yield frame(full)
+            if size > WAITING:
+                for cell in sorted(waiting):
+                    yield frame([block(cell)])
+                size = 0
         for cell in sorted(waiting):
             yield frame([block(cell)])
 
@@ -212,25 +222,145 @@ def build(rows: DataFrame, model: Model, block_rows: int = BLOCK_ROWS) -> DataFr
     return blocks.repartitionByRange("cell").sortWithinPartitions("cell")
 
 
-def _questions(queries: DataFrame, shared, probes: int) -> DataFrame:  # noqa: ANN001
-    """Queries (query, vector) by the cells that they probe: (cell, queries, questions), some queries a row."""
+class Group:
+    """Some queries, and of the rows that they have met the ``most`` nearest of each."""
+
+    def __init__(self, model: Model, most: int, probes: int, exact: bool) -> None:
+        self.model, self.most, self.probes, self.exact = model, most, probes, exact
+        self.asked: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size, self.x = 0, None
+
+    def ask(self, names: np.ndarray, x: np.ndarray) -> None:
+        self.asked.append((names, x))
+
+    def begin(self) -> None:
+        """All queries come before the first rows."""
+        self.x = np.concatenate([x for _, x in self.asked])
+        self.names, self.place = np.unique(np.concatenate([n for n, _ in self.asked]), return_inverse=True)
+        self.bounds = np.full(len(self.names), -np.inf)
+        if self.exact:
+            self.x = self.x.astype(np.float64)
+            return
+        cells = len(self.model.centers)
+        self.probed = np.zeros((len(self.x), cells), bool)
+        for at in range(0, len(self.x), BLOCK_QUERIES):
+            near = nearest(self.x[at : at + BLOCK_QUERIES], self.model.centers, min(self.probes, cells))
+            np.put_along_axis(self.probed[at : at + BLOCK_QUERIES], near, True, axis=1)
+
+    def meet(self, cell: int, ids: np.ndarray, code: np.ndarray) -> None:
+        """Rows of a cell, or with ``exact`` of any."""
+        if not self.asked:
+            return
+        if self.x is None:
+            self.begin()
+        of = np.arange(len(self.x)) if self.exact else np.flatnonzero(self.probed[:, cell])
+        for at in range(0, len(ids) if len(of) else 0, BLOCK_ROWS):
+            some = ids[at : at + BLOCK_ROWS]
+            part = code[at : at + BLOCK_ROWS]
+            x = part.astype(np.float64) if self.exact else self.model.decoded(part, cell)
+            step = max(1, BLOCK_PAIRS // len(some))
+            for k in range(0, len(of), step):
+                self.compare(of[k : k + step], some, x)
+
+    def compare(self, of: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        near = self.x[of] @ x.T
+        place = self.place[of]
+        least = self.bounds[place]
+        if self.most < len(ids) and np.isneginf(least).any():
+            least = np.maximum(least, np.partition(near, len(ids) - self.most, axis=1)[:, len(ids) - self.most])
+        q, at = np.nonzero(near >= least[:, None] - (EQUAL if self.exact else 0))
+        # Equal vectors have equal cosines whatever the order of the sums, so that of them the lesser ids are kept.
+        values = near[q, at].round(EQUAL_DIGITS) if self.exact else near[q, at]
+        self.held.append((place[q], ids[at], values.astype(np.float64)))
+        self.size += len(q)
+        if self.size > HELD:
+            self.keep()
+
+    def keep(self) -> None:
+        """What is held, the nearest of each query alone; the last one's nearness bounds what can follow."""
+        place, ids, near = (np.concatenate([h[k] for h in self.held]) for k in range(3))
+        self.held.clear()
+        order = np.argsort(place.astype(np.uint16) if len(self.names) <= 1 << 16 else place, kind="stable")
+        place, ids, near = place[order], ids[order], near[order]
+        ends = np.searchsorted(place, np.arange(len(self.names)), side="right")
+        kept = np.ones(len(place), bool)
+        for q in np.flatnonzero(np.diff(ends, prepend=0) >= self.most).tolist():
+            own = slice(ends[q - 1] if q else 0, ends[q])
+            values = near[own]
+            self.bounds[q] = bound = np.partition(values, len(values) - self.most)[len(values) - self.most]
+            kept[own] = values >= bound
+            equal = np.flatnonzero(values == bound)
+            if (spare := int(np.count_nonzero(kept[own])) - self.most) > 0:
+                kept[own][equal[np.argsort(ids[own][equal], kind="stable")[len(equal) - spare :]]] = False
+        self.held, self.size = [(place[kept], ids[kept], near[kept])], int(np.count_nonzero(kept))
+
+    def best(self) -> Iterator[pd.DataFrame]:
+        if self.size:
+            self.keep()
+            place, ids, near = self.held[0]
+            starts = np.flatnonzero(np.diff(place, prepend=-1))
+            ends = np.append(starts[1:], len(place))
+            for at in range(0, len(starts), BLOCK_QUERIES):
+                own = list(zip(starts[at : at + BLOCK_QUERIES], ends[at : at + BLOCK_QUERIES]))
+                yield pd.DataFrame({"query": self.names[place[starts[at : at + BLOCK_QUERIES]]], "ids": [ids[s:e] for s, e in own], "near": [near[s:e] for s, e in own]})
+
+
+def _first(found: DataFrame, most: int) -> DataFrame:
+    """(query, id) of the ``most`` nearest of each query, from rows (query, ids, near) that hold the nearest of a part each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
+        query, held = None, []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            ids, near = (np.concatenate([h[k] for h in held]) for k in range(2))
+            ids = np.unique(ids[np.lexsort((ids, -near))[:most]])
+            return np.full(len(ids), query), ids
+
         for b in batches:
-            x, at = unit(b["vector"], own.dims)
-            names = b["query"].to_numpy(np.int64)[at]
-            cells = nearest(x, own.centers, min(probes, len(own.centers)))
-            out = []
-            for cell in np.unique(cells).tolist():
-                of = np.flatnonzero((cells == cell).any(axis=1))
-                for k in range(0, len(of), BLOCK_QUERIES):
-                    part = of[k : k + BLOCK_QUERIES]
-                    out.append((cell, names[part], x[part].tobytes()))
-            if out:
-                yield pd.DataFrame(out, columns=["cell", "queries", "questions"]).astype({"cell": "int32"})
+            done = []
+            for name, ids, near in zip(b["query"], b["ids"], b["near"]):
+                if name != query and held:
+                    done.append(merged())
+                    held = []
+                query = name
+                held.append((ids, near))
+            if done:
+                yield pd.DataFrame({"query": np.concatenate([d[0] for d in done]), "id": np.concatenate([d[1] for d in done])})
+        if held:
+            yield pd.DataFrame(dict(zip(("query", "id"), merged())))
+
+    return found.repartition("query").sortWithinPartitions("query").mapInPandas(run, "query long, id long")
 
-    return queries.select("query", F.col("vector").cast("array<float>").alias("vector")).mapInPandas(run, "cell int, queries array<long>, questions binary")
+
+def _vectors(queries: DataFrame, dims: int) -> DataFrame:
+    """(query, asked) of queries (query, vector) that have a cosine: their unit vectors as bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x, at = unit(b["vector"], dims)
+            yield pd.DataFrame({"query": b["query"].to_numpy()[at], "asked": [v.tobytes() for v in x]})
+
+    return queries.filter("query IS NOT NULL").select(F.col("query").cast("long").alias("query"), F.col("vector").cast("array<float>").alias("vector")).mapInPandas(run, "query long, asked binary")
+
+
+def _met(blocks: DataFrame, queries: DataFrame, dims: int, most: int, exact: bool) -> DataFrame:
+    """(slot, row, cell, ids, code): queries, then blocks, by slot. Every query meets every block in one slot.
+
+    A slot's queries are so few that their nearest are within HELD, its blocks come one after another. The fewer groups of
+    queries there are, the more parts have the blocks, so that all cores have work; a group's nearest leave each of these parts.
+    """
+    groups = max(1, -(-queries.count() * 2 * most // HELD))
+    parts = max(1, -(-2 * queries.sparkSession.sparkContext.defaultParallelism // groups))
+    part_of, group_of = F.pmod(F.xxhash64("cell", F.get("ids", F.lit(0))), F.lit(parts)), F.pmod(F.xxhash64("query"), F.lit(groups))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    code = F.col("vectors" if exact else "codes").alias("code")
+    own = blocks.select("cell", "ids", code, part_of.alias("part"), each(groups).alias("group"))
+    asking = _vectors(queries, dims).select(F.lit(0).alias("cell"), F.array("query").alias("ids"), F.col("asked").alias("code"), group_of.alias("group"), each(parts).alias("part"))
+    slot = (F.col("part") * groups + F.col("group")).cast("int").alias("slot")
+    both = asking.select(slot, F.lit(False).alias("row"), "cell", "ids", "code").unionByName(own.select(slot, F.lit(True).alias("row"), F.lit(0).alias("cell") if exact else "cell", "ids", "code"))
+    # More partitions than slots, as two slots of one hash are one task.
+    return both.repartition(4 * parts * groups, "slot").sortWithinPartitions("slot", "row", "cell")
 
 
 def search(blocks: DataFrame, model: Model, rows: DataFrame, queries: DataFrame, k: int, probes: int | None = None, exact: bool = False, rerank: int | None = None) -> DataFrame:
@@ -240,61 +370,30 @@ def search(blocks: DataFrame, model: Model, rows: DataFrame, queries: DataFrame,
     a wanted result. ``exact``: all cells, and vectors stand for codes.
     """
     shared, most = rows.sparkSession.sparkContext.broadcast(model), k * max(rerank or (RERANK if exact else model.rerank), 2)
-    questions = _questions(queries, shared, len(model.centers) if exact else probes or model.probes)
+    looked = probes or model.probes
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, held, size = shared.value, [], 0
-        known, bounds = np.zeros(0, np.int64), np.zeros(0)
-
-        def best_of() -> tuple:
-            """What is held, the first of each query alone; the last one's nearness bounds what can follow."""
-            nonlocal known, bounds
-            query, ids, near = (np.concatenate([h[k] for h in held]) for k in range(3))
-            order = np.lexsort((ids, -near, query))
-            query, ids, near = query[order], ids[order], near[order]
-            starts = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
-            rank = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
-            full = np.flatnonzero(rank == most - 1)
-            names, values = np.concatenate([known, query[full]]), np.concatenate([bounds, near[full]])
-            last = np.lexsort((values, names))
-            names, values = names[last], values[last]
-            largest = np.concatenate([names[1:] != names[:-1], [True]]) if len(names) else np.zeros(0, bool)
-            known, bounds = names[largest], values[largest]
-            return query[rank < most], ids[rank < most], near[rank < most]
-
+        own, slot, group = shared.value, None, None
         for b in batches:
-            for cell, ids, code, names, asked in zip(b["cell"], b["ids"], b["code"], b["queries"], b["questions"]):
-                if not exact:
-                    x = own.decoded(np.frombuffer(code, np.uint8).reshape(len(ids), -1), cell)
+            keys = np.stack([b[c].to_numpy(np.int64) for c in ("slot", "row", "cell")], axis=1)
+            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else []
+            for s, e in zip(starts, np.append(starts[1:], len(keys))):
+                if slot != keys[s, 0]:
+                    if group is not None:
+                        yield from group.best()
+                    slot, group = keys[s, 0], Group(own, most, looked, exact)
+                ids, data = np.concatenate(b["ids"].iloc[s:e].to_list()), b"".join(b["code"].iloc[s:e])
+                if keys[s, 1]:
+                    group.meet(int(keys[s, 2]), ids, np.frombuffer(data, np.float32 if exact else np.uint8).reshape(len(ids), -1))
                 else:
-                    x = np.frombuffer(code, np.float32).reshape(len(ids), -1).astype(np.float64)
-                near = (np.frombuffer(asked, np.float32).reshape(len(names), -1).astype(x.dtype) @ x.T).astype(np.float64)
-                least = np.full(len(names), -np.inf)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, names), len(known) - 1)
-                    least = np.where(known[at] == names, bounds[at], -np.inf)
-                if most < len(ids):
-                    least = np.maximum(least, np.partition(near, len(ids) - most, axis=1)[:, len(ids) - most])
-                of, at = np.nonzero(near >= least[:, None])
-                held.append((np.asarray(names)[of], np.asarray(ids)[at], near[of, at]))
-                size += len(of)
-                if size > HELD:
-                    kept = best_of()
-                    held, size = [kept], len(kept[0])
-                    if size > HELD // 2:
-                        yield pd.DataFrame(dict(zip(("query", "id", "near"), kept)))
-                        held, size = [], 0
-        if size:
-            yield pd.DataFrame(dict(zip(("query", "id", "near"), best_of())))
+                    group.ask(ids, np.frombuffer(data, np.float32).reshape(len(ids), -1))
+        if group is not None:
+            yield from group.best()
 
-    code = F.col("vectors" if exact else "codes").alias("code")
-    # So many parts that each holds many cells: what leaves a part is bounded by its queries, however many cells there are.
-    parts = max(8, 2 * rows.sparkSession.sparkContext.defaultParallelism)
-    met = blocks.select("cell", "ids", code).repartition(parts, "cell").join(questions.repartition(parts, "cell"), "cell")
-    found = met.select("cell", "ids", "code", "queries", "questions").mapInPandas(run, "query long, id long, near double")
-    by = lambda score: Window.partitionBy("query").orderBy(F.desc(score), "id")
-    first = found.withColumn("_r", F.row_number().over(by("near"))).filter(F.col("_r") <= most).select("query", "id").distinct()
+    found = _met(blocks, queries, model.dims, most, exact).mapInPandas(run, "query long, ids array<long>, near array<double>")
+    first = _first(found, most)
     asked = queries.select("query", F.col("vector").alias("_q"))
     exact = first.join(rows.select("id", "vector"), "id").join(asked, "query").select("query", "id", cosine(F.col("_q"), F.col("vector")).alias("score"))
     best = exact.filter("score > 0").groupBy("query", "id").agg(F.max("score").alias("score"))
-    return best.withColumn("_r", F.row_number().over(by("score"))).filter(F.col("_r") <= k).drop("_r")
+    by = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return best.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= k).drop("_r")
