@@ -26,11 +26,11 @@ from math import isqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grantlake.functions.text import cosine
-
 SAMPLE_ROWS = 20_000
 MAX_CELLS = 4096
 GROUP = 4
@@ -363,6 +363,34 @@ def _met(blocks: DataFrame, queries: DataFrame, dims: int, most: int, exact: boo
     return both.repartition(4 * parts * groups, "slot").sortWithinPartitions("slot", "row", "cell")
 
 
+def scored(pairs: DataFrame) -> DataFrame:
+    """(query, id, score) of pairs (query, id, asked, vector): ``text.cosine`` of both vectors to the last bit, as sums go in its order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, sizes = [], []
+            for column in (b.column("asked"), b.column("vector")):
+                flat.append(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+                sizes.append(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            starts = [np.cumsum(n) - n for n in sizes]
+            score = np.zeros(len(b))
+            for n in np.unique(sizes[0][sizes[0] == sizes[1]]).tolist():
+                own = np.flatnonzero((sizes[0] == n) & (sizes[1] == n))
+                sums = [np.zeros(len(own)) for _ in range(3)]
+                with np.errstate(all="ignore"):
+                    for k in range(n):
+                        x, y = flat[0][starts[0][own] + k], flat[1][starts[1][own] + k]
+                        for total, part in zip(sums, (x * y, x * x, y * y)):
+                            total += part
+                    value = sums[0] / (np.sqrt(sums[1]) * np.sqrt(sums[2]))
+                    score[own] = np.where(np.abs(value) <= 2, value, 0.0)
+            yield pa.RecordBatch.from_arrays([b.column("query"), b.column("id"), pa.array(score)], ["query", "id", "score"])
+
+    kinds = dict(pairs.dtypes)
+    given = [F.col(c) if kinds[c] == "array<float>" else F.col(c).cast("array<double>").alias(c) for c in ("asked", "vector")]
+    return pairs.select(F.col("query").cast("long").alias("query"), F.col("id").cast("long").alias("id"), *given).mapInArrow(run, "query long, id long, score double")
+
+
 def search(blocks: DataFrame, model: Model, rows: DataFrame, queries: DataFrame, k: int, probes: int | None = None, exact: bool = False, rerank: int | None = None) -> DataFrame:
     """(query, id, score) of the ``k`` rows (id, vector) of largest cosine above 0 for each query (query, vector).
 
@@ -392,8 +420,8 @@ def search(blocks: DataFrame, model: Model, rows: DataFrame, queries: DataFrame,
 
     found = _met(blocks, queries, model.dims, most, exact).mapInPandas(run, "query long, ids array<long>, near array<double>")
     first = _first(found, most)
-    asked = queries.select("query", F.col("vector").alias("_q"))
-    exact = first.join(rows.select("id", "vector"), "id").join(asked, "query").select("query", "id", cosine(F.col("_q"), F.col("vector")).alias("score"))
-    best = exact.filter("score > 0").groupBy("query", "id").agg(F.max("score").alias("score"))
+    asked = queries.select("query", F.col("vector").alias("asked"))
+    own = scored(first.join(rows.select("id", "vector"), "id").join(asked, "query"))
+    best = own.filter("score > 0").groupBy("query", "id").agg(F.max("score").alias("score"))
     by = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return best.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= k).drop("_r")
