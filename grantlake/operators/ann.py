@@ -119,8 +119,9 @@ def probes_for(x: np.ndarray, centers: np.ndarray, of: int, top: int = TUNING_TO
     As many neighbours count in the sample as lie within the same distance there.
     """
     asked = x[:TUNING_QUERIES]
-    wanted = min(len(x), max(1, round(top * len(x) / max(of, 1))))
+    wanted = min(max(len(x) - 1, 1), max(1, round(top * len(x) / max(of, 1))))
     cell, near = nearest(x, centers)[:, 0], asked @ x.T
+    near[np.arange(len(asked)), np.arange(len(asked))] = -np.inf  # a row is no neighbour of itself
     best = np.argpartition(-near, wanted - 1, axis=1)[:, :wanted]
     place = np.argsort(nearest(asked, centers, len(centers)), axis=1, kind="stable")
     ranks = np.sort(np.take_along_axis(place, cell[best], axis=1).ravel())
